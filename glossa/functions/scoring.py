@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,15 +138,14 @@ def definition_score(terms: Column, non_ascii: Column, block: Column, costs: Cos
 
 
 def heuristic_cost(definitions: Column, rules=HEURISTICS) -> Column:
+    """Sum of the rules that apply; a rule looks for its substrings in any of the definitions."""
+
+    def holds_any(needles: tuple[str, ...]):
+        return lambda d: reduce(or_, [F.contains(d, F.lit(n)) for n in needles])
+
     cost = F.lit(0)
     for needles, mode, amount in rules:
-        def any_needle(d: Column, needles=needles) -> Column:
-            test = F.lit(False)
-            for n in needles:
-                test = test | F.contains(d, F.lit(n))
-            return test
-
-        present = F.exists(definitions, any_needle)
+        present = F.exists(definitions, holds_any(needles))
         cost = cost + F.when(present if mode == "present" else ~present, amount).otherwise(0)
     return cost
 

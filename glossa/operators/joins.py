@@ -53,6 +53,24 @@ def salted_join(
     return left_s.join(right_s, [key, "_salt"], how).drop("_salt")
 
 
+# Needles of up to this many bytes in all are broadcast to the keys.
+NEEDLE_BYTES = 64 << 20
+
+
+def measure(needles: DataFrame, limit: int = NEEDLE_BYTES) -> tuple[bool, list[int]]:
+    """Whether the one-column needles are small enough to broadcast, and the lengths that occur."""
+    (name,) = needles.columns
+    row = needles.agg(
+        F.coalesce(F.sum(F.octet_length(name) * 4 + 64), F.lit(0)).alias("bytes"),
+        F.collect_set(F.length(name)).alias("lengths"),
+    ).first()
+    return row["bytes"] <= limit, sorted(row["lengths"])
+
+
+def gram_sizes_for(lengths: list[int]) -> tuple[int, ...]:
+    return tuple(sorted({min(n, 3) for n in lengths if n > 0})) or (3,)
+
+
 def _meet(keys: DataFrame, needles: DataFrame, on: str, small: bool) -> DataFrame:
     """Join exploded keys with the needles' keys; ``small`` says that the needles' size was measured."""
     return keys.join(F.broadcast(needles), on) if small else salted_join(keys, needles, on)
@@ -141,7 +159,7 @@ def fuzzy_prefix_pairs(needles: DataFrame, keys: DataFrame, small: bool, lengths
     return _meet(key_keys, needle_keys, "edit", small).filter(one_edit_prefix(needle, F.col("key"))).drop("edit")
 
 
-def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: int, small: bool = False) -> DataFrame:
+def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: int) -> DataFrame:
     """(needle, key, distance): terms within ``max_distance`` edits of some substring of a text.
 
     A term cut into max_distance + 1 pieces keeps at least one piece intact, so
@@ -150,27 +168,26 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     """
     needle = F.col("needle")
     pieces = max_distance + 1
-    cut_terms = terms.filter(F.octet_length(needle) > max_distance).select(
+
+    def bound(i: Column) -> Column:
+        return F.floor(i * F.length(needle) / pieces).cast("int")
+
+    cut_terms = terms.filter(F.length(needle) > max_distance).select(
         needle,
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(pieces - 1)),
-                lambda i: F.substring(
-                    needle,
-                    F.floor(i * F.length(needle) / pieces).cast("int") + 1,
-                    F.floor((i + 1) * F.length(needle) / pieces).cast("int")
-                    - F.floor(i * F.length(needle) / pieces).cast("int"),
-                ),
+                lambda i: F.substring(needle, bound(i) + 1, bound(i + 1) - bound(i)),
             )
         ).alias("piece"),
     )
-    hits = containment_pairs(cut_terms.select(F.col("piece").alias("needle")).distinct(), texts, small)
-    candidates = (
-        hits.withColumnRenamed("needle", "piece")
-        .join(cut_terms.distinct(), "piece")
-        .select("needle", "key")
-        .distinct()
+    distinct = cut_terms.select(F.col("piece").alias("needle")).distinct()
+    small, lengths = measure(distinct)
+    hits = containment_pairs(distinct, texts, small, gram_sizes_for(lengths))
+    pairs = hits.select(F.col("needle").alias("piece"), "key").join(
+        F.broadcast(cut_terms) if small else cut_terms, "piece"
     )
+    candidates = pairs.select("needle", "key").distinct()
     return candidates.withColumn("distance", local_levenshtein_udf("needle", "key")).filter(
         F.col("distance") <= max_distance
     )

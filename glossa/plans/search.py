@@ -25,7 +25,7 @@ from glossa.functions.text import (
     token_tone,
 )
 from glossa.operators.ids import top_k
-from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, salted_join
+from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, salted_join
 from glossa.operators.lexicon import definition_words, headword_keys, syllable_keys
 from glossa.session import cut
 from glossa.sources.tables import Lexicon
@@ -82,10 +82,6 @@ def match_terms_to_syllables(
     )
 
 
-def gram_sizes_for(lengths: list[int]) -> tuple[int, ...]:
-    return tuple(sorted({min(n, 3) for n in lengths if n > 0})) or (3,)
-
-
 class SearchRun:
     """One table of queries against one lexicon; the small tables are computed once."""
 
