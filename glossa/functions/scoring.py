@@ -111,12 +111,16 @@ def syllable_score(terms: Column, syl: Column, costs: CostModel = DEFAULT_COSTS)
 
 
 def definition_score(terms: Column, non_ascii: Column, block: Column, costs: CostModel = DEFAULT_COSTS) -> Column:
-    """STRUCT of the three costs of finding every term in the folded definition block, else null."""
+    """STRUCT of the three costs of finding every term in the ``search_block``, else null.
+
+    A hit costs by its byte offset, and more if it neither starts the block nor
+    follows a space or a hyphen; the block's leading blank covers its start.
+    """
     found = F.transform(terms, lambda t: F.instr(block, t["tok_fold"]))
 
     def hit_cost(p: Column) -> Column:
-        at_word = (p == 1) | F.substring(block, p - 1, F.lit(1)).isin(" ", "\t", "\n", "\r", "\f", "-")
-        return byte_offset(block, p).cast("bigint") * costs.english_offset + F.when(at_word, 0).otherwise(
+        at_word = F.substring(block, p - 1, F.lit(1)).isin(" ", "-")
+        return (byte_offset(block, p).cast("bigint") - 1) * costs.english_offset + F.when(at_word, 0).otherwise(
             costs.english_mid_word
         )
 

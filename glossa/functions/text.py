@@ -11,6 +11,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ASCII_SPACES = (" ", "\t", "\n", "\r", "\f")
 ASCII_SPACE = "[ \\t\\n\\r\\f]"
 _TOKEN_BODY = "A-Za-z\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F"
 SYLLABLE_TOKEN = f"([0-9{_TOKEN_BODY}][{_TOKEN_BODY}]*[0-9])"
@@ -117,6 +118,20 @@ def definition_block(definitions: Column) -> Column:
     return F.concat_ws("", definitions)
 
 
+def search_block(definitions: Column) -> Column:
+    """The folded definition block with every ASCII space made a blank and one blank at either end.
+
+    Blanks keep their width, so offsets are those of the block plus one, and
+    every word is a blank-delimited run.
+    """
+    blanks = F.translate(fold(definition_block(definitions)), "".join(ASCII_SPACES), " " * len(ASCII_SPACES))
+    return F.concat(F.lit(" "), blanks, F.lit(" "))
+
+
+def block_words(block: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(block, " +"), lambda w: w != ""))
+
+
 def non_ascii_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
 

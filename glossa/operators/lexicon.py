@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.costs import DEFAULT_COSTS, CostModel
 from glossa.functions.scoring import frequency_cost, heuristic_cost
 from glossa.functions.text import (
+    block_words,
     characters,
     definition_block,
     fold,
     ordered_ci_distinct,
-    split_ascii_space,
+    search_block,
     syllable_tokens,
 )
 from glossa.operators.ids import dense_ids, with_previous
 from glossa.operators.joins import salted_join
+from glossa.session import cut
 
 
 # --- character frequencies -------------------------------------------------
@@ -121,7 +123,7 @@ def definition_words(definitions):
     Query terms hold no whitespace, so a term occurs in the block exactly if it
     occurs in one of these words.
     """
-    return F.array_distinct(split_ascii_space(fold(definition_block(definitions))))
+    return block_words(search_block(definitions))
 
 
 def syllable_keys(syl):
@@ -170,10 +172,6 @@ def definition_offsets(entries: DataFrame, order_by: list[str]) -> DataFrame:
     Running total over the whole lexicon: totals per range partition first,
     then a local running sum, like ``dense_ids``.
     """
-    from pyspark.sql import Window
-
-    from glossa.session import cut
-
     cols = [F.col(c) for c in order_by]
     size = F.octet_length(definition_block(F.col("definitions"))).cast("bigint")
     tagged = cut(

@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 from glossa.costs import DEFAULT_COSTS, MATCH_DEFINITION, MATCH_HEADWORD, MATCH_SYLLABLE, CostModel
 from glossa.functions.scoring import definition_score, syllable_score, term_syllable_cost
 from glossa.functions.text import (
+    block_words,
     characters,
-    definition_block,
     fold,
     non_ascii_count,
+    search_block,
     split_ascii_space,
     token_base,
     token_tone,
 )
 from glossa.operators.ids import top_k
 from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, salted_join
-from glossa.operators.lexicon import definition_words, headword_keys, syllable_keys
+from glossa.operators.lexicon import headword_keys, syllable_keys
 from glossa.session import cut
 from glossa.sources.tables import Lexicon
 
@@ -213,8 +214,8 @@ class SearchRun:
             return self.lexicon.entries.select(*cols), syllable_keys(F.col("syllables"))
         if kind == MATCH_HEADWORD:
             return self.lexicon.entries.select(*cols, "headword"), headword_keys(F.col("headword"))
-        block = fold(definition_block(F.col("definitions"))).alias("block")
-        return self.lexicon.entries.select(*cols, block), F.array_distinct(split_ascii_space(F.col("block")))
+        block = search_block(F.col("definitions")).alias("block")
+        return self.lexicon.entries.select(*cols, block), block_words(F.col("block"))
 
     def _candidates(self, kind: str) -> DataFrame:
         """Entries joined with the queries whose anchor they contain, each pair once."""
@@ -222,14 +223,12 @@ class SearchRun:
         mine = self.queries.withColumn("anchor", F.col("anchors")[kind]).filter(F.col("anchor").isNotNull())
         mine = mine.select("query_id", "k", "terms", "non_ascii", "chars", "anchor")
         if self.fits:
-            exploded = entries.withColumn("keys", keys).select(
-                *entries.columns, *([] if kind == MATCH_HEADWORD else ["keys"]), F.posexplode("keys").alias("pos", "key")
-            )
+            exploded = entries.select(*entries.columns, F.explode(keys).alias("key"))
             if kind == MATCH_HEADWORD:
                 return exploded.withColumnRenamed("key", "anchor").join(F.broadcast(mine), "anchor")
             table = self.keys.filter(F.col("kind") == kind).select("key", "anchor")
-            hits = exploded.join(F.broadcast(table), "key")
-            return hits.filter(~self._seen_before(kind)).drop("keys", "key", "pos").join(F.broadcast(mine), "anchor")
+            hits = exploded.join(F.broadcast(table), "key").filter(self._first_hit(kind))
+            return hits.drop("key").join(F.broadcast(mine), "anchor")
         # Ids only until the pairs are known; the texts join last, once per pair.
         ids = entries.select("entry_id", F.explode(keys).alias("key"))
         if kind == MATCH_HEADWORD:
@@ -241,36 +240,43 @@ class SearchRun:
         wanted = salted_join(pairs, mine, "anchor", spread=F.xxhash64("entry_id"))
         return wanted.join(entries, "entry_id")
 
-    def _seen_before(self, kind: str) -> Column:
-        """An earlier key of the same entry already matches the anchor."""
-        earlier = F.slice("keys", F.lit(1), F.col("pos"))
-        anchor = F.col("anchor")
+    def _first_hit(self, kind: str) -> Column:
+        """Of the keys of one entry that match an anchor, only the first passes.
+
+        For definitions that is the word around the anchor's first place in the
+        block. The block is searched once, in generated code, and the check
+        reads nothing but the text around that place.
+        """
+        key, anchor = F.col("key"), F.col("anchor")
         if kind == MATCH_DEFINITION:
-            return F.exists(earlier, lambda w: F.contains(w, anchor))
-        return F.exists(
-            earlier, lambda b: term_syllable_cost(anchor, fold(anchor), b, self.costs).isNotNull()
+            word_start = F.greatest(F.instr("block", anchor) - F.instr(key, anchor), F.lit(1))
+            around = F.substring("block", word_start, F.length(key) + 2)
+            return around == F.concat(F.lit(" "), key, F.lit(" "))
+        bases = F.filter(
+            F.transform("syllables", lambda s: s["base"]),
+            lambda b: term_syllable_cost(anchor, fold(anchor), b, self.costs).isNotNull(),
         )
+        return F.get(bases, F.lit(0)) == key
 
     # --- matches -----------------------------------------------------------
 
     def _matches(self, kind: str) -> DataFrame:
         pairs = self._candidates(kind)
-        by_syllable = self.by_syllable
         zero = F.lit(0).cast("bigint")
         if kind == MATCH_SYLLABLE:
-            scored = pairs.withColumn("score", by_syllable)
+            score = self.by_syllable
+        elif kind == MATCH_DEFINITION:
+            score = definition_score(F.col("terms"), F.col("non_ascii"), F.col("block"), self.costs)
         else:
-            if MATCH_SYLLABLE in self.kinds:
-                pairs = pairs.filter(by_syllable.isNull())
-            if kind == MATCH_DEFINITION:
-                scored = pairs.withColumn(
-                    "score", definition_score(F.col("terms"), F.col("non_ascii"), F.col("block"), self.costs)
-                )
-            else:
-                scored = pairs.filter(
-                    F.forall("chars", lambda c: F.contains(F.col("headword"), c))
-                ).withColumn("score", F.struct(*[zero.alias(c) for c in COSTS]))
-        return scored.filter(F.col("score").isNotNull()).select(
+            in_headword = F.forall("chars", lambda c: F.contains(F.col("headword"), c))
+            score = F.when(in_headword, F.struct(*[zero.alias(c) for c in COSTS]))
+        if kind != MATCH_SYLLABLE and MATCH_SYLLABLE in self.kinds:
+            score = F.when(self.by_syllable.isNull(), score)
+        # Exploding an array of one or none scores and filters in a single evaluation.
+        scored = pairs.select(
+            "query_id", "k", "entry_id", "static_cost", F.explode(F.filter(F.array(score), lambda s: s.isNotNull())).alias("score")
+        )
+        return scored.select(
             "query_id",
             "k",
             "entry_id",

@@ -199,7 +199,7 @@ def static_cost(spark, sf):
 def english_cost(spark, sf):
     qs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("query_id"), F.lit(q).alias("query")) for i, q, _ in fx.QDOC])
     rows = ldoc_entries(spark, sf).select(
-        "entry_id", text.fold(text.definition_block(F.col("definitions"))).alias("block"), F.explode(qs).alias("q")
+        "entry_id", text.search_block(F.col("definitions")).alias("block"), F.explode(qs).alias("q")
     )
     score = scoring.definition_score(query_terms(F.col("q.query")), text.non_ascii_count(F.col("q.query")), F.col("block"))
     return rows.withColumn("s", score).filter("s is not null").select(
