@@ -14,6 +14,8 @@ def spark(tmp_path_factory):
         .appName("glossa-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
@@ -45,11 +47,13 @@ LEX_C = [
 
 
 @pytest.fixture(scope="session")
-def make_lexicon(spark):
+def make_lexicon(spark, tmp_path_factory):
     from glossa.sources.tables import Lexicon
 
-    def make(rows):
-        return Lexicon.from_entries(spark.createDataFrame(rows, ENTRY))
+    def make(rows, files=1):
+        path = str(tmp_path_factory.mktemp("lexicon") / "entries")
+        spark.createDataFrame(rows, ENTRY).repartition(files).write.parquet(path)
+        return Lexicon.from_entries(spark.read.parquet(path))
 
     return make
 
@@ -57,6 +61,7 @@ def make_lexicon(spark):
 @pytest.fixture(scope="session")
 def make_queries(spark):
     def make(texts, k=8):
-        return spark.createDataFrame([(i, t, k) for i, t in enumerate(texts)], "query_id bigint, query string, k int")
+        rows = [(i, t, k) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "query_id bigint, query string, k int").coalesce(1)
 
     return make
