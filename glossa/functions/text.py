@@ -45,11 +45,11 @@ def ci_index_of(needle: Column, haystack: Column) -> Column:
 
 
 def characters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_remove(F.split(c, ""), "")
 
 
 def split_ascii_space(c: Column) -> Column:
-    return F.filter(F.split(c, ASCII_SPACE + "+"), lambda x: x != "")
+    return F.array_remove(F.split(c, ASCII_SPACE + "+"), "")
 
 
 def trim_unicode(c: Column) -> Column:
@@ -129,7 +129,7 @@ def search_block(definitions: Column) -> Column:
 
 
 def block_words(block: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(block, " +"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(block, " +"), ""))
 
 
 def non_ascii_count(c: Column) -> Column:

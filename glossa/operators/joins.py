@@ -14,8 +14,8 @@ HOT_SHARE = 0.001
 # Smaller groups fit in any task.
 HOT_ROWS = 10_000
 SALTS = 64
-# Deletion keys grow with the square of the length, so longer terms use halves instead.
-SHORT_TERM = 16
+# Deletion keys grow with the square of the length; longer terms have selective halves to use instead.
+SHORT_TERM = 5
 
 
 def hot_keys(keys: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:

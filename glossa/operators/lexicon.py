@@ -127,7 +127,7 @@ def definition_words(definitions):
 
 
 def syllable_keys(syl):
-    return F.array_distinct(F.transform(syl, lambda s: s["base"]))
+    return F.array_distinct(syl["base"])
 
 
 def headword_keys(headword):
