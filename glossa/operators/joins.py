@@ -119,14 +119,16 @@ def _needle_edits(needle: Column) -> Column:
 
 
 def _key_edits(key: Column, lengths: list[int]) -> Column:
-    """What ``key`` offers to needles of each of the given lengths."""
-    none = F.array().cast("array<string>")
+    """What ``key`` offers to needles of each of the given lengths; nulls where it is too short.
 
-    def short(n: Column) -> Column:
-        return F.concat(
-            F.when(F.length(key) >= n - 1, _tagged("d", n, F.array(F.left(key, n - 1)))).otherwise(none),
-            F.when(F.length(key) >= n + 1, _tagged("i", n, _deletions(F.left(key, n + 1)))).otherwise(none),
-        )
+    The few short lengths are spelled out, so that they run as generated code.
+    """
+    short = []
+    for n in (n for n in lengths if n <= SHORT_TERM):
+        short.append(F.when(F.length(key) >= n - 1, F.concat(F.lit(f"d{n}:"), F.left(key, F.lit(n - 1)))))
+        for i in range(n + 1):
+            dropped = F.concat(F.lit(f"i{n}:"), F.left(key, F.lit(i)), F.substring(key, F.lit(i + 2), F.lit(n - i)))
+            short.append(F.when(F.length(key) >= n + 1, dropped))
 
     def long(n: Column) -> Column:
         h = F.floor(n / 2).cast("int")
@@ -134,13 +136,13 @@ def _key_edits(key: Column, lengths: list[int]) -> Column:
             _tagged("p", n, F.array(F.left(key, h))),
             _tagged("s", n, F.array(F.substring(key, h + 2, n - h), F.substring(key, h, n - h))),
         )
-        return F.when(F.length(key) >= n - 1, edits).otherwise(none)
+        return F.when(F.length(key) >= n - 1, edits).otherwise(F.array().cast("array<string>"))
 
-    parts = []
-    for wanted, offer in (([n for n in lengths if n <= SHORT_TERM], short), ([n for n in lengths if n > SHORT_TERM], long)):
-        if wanted:
-            parts.append(F.flatten(F.transform(F.array(*map(F.lit, wanted)), offer)))
-    return F.array_distinct(F.concat(*parts)) if parts else none
+    parts = [F.array(*short)] if short else []
+    longer = [F.lit(n) for n in lengths if n > SHORT_TERM]
+    if longer:
+        parts.append(F.flatten(F.transform(F.array(*longer), long)))
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
 def fuzzy_prefix_pairs(needles: DataFrame, keys: DataFrame, small: bool, lengths: list[int]) -> DataFrame:

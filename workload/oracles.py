@@ -348,6 +348,19 @@ ORACLES: dict[str, str] = {
       pr as (select a.query_id, a.entry_key, a.c + b.c c, a.pos p0, b.pos p1 from h a join h b on a.query_id = b.query_id and a.entry_key = b.entry_key and a.idx = 0 and b.idx = 1 and a.pos <> b.pos),
       r as (select *, row_number() over (partition by query_id, entry_key order by c, p0, p1) rn from pr)
       select jm.query_id, jm.entry_id, r.p0 || ',' || r.p1 as path from jm left join r on r.query_id = jm.query_id and r.entry_key = jm.entry_id and rn = 1""",
+    "search_render_docs": f"""
+      with {LDOC}, {QD}, {SEARCH_BASE}, {english('ldoc')}, matches as (select *, {TOTAL} from em), {RANKED},
+      u as (select r.query_id, r.rank, r.entry_id, r.total_cost, generate_subscripts(l.definitions,1) di, unnest(l.definitions) d
+            from ranked r join ldoc l on l.entry_key = r.entry_id where r.rank <= r.k),
+      h as (select u.*, q.tok, strpos({fold('u.d')}, q.tok_fold) p from u join qterm q using (query_id)),
+      sp as (select *, strlen(left(d,p-1)) s, strlen(left(d,p-1))+strlen(tok) e, p-1 cs, p-1+length(tok) ce from h where p > 0),
+      i1 as (select *, case when s <= max(e) over (partition by query_id, rank, di order by s, e rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end g from sp),
+      i2 as (select *, sum(g) over (partition by query_id, rank, di order by s, e rows unbounded preceding) gid from i1),
+      i3 as (select query_id, rank, di, d, gid, min(cs) cs, max(ce) ce from i2 group by all),
+      i4 as (select *, coalesce(lag(ce) over (partition by query_id, rank, di order by cs), 0) pe from i3),
+      body as (select query_id, rank, di, max(ce) ce, string_agg({escape('substring(d, pe+1, cs-pe)')} || '<mark class="hit-highlight">' || {escape('substring(d, cs+1, ce-cs)')} || '</mark>', '' order by cs) b from i4 group by all),
+      defs as (select u.*, coalesce(b,'') || {escape('substring(u.d, coalesce(ce,0)+1)')} t from u left join body using (query_id, rank, di))
+      select query_id, rank, entry_id, total_cost, string_agg(t, '|' order by di) english_definitions from defs group by all""",
     "session_page_size": """
       with l as (select user_id, ts, event_id, case when event_type in ('view','click') then null else event_type end q from events),
       p as (select *, last_value(q ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) pq from l),
