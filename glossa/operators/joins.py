@@ -21,9 +21,16 @@ SHORT_TERM = 5
 def hot_keys(keys: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
     """(key, hot) for keys with at least ``share`` of all rows: no more than 1/share rows."""
     (name,) = keys.columns
-    counts = keys.groupBy(name).agg(F.count("*").alias("n"))
-    all_rows = keys.agg(F.count("*").alias("n")).scalar()
-    return counts.filter(F.col("n") >= F.greatest(all_rows * share, F.lit(float(min_rows)))).select(name, F.lit(True).alias("hot"))
+    return hot_from_counts(keys.groupBy(name).agg(F.count("*").alias("n")), share, min_rows)
+
+
+def hot_from_counts(counts: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
+    """The same from (key, rows per key), such as a stored vocabulary."""
+    name, n = counts.columns
+    all_rows = counts.agg(F.sum(n)).scalar()
+    return counts.filter(F.col(n) >= F.greatest(all_rows * share, F.lit(float(min_rows)))).select(
+        name, F.lit(True).alias("hot")
+    )
 
 
 def salted_join(
@@ -32,23 +39,24 @@ def salted_join(
     key: str,
     how: str = "inner",
     spread: Column | None = None,
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
+    hot: DataFrame | None = None,
     min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join where hot keys of ``left`` are spread over ``salts`` sub-keys.
+    """Equi-join where hot keys of ``left`` are spread over SALTS sub-keys.
 
     Only the rows of ``right`` with a hot key are repeated. The hot-key table
-    is bounded by 1/share rows, which is why it may be broadcast. ``how`` must
-    keep left rows at most (inner, left, left_semi, left_anti).
+    is bounded by 1/HOT_SHARE rows, which is why it may be broadcast; pass
+    ``hot`` where the counts are known, else ``left`` is read once more for
+    them. ``how`` must keep left rows at most (inner, left, left_semi,
+    left_anti).
     """
     spread = F.xxhash64(*left.columns) if spread is None else spread
-    hot = hot_keys(left.select(key), share, min_rows)
+    hot = hot_keys(left.select(key), min_rows=min_rows) if hot is None else hot
     left_s = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("hot"), F.pmod(spread, F.lit(salts)).cast("int")).otherwise(0)
+        "_salt", F.when(F.col("hot"), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)
     ).drop("hot")
     right_s = right.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     ).drop("hot")
     return left_s.join(right_s, [key, "_salt"], how).drop("_salt")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.costs import MATCH_DEFINITION, MATCH_HEADWORD, MATCH_SYLLABLE
@@ -130,6 +130,6 @@ def page_size(first: int, presses):
 
 
 def with_has_more(ranked: DataFrame) -> DataFrame:
-    """Adds ``has_more``: the query filled its page. At most k rows per query."""
-    counts = ranked.groupBy("query_id").agg(F.count("*").alias("_n"))
-    return ranked.join(counts, "query_id").withColumn("has_more", F.col("_n") == F.col("k")).drop("_n")
+    """Adds ``has_more``: the query filled its page. Ranked rows already lie together, k per query."""
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    return ranked.withColumn("has_more", n == F.col("k"))

@@ -26,7 +26,7 @@ from glossa.functions.text import (
     token_tone,
 )
 from glossa.operators.ids import top_k
-from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, salted_join
+from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, hot_from_counts, salted_join
 from glossa.operators.lexicon import headword_keys, syllable_keys
 from glossa.session import cut
 from glossa.sources.tables import Lexicon
@@ -230,14 +230,19 @@ class SearchRun:
             hits = exploded.join(F.broadcast(table), "key").filter(self._first_hit(kind))
             return hits.drop("key").join(F.broadcast(mine), "anchor")
         # Ids only until the pairs are known; the texts join last, once per pair.
+        # The stored vocabularies tell which keys are hot.
         ids = entries.select("entry_id", F.explode(keys).alias("key"))
+        by_entry = F.xxhash64("entry_id")
         if kind == MATCH_HEADWORD:
-            pairs = ids.withColumnRenamed("key", "anchor")
+            hot = hot_from_counts(self.lexicon.characters.select(F.col("ch").alias("anchor"), "n_entries"))
+            wanted = salted_join(ids.withColumnRenamed("key", "anchor"), mine, "anchor", spread=by_entry, hot=hot)
         else:
+            vocabulary = self.lexicon.syllables if kind == MATCH_SYLLABLE else self.lexicon.words
             table = self.keys.filter(F.col("kind") == kind).select("key", "anchor")
-            pairs = salted_join(ids, table, "key", spread=F.xxhash64("entry_id"))
+            hot = hot_from_counts(vocabulary.toDF("key", "n_entries"))
+            pairs = salted_join(ids, table, "key", spread=by_entry, hot=hot)
             pairs = cut(pairs.select("entry_id", "anchor").distinct())
-        wanted = salted_join(pairs, mine, "anchor", spread=F.xxhash64("entry_id"))
+            wanted = salted_join(pairs, mine, "anchor", spread=by_entry)
         return wanted.join(entries, "entry_id")
 
     def _first_hit(self, kind: str) -> Column:
