@@ -16,7 +16,6 @@ def scratch_root(spark: SparkSession) -> str:
         named = sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="glossa-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
@@ -26,6 +25,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives executor loss."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the scratch folder and go on from there.
+
+    They are computed once, survive executor loss, and come back with real
+    sizes for the optimizer and without the plan they were made by.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
