@@ -6,11 +6,17 @@ are over UTF-8 bytes and case-sensitive.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+# Send the functions themselves to the executors, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _last_row(query: str, target: str, first_row: np.ndarray, substitution: int) -> np.ndarray:
     """Final row of the edit table; the left-to-right dependency is a running minimum."""

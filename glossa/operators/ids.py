@@ -14,7 +14,7 @@ def dense_ids(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """Add ``name`` = 0-based rank by ``order_by``, whose values must be unique.
 
     Range-partition, sort, number the rows of each partition, then shift each
-    partition by the number of rows before it. The sorted rows are checkpointed
+    partition by the number of rows before it. The sorted rows are written out
     so that counts and numbers come from one and the same partitioning. The
     offsets have one row per partition, so they may be broadcast.
     """

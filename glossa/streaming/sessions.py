@@ -7,15 +7,20 @@ changes. An empty query clears the session.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossa.session import cut
 
+# Send the functions themselves to the executors, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: results on the first page.
 FIRST_PAGE = 12
 MAX_DOUBLINGS = 58  # keeps the size within 64 bits; more results than that do not exist
