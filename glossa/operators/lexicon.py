@@ -12,7 +12,6 @@ from glossa.functions.text import (
     characters,
     definition_block,
     fold,
-    ordered_ci_distinct,
     search_block,
     syllable_tokens,
 )

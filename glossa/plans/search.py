@@ -302,9 +302,9 @@ class SearchRun:
 
     def ranked(self) -> DataFrame:
         """The k cheapest matches of each query; equal costs keep lexicon order."""
-        kind_rank = F.when(F.col("match_type") == MATCH_DEFINITION, 1).when(
-            F.col("match_type") == MATCH_HEADWORD, 2
-        ).otherwise(0)
+        kind_rank = F.lit(0)
+        for kind, rank in KIND_RANK.items():
+            kind_rank = F.when(F.col("match_type") == kind, rank).otherwise(kind_rank)
         order = ["total_cost", "static_cost", "entry_id", kind_rank]
         return top_k(self.matches(), "query_id", order, "k", self.k_max)
 
