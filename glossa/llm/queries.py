@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm.common import read
 from glossa.llm.decontamination import contaminated
+from glossa.llm.fingerprints import fingerprint_documents
+from glossa.llm.html_extract import extract
 from glossa.llm.packing import pack_documents
 from glossa.llm.pii import personal_data
+from glossa.llm.quality import classify
+from glossa.llm.secret_scan import scan
 from glossa.llm.sharding import shard_documents
 from glossa.llm.simhash import simhash_components
 from glossa.llm.toxicity import toxicity
@@ -21,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(read(spark, sf, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(read(spark, sf, "documents"))
 
@@ -29,6 +37,18 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(read(spark, sf, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(read(spark, sf, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+def op8_html(spark: SparkSession, sf: str) -> DataFrame:
+    return extract(read(spark, sf, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data(read(spark, sf, "documents"))
 
@@ -37,5 +57,19 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_simhash, op5_packing, op9_pii, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_sharding,
+        op3_fingerprints,
+        op4_simhash,
+        op5_packing,
+        op6_secrets,
+        op7_quality,
+        op8_html,
+        op9_pii,
+        op10_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {}
