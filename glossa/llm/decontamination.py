@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import broadcast_if_small, cut
+from glossa.llm.common import broadcast_if_small, cut, free_name
 
 WINDOW = 8
 COVER = 0.5
@@ -158,6 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents; all columns stay as they are."""
-    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("crc").alias("_bad_crc")).distinct())
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad_id")) & (F.crc32("text") == F.col("_bad_crc"))
+    id_, crc = free_name(docs, "_bad_id"), free_name(docs, "_bad_crc")
+    bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("crc").alias(crc)).distinct())
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.crc32("text") == F.col(crc))
     return docs.join(broadcast_if_small(bad, 48), same, "left_anti")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import cut
+from glossa.llm.common import cut, free_name
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone", "name")
@@ -348,11 +348,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return F.when(_guard(text, kind), _let(_parts(text, kind), joined)).otherwise(text)
 
-    out = docs.withColumn("_text", F.col("text"))
+    new = free_name(docs, "_text")
+    out = docs.withColumn(new, F.col("text"))
     for kind in KINDS:
-        out = out.withColumn("_text", one(F.col("_text"), kind))
-    changed = F.col("_text") != F.col("text")
+        out = out.withColumn(new, one(F.col(new), kind))
+    changed = F.col(new) != F.col("text")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("_text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.char_length(new).cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.when(changed, F.col(new)).otherwise(F.col("text"))).select(*docs.columns)

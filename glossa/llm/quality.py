@@ -112,7 +112,8 @@ def vocabulary(training: DataFrame, size: int = VOCABULARY) -> tuple[list[str],
             if len(held) > 400_000:
                 yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"word": object, "n": "int64"})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     counts = cut(training.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n") * 32).cast("int")
@@ -235,7 +236,8 @@ def train(training: DataFrame, shards: int) -> tuple[list[str], BigramModel, Dat
             held: Counter = Counter()
             for blob in batch["counts"]:
                 held.update(np.floor(np.log2(_unpack(blob, "<i8")) * 8).astype(int).tolist())
-            yield pd.DataFrame({"level": list(held), "n": list(held.values())}).astype("int64")
+            if held:
+                yield pd.DataFrame({"level": list(held), "n": list(held.values())}).astype("int64")
 
     found = table.select("counts").mapInPandas(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
     taken, lowest = 0, None

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import broadcast_if_small, components, cut
+from glossa.llm.common import broadcast_if_small, components, cut, free_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -358,11 +358,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     first = grouped.groupBy(F.coalesce("root", "_name").alias("_root")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_crc")).alias("k")
     )
-    kept = cut(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k._crc").alias("_keep_crc")))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col("_keep_crc"))
+    id_, crc = free_name(docs, "_keep_id"), free_name(docs, "_keep_crc")
+    kept = cut(first.select(F.col("k.doc_id").alias(id_), F.col("k._crc").alias(crc)))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(crc))
     out = docs.join(broadcast_if_small(kept, 48), same, "left_semi")
     # Only rows repeated with both key and text are still there more than once; texts are dealt out for them alone.
     again = rows.groupBy("doc_id", "_crc").count().filter("count > 1")
     if again.limit(1).count():
-        out = out.dropDuplicates(docs.columns)
+        out = out.withColumn(crc, F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", crc]).select(*docs.columns)
     return out

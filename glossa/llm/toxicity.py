@@ -79,7 +79,8 @@ def _choose_features(sample: DataFrame) -> tuple[list[str], dict[int, int]]:
             for y, text in zip(batch["y"], batch["text"], strict=True):
                 held[y].update(document_features(text))
         for y, c in held.items():
-            yield pd.DataFrame({"feature": list(c), "y": y, "n": list(c.values())}, columns=["feature", "y", "n"])
+            if c:
+                yield pd.DataFrame({"feature": list(c), "y": y, "n": list(c.values())}, columns=["feature", "y", "n"])
 
     counts = (
         sample.mapInPandas(count, "feature string, y int, n bigint")

@@ -1,0 +1,413 @@
+"""Operators against brute force, round trips and planted cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glossa.llm import common, decontamination, fingerprints, html_extract, packing, pii, quality, secret_scan, sharding, simhash, toxicity
+
+WORDS = "the of and river stone cloud green walking slowly under seven lamps while nobody watched their brother sing again about winter".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing"]) for _ in range(n))
+
+
+def reach(n, edges):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+# Decontamination
+
+
+def test_templates(spark):
+    item = "A shop in Porto sells 12 kg of apples and 7 boxes of pears when Maria buys 12 kg more and leaves"
+    docs = [
+        (1, f"Before it. {item}. After it."),
+        (2, "Now read: " + item.replace("12", "31").replace("Maria", "Jonas").replace("Porto", "Lyon").replace("7", "9") + " at last."),
+        (3, item.replace("12 kg of", "31 kg of").replace("12 kg more", "55 kg more")),  # one value stands for two
+        (4, "A shop in town sells nothing of the kind and nobody leaves."),
+        (5, " ".join(item.split()[3:12])),  # less than half
+    ]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string"))
+    found = {r["doc_id"]: r["reparametrised"] for r in got.collect()}
+    assert found.get(1) is False and found.get(2) is True and 4 not in found and 5 not in found
+    # Of the third only windows with one of the two values line up consistently.
+    assert 3 not in found or found[3]
+
+
+# Sharding
+
+
+def best_capacity(sizes, shards):
+    best = [0] + [math.inf] * len(sizes)
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    for _ in range(shards):
+        best = [0] + [min(max(best[j], sums[i] - sums[j]) for j in range(i)) for i in range(1, len(sizes) + 1)]
+    return best[-1]
+
+
+@pytest.mark.parametrize("blocks", [4, 64])
+def test_minimax(spark, blocks):
+    rng = random.Random(blocks)
+    for shards, low in ((3, -(2**62)), (5, 0)):
+        keys = sorted(rng.sample(range(low, low + 2**40), 60))
+        sizes = [rng.choice([1, 2, 5, 40]) for _ in keys]
+        groups = spark.createDataFrame(list(zip(keys, sizes, strict=True)), "key bigint, bytes bigint")
+        starts, capacity = sharding.minimax_cuts(groups, shards, blocks)
+        assert capacity == best_capacity(sizes, shards)
+        loads = Counter()
+        for k, s in zip(keys, sizes, strict=True):
+            loads[sum(k >= x for x in starts)] += s
+        assert max(loads.values()) == capacity and len(loads) <= shards
+
+
+def test_shards(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(150)]
+    rows = [(i, rng.choice(texts)) for i in range(400)] + [(1000 + i, "copied" * 40) for i in range(300)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    text = dict(rows)
+    homes, slots = defaultdict(set), defaultdict(list)
+    for r in got:
+        homes[text[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        assert r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode())
+    assert all(len(h) == 1 for h in homes.values()) and sorted(slots) == list(range(8))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+# Fingerprints
+
+
+def test_order_and_incremental(spark):
+    df = spark.createDataFrame([("one two three four\nfive six seven", "five six seven\n\n one two three four", "one two three four", "five six seven")], "a string, b string, c string, d string")
+    v = fingerprints.vector
+    out = df.select(
+        (v(F.col("a")) == v(F.col("b"))).alias("same"),
+        (fingerprints.insert(v(F.col("c")), F.col("d")) == v(F.col("a"))).alias("put"),
+        (fingerprints.delete(v(F.col("a")), F.col("d")) == v(F.col("c"))).alias("taken"),
+        (v(F.col("a")) == v(F.col("c"))).alias("other"),
+    ).first()
+    assert tuple(out) == (True, True, True, False)
+
+
+def test_edited(spark):
+    rng = random.Random(2)
+    rows = [(i * 7 - 50, prose(rng, rng.randint(0, 200)) + "é😀" * rng.randint(0, 3)) for i in range(60)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    rows.sort(reverse=True)
+    for i, (d, t) in enumerate(rows):
+        nxt, half = rows[(i + 1) % len(rows)][1], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t)
+        assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
+    long = [d for d, t in rows if len(t) > 300]
+    assert sum(got[d]["near_edited"] > got[d]["near_next"] for d in long) >= 0.9 * len(long)
+
+
+# SimHash
+
+
+def slow_print(text, size=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    import xxhash
+
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]).encode(), seed=42) for i in range(max(1, len(words) - size + 1))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+@pytest.mark.parametrize("lanes", [7, 1 << 17])
+def test_bit_slices(lanes):
+    rng = np.random.default_rng(3)
+    for words, radius in ((1, 4), (4, 43)):
+        fps = rng.integers(0, 2**63, (300, words)).astype(np.uint64)
+        for i in range(1, 300, 3):
+            fps[i] = fps[i - 1]
+            for b in rng.choice(64 * words, rng.integers(1, 2 * radius), replace=False):
+                fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        group = np.sort(rng.integers(0, 3, 300))
+        a, b = simhash.link_groups(group, fps, radius, lanes)
+        near = [(i, j) for i in range(300) for j in range(i) if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius]
+        assert reach(300, zip(a, b, strict=True)) == reach(300, near)
+
+
+def test_components_of_documents(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["", "one", None]
+    for _ in range(40):
+        base = prose(rng, 120).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            w = base[:]
+            w[rng.randrange(len(w))] = "CHANGED"
+            texts += [" ".join(w).upper() if rng.random() < 0.2 else " ".join(w)]
+    rows = [(500 - i, t) for i, t in enumerate(texts)]
+    prints = [slow_print(t or "") for _, t in rows]
+    roots = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    smallest = defaultdict(lambda: 10**9)
+    for (d, _), r in zip(rows, roots, strict=True):
+        smallest[r] = min(smallest[r], d)
+    want = {d: (f"{p:016x}", smallest[r]) for (d, _), p, r in zip(rows, prints, roots, strict=True)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for goal in (128, 0.001):  # the second takes more parts per key
+        monkeypatch.setattr(simhash, "BLOCK_GOAL", goal)
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_components(df).collect()}
+        assert got == want
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(200)] + [(1000, 1000 + i) for i in range(1, 50)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = reach(1100, edges)
+    assert got == {n: root[n] for e in edges if e[0] != e[1] for n in e}
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(6)
+    rows, group = [], {}
+    for g in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for c in range(1 + g % 4):
+            w = base[:]
+            for _ in range(c * 2):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted({group[d] for d in kept}) == list(range(60)) and len(kept) <= 62
+
+
+# Packing
+
+
+def test_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow.encode_special_tokens = True
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.choice([0, 1, 30, 400, 3000])) + rng.choice(["", " <|endoftext|>", "   \n\n ", " 　漢字 ١٢", " " * 500])) for i in range(120)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p["doc_id"]].append(p)
+        by_seq[p["sequence_id"]].append(p)
+    for d, t in rows:
+        ids = [*slow.encode(t, add_special_tokens=False).ids, 1]
+        at = 0
+        for p in sorted(by_doc[d], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], dtype="<u4").tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 2048
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    assert sum(p["length"] for p in pieces) > 0.97 * 2048 * len(by_seq)
+
+
+def test_tokenizers_agree():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.byte_bpe_encoder()
+    for c in range(0x2100):
+        text = f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 .{chr(c)}. \n{chr(c)}\n  {chr(c)}"
+        assert slow.encode(text, add_special_tokens=False).ids == encode(text).tolist(), hex(c)
+
+
+def test_cut_lengths():
+    for n in range(1, 9000, 7):
+        lengths = packing.cut_lengths(n)
+        assert sum(lengths) == n and all(0 < x <= 2048 for x in lengths)
+
+
+# Secrets
+
+
+def test_links(spark):
+    rng = random.Random(8)
+    kinds = ["assign", "access", "hex", "secret", "user", "endpoint"]
+    rows = []
+    for row in range(30):
+        at = 0
+        for _ in range(rng.randint(0, 12)):
+            at += rng.randint(1, 400)
+            rows.append((row, rng.randint(0, 1), at, at + 20, rng.choice(kinds)))
+            at += 20
+    parts = spark.createDataFrame(rows, "row bigint, scope int, start int, end int, kind string")
+    got = {(r["row"], r["scope"], r["start"]): r["linked"] for r in secret_scan.link(parts).collect()}
+    for row, scope, a, b, k in rows:
+        near = any(
+            k2 in secret_scan.COMPLEMENTS.get(k, ()) and (a - b2 <= 300 if a2 < a else a2 - b <= 300) for r2, s2, a2, b2, k2 in rows if (r2, s2) == (row, scope) and a2 != a
+        )
+        assert got[row, scope, a] == near
+
+
+def test_secret_texts(spark):
+    key, secret = "AKIA" + "Q2ER" * 4, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLE12"
+    texts = [f"use {key} with {secret} today", f"only {secret} here", "token: 'abc' and secret=abcdef01", "deadbeef" * 4, f"{key}\n\n{secret}", "secret:token :abcdef"]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[0]["spans"] == f"access:4:24,secret:30:{30 + len(secret)}" and got[0]["n_access"] == 1
+    assert got[1]["spans"] == "" and got[2]["spans"] == "assign:17:32" and got[3]["spans"] == "hex:0:32"
+    assert got[4]["spans"] == "access:0:20" and got[5]["n_assign"] == 0
+    assert got[0]["base_sha256"] == hashlib.sha256(b"access:4:24").hexdigest()
+
+
+# Quality
+
+
+def test_kneser_ney(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["en", None]), prose(rng, rng.randint(0, 80))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 150)], "doc_id bigint, quality int")
+    trusted = [t for i, _, t in rows if i < 150 and zlib.crc32(str(i).encode()) % 10]
+    # The same model, word by word.
+    pairs, words = Counter(), Counter()
+    for t in trusted:
+        ws = ["<>", *quality.tokens(t), "<>"]
+        words.update(ws[1:-1])
+        pairs.update(zip(ws, ws[1:], strict=False))
+    d = quality.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    before = Counter(w for _, w in pairs)
+    e = quality.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
+    every, v = sum(before.values()), len(words) + quality.FIRST
+
+    def single(w):
+        return max(before[w] - e[min(before[w], 3)], 0) / every + sum(min(c, e[min(c, 3)]) for c in before.values()) / every / v
+
+    totals = Counter()
+    for (a, _), c in pairs.items():
+        totals[a] += c
+
+    def p(a, w):
+        if not totals[a]:
+            return single(w)
+        back = sum(d[min(c, 3)] for (x, _), c in pairs.items() if x == a) / totals[a]
+        c = pairs[a, w]
+        return max(c - d[min(c, 3)], 0) / totals[a] + back * single(w)
+
+    for frequent in (1 << 17, 0):  # all bigrams scored at once, and all through the shards
+        keep, quality.FREQUENT = quality.FREQUENT, frequent
+        try:
+            got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+        finally:
+            quality.FREQUENT = keep
+        for i, _, t in rows[:40]:
+            ws = ["<>", *quality.tokens(t), "<>"]
+            want = math.exp(-sum(math.log(p(a, w)) for a, w in zip(ws, ws[1:], strict=False)) / (len(ws) - 1))
+            assert got[i]["perplexity"] == pytest.approx(want, rel=1e-5) and got[i]["n_tokens"] == len(ws) - 1
+
+
+# HTML
+
+
+def test_template(spark):
+    def page(i):
+        return (
+            i,
+            f"https://h{i % 2}.example/{i}",
+            f"<html><head><title>t</title></head><body><div class='top'><p>Welcome to the site</p></div><div id=content><h2>Story {i}</h2>"
+            f"<p>First <b>bo</b>ld&nbsp;part &lt;{i}&gt; of a text that is long enough.<p>Second\n  part {i}.<p>Read more here</p><script>var x='</p>'</script></div>"
+            f"<div class='sidebar'>Side {i}</div><footer>End {i}</footer><!-- c {i} --></body></html>",
+        )
+
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([page(i) for i in range(20)], "page_id bigint, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"Story {i} First bold part <{i}> of a text that is long enough. Second part {i}."
+
+
+# Personal data
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{pii.BASE[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans(spark):
+    rng = random.Random(10)
+    bits = ["a@b.c", "+x@y.z", "1.2.3.4", "256.1.1.1", "0000255.1.1.1.7", "4111 1111 1111 1111", "4111-1111-1111-1112", "5", "12 34", "+1 (555) 010-9999", "+", "@", "..", " ", "é😀", "x", "-", "", "00", "378282246310005"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    rows += [(900, "1 " * 20_000), (901, "a." * 20_000 + "@b" + ".c" * 20_000), (902, "9" * 50_000), (903, "x@y.zz " * 3_000)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        want = base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t[:200]
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [want.count(f"{k}:") for k in pii.BASE]
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def test_added_and_redacted(spark):
+    rows = [(i, f"Call my phone (212) 345-67{i:02d} or write to u{i}@mail.com, ssn 123-45-67{i:02d}. Dear Dr. Jane Miller, release 219-09-9999{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = [r["spans"] for r in pii.personal_data(df).collect()]
+    assert all("email" in s and "local_phone" in s and "ssn" in s for s in spans)
+    texts = [r["text"] for r in pii.redact(df).collect()]
+    assert all("[EMAIL]" in t and "[SSN]" in t and "@" not in t for t in texts)
+
+
+def test_estimate_finds_the_poor_labeler():
+    rng = random.Random(11)
+    rows = Counter()
+    for _ in range(5000):
+        truth = rng.random() < 0.6
+        rows[tuple(1 if (rng.random() < p) == truth else -1 for p in (0.95, 0.9, 0.5))] += 1
+    post = pii.estimate([("k", v, n) for v, n in sorted(rows.items())])
+    assert post["k", (1, 1, -1)] > 0.9 and post["k", (-1, -1, 1)] < 0.1
+    assert abs(post["k", (1, -1, 1)] - post["k", (1, -1, -1)]) < 0.15
+
+
+# Toxicity
+
+
+def test_toxic_sentences(spark):
+    rng = random.Random(12)
+    bad = ["scoundrel", "dimwit", "blockhead", "rotterling"]
+    rows, labels = [], []
+    for i in range(600):
+        sentences = [prose(rng, rng.randint(4, 12)) for _ in range(rng.randint(1, 12))]
+        y = int(rng.random() < 0.3)
+        if y:
+            sentences[rng.randrange(len(sentences))] += " " + rng.choice(bad) + rng.choice(["", "s", "ish"])
+        rows.append((i, ". ".join(sentences)))
+        labels.append((i, y))
+    out = toxicity.toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    truth, text = dict(labels), dict(rows)
+    held = [r for r in out if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    for r in held:
+        if r["predicted"] and truth[r["doc_id"]]:
+            assert any(b in text[r["doc_id"]][s["start"] : s["end"]] for s in r["sentences"] for b in bad)
