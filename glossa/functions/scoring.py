@@ -19,11 +19,14 @@ def one_edit_prefix(q: Column, t: Column) -> Column:
     """True if one insertion or deletion turns ``q`` into a non-empty prefix of ``t``.
 
     Lengths that differ by one make an edit distance of 1 a single deletion.
-    Multi-byte characters cost two or more, hence the ASCII gate.
+    Edits are of bytes, so a multi-byte character costs two or more: the query
+    must be ASCII (no other is one edit from an ASCII text), and so must the longer prefix. A shorter prefix is what is
+    left of the query.
     """
     m = F.length(q)
     shorter = (m >= 2) & (F.length(t) >= m - 1) & (F.levenshtein(q, F.left(t, m - 1), 1) == 1)
-    longer = (F.length(t) >= m + 1) & (F.levenshtein(q, F.left(t, m + 1), 1) == 1)
+    prefix = F.left(t, m + 1)
+    longer = (F.length(t) >= m + 1) & (F.octet_length(prefix) == m + 1) & (F.levenshtein(q, prefix, 1) == 1)
     return (F.octet_length(q) == m) & (m > 0) & (shorter | longer)
 
 

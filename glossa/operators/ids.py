@@ -51,16 +51,23 @@ def with_previous(df: DataFrame, order_by: list[str], value: str, name: str, def
 def top_k(df: DataFrame, group: str, order_by: list, k: str, k_max: int, rank: str = "rank") -> DataFrame:
     """Rows with rank <= ``k`` within ``group``, where ``k`` is a column of at most ``k_max``.
 
-    A literal bound lets Spark keep only k_max rows per group and task before
-    the shuffle. Above the size at which Spark does that, the groups are first
-    cut down in 256 salted parts, so that no task ever sorts a whole hot group.
+    A literal bound lets Spark keep only so many rows per group and task before
+    the shuffle. Spark does that below a threshold; groups that want more are
+    first cut down in 256 salted parts, so that no task sorts all of a group
+    with a k in the thousands. Each group goes its way by its own k, whatever
+    the others want. A k near the size of a group asks for a sorted list of
+    that group, and one task makes it.
     """
     spark = df.sparkSession
     threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k_max >= threshold:
+        small = top_k(df.filter(F.col(k) < threshold), group, order_by, k, threshold - 1, rank)
+        df = df.filter(F.col(k) >= threshold)
         salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(256))
         part = Window.partitionBy(group, "_salt").orderBy(*order_by)
         df = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(part))
         df = df.filter(F.col("_r") <= F.col(k)).drop("_salt", "_r")
+        ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order_by)))
+        return small.unionByName(ranked.filter(F.col(rank) <= F.col(k)))
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order_by)))
     return ranked.filter((F.col(rank) <= F.lit(k_max)) & (F.col(rank) <= F.col(k)))

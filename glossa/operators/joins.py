@@ -169,35 +169,53 @@ def fuzzy_prefix_pairs(needles: DataFrame, keys: DataFrame, small: bool, lengths
     return _meet(key_keys, needle_keys, "edit", small).filter(one_edit_prefix(needle, F.col("key"))).drop("edit")
 
 
+def byte_characters(s: Column) -> Column:
+    """The string with one character for each of its UTF-8 bytes."""
+    return F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
+
+
 def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: int) -> DataFrame:
     """(needle, key, distance): terms within ``max_distance`` edits of some substring of a text.
 
-    A term cut into max_distance + 1 pieces keeps at least one piece intact, so
-    candidates come from the containment join of the pieces. Terms of no more
-    than ``max_distance`` bytes are within reach of any text and are left out.
+    Edits are of bytes, so terms and texts meet as strings with a character for
+    each byte. A term cut into max_distance + 1 pieces keeps at least one piece
+    intact, so candidates come from the containment join of the pieces. A term
+    of no more than ``max_distance`` bytes is within reach of any text that is
+    not empty: here come the texts that hold it, at distance 0, and
+    ``within_reach_of_any`` tells its distance from all others.
     """
     needle = F.col("needle")
     pieces = max_distance + 1
 
     def bound(i: Column) -> Column:
-        return F.floor(i * F.length(needle) / pieces).cast("int")
+        return F.floor(i * F.length("_bytes") / pieces).cast("int")
 
-    cut_terms = terms.filter(F.length(needle) > max_distance).select(
+    cut_terms = terms.withColumn("_bytes", byte_characters(needle)).select(
         needle,
         F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(pieces - 1)),
-                lambda i: F.substring(needle, bound(i) + 1, bound(i + 1) - bound(i)),
-            )
+            F.when(
+                F.length("_bytes") > max_distance,
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(pieces - 1)),
+                    lambda i: F.substring(F.col("_bytes"), bound(i) + 1, bound(i + 1) - bound(i)),
+                ),
+            ).otherwise(F.array("_bytes"))
         ).alias("piece"),
     )
     distinct = cut_terms.select(F.col("piece").alias("needle")).distinct()
-    small, lengths = measure(distinct)
-    hits = containment_pairs(distinct, texts, small, gram_sizes_for(lengths))
-    pairs = hits.select(F.col("needle").alias("piece"), "key").join(
+    small, lengths = measure(cut_terms.select(F.concat("piece", "needle").alias("needle")))
+    _, lengths = measure(distinct)
+    keyed = texts.select(F.col("key").alias("_text"), byte_characters(F.col("key")).alias("key"))
+    hits = containment_pairs(distinct, keyed, small, gram_sizes_for(lengths))
+    pairs = hits.select(F.col("needle").alias("piece"), F.col("_text").alias("key")).join(
         F.broadcast(cut_terms) if small else cut_terms, "piece"
     )
     candidates = pairs.select("needle", "key").distinct()
-    return candidates.withColumn("distance", local_levenshtein_udf("needle", "key")).filter(
-        F.col("distance") <= max_distance
-    )
+    found = candidates.withColumn("distance", local_levenshtein_udf("needle", "key"))
+    return found.filter((F.col("distance") <= max_distance) & ((F.octet_length("needle") > max_distance) | (F.col("distance") == 0)))
+
+
+def within_reach_of_any(terms: DataFrame, max_distance: int) -> DataFrame:
+    """(needle, distance): terms of at most ``max_distance`` bytes, and the most edits that any text which is not empty takes."""
+    size = F.octet_length("needle")
+    return terms.filter((size > 0) & (size <= max_distance)).select("needle", size.alias("distance"))

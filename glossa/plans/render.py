@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.costs import MATCH_DEFINITION, MATCH_HEADWORD, MATCH_SYLLABLE
+from glossa.functions.paging import page_size
 from glossa.functions.spans import (
     assign_syllables,
     char_spans_to_bytes,
@@ -20,8 +21,7 @@ from glossa.functions.text import display_reading
 from glossa.plans.search import COSTS, SearchRun
 from glossa.sources.tables import Lexicon
 
-# The k best rows of this many (query, rank) pairs are broadcast to the entries; more are joined by shuffle.
-BROADCAST_HITS = 500_000
+__all__ = ["display", "hits", "page_size", "render", "results_json", "with_has_more"]
 
 
 def display(lexicon: Lexicon) -> DataFrame:
@@ -36,14 +36,16 @@ def display(lexicon: Lexicon) -> DataFrame:
     )
 
 
-def hits(run: SearchRun) -> DataFrame:
-    """Ranked matches with their entries and merged spans.
+def hits(run: SearchRun, rows: DataFrame | None = None) -> DataFrame:
+    """Matches with their entries and merged spans; the ranked ones, or ``rows`` of ``run.matches()``.
 
     ``spans`` are byte spans of the reading, character spans of the headword;
     ``def_spans`` byte spans within each definition.
     """
-    wanted = run.ranked().join(run.queries.select("query_id", "query", "terms", "chars"), "query_id")
-    if run.n_queries * run.k_max <= BROADCAST_HITS:
+    ranked = run.ranked() if rows is None else rows
+    wanted = ranked.join(run.queries.select("query_id", "query", "terms", "chars"), "query_id")
+    # At most k_max rows of each query, each with the query's own columns.
+    if rows is None and run.query_bytes * run.k_max <= run.broadcast_bytes:
         wanted = F.broadcast(wanted)
     entries = run.lexicon.entries.drop("static_cost")
     rows = entries.join(wanted, "entry_id")
@@ -124,12 +126,7 @@ def results_json(run: SearchRun) -> DataFrame:
     )
 
 
-def page_size(first: int, presses):
-    """Results wanted after ``presses`` of "more": doubles each time."""
-    return (F.lit(first) * F.pow(F.lit(2), presses)).cast("int")
-
-
 def with_has_more(ranked: DataFrame) -> DataFrame:
-    """Adds ``has_more``: the query filled its page. Ranked rows already lie together, k per query."""
+    """Adds ``has_more``: the query filled its page. Ranked rows already lie together, k per query; query_id is unique."""
     n = F.count("*").over(Window.partitionBy("query_id"))
     return ranked.withColumn("has_more", n == F.col("k"))

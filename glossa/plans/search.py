@@ -28,7 +28,7 @@ from glossa.functions.text import (
 from glossa.operators.ids import top_k
 from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, hot_from_counts, salted_join
 from glossa.operators.lexicon import headword_keys, syllable_keys
-from glossa.session import cut
+from glossa.session import cut, drop
 from glossa.sources.tables import Lexicon
 
 KINDS = (MATCH_SYLLABLE, MATCH_DEFINITION, MATCH_HEADWORD)
@@ -84,7 +84,13 @@ def match_terms_to_syllables(
 
 
 class SearchRun:
-    """One table of queries against one lexicon; the small tables are computed once."""
+    """One table of queries against one lexicon; the small tables are computed once.
+
+    An entry may match by its definitions and by its headword; ``dedup`` keeps
+    the headword's match only. Characters that no headword has are ignored;
+    with ``strict`` a query that has one, blanks aside, matches no headword.
+    Close the run, or use it in a ``with`` block, to remove its tables.
+    """
 
     def __init__(
         self,
@@ -94,13 +100,18 @@ class SearchRun:
         kinds: tuple[str, ...] = KINDS,
         costs: CostModel = DEFAULT_COSTS,
         broadcast_bytes: int = BROADCAST_BYTES,
+        dedup: bool = False,
+        strict: bool = False,
     ):
         self.lexicon, self.kinds, self.costs = lexicon, kinds, costs
-        self.parsed = cut(
+        self.broadcast_bytes = broadcast_bytes
+        self.dedup, self.strict = dedup, strict
+        self.made: list[str] = []
+        self.parsed = self._cut(
             queries.select(
                 "query_id",
                 "query",
-                (F.lit(k) if k is not None else F.col("k")).cast("int").alias("k"),
+                (F.lit(k) if k is not None else F.col("k")).cast("bigint").alias("k"),
                 query_terms(F.col("query")).alias("terms"),
                 non_ascii_count(F.col("query")).alias("non_ascii"),
             )
@@ -108,19 +119,18 @@ class SearchRun:
         sizes = self.parsed.agg(
             F.count("*").alias("n"),
             F.coalesce(F.max("k"), F.lit(0)).alias("k_max"),
-            # Terms, folded terms and characters: a few copies of the query text.
-            F.coalesce(F.sum(F.octet_length("query") * 8 + 256), F.lit(0)).alias("bytes"),
-            F.array_distinct(
-                F.flatten(F.collect_set(F.array_distinct(F.transform("terms", lambda t: F.length(t["base"])))))
-            ).alias("base_lengths"),
-            F.array_distinct(
-                F.flatten(F.collect_set(F.array_distinct(F.transform("terms", lambda t: F.least(F.length(t["tok"]), F.lit(3))))))
-            ).alias("tok_lengths"),
+            # Terms, folded terms and characters: a few copies of the query text, and what each token's fields take.
+            F.coalesce(F.sum(F.octet_length("query") * 8 + F.size("terms") * 160 + F.length("query") * 24 + 256), F.lit(0)).alias("bytes"),
         ).first()
-        self.n_queries, self.k_max = sizes["n"], sizes["k_max"]
+        self.n_queries, self.k_max, self.query_bytes = sizes["n"], sizes["k_max"], sizes["bytes"]
         small = sizes["bytes"] <= broadcast_bytes
-        postings = self._postings(small, sizes["base_lengths"], sizes["tok_lengths"])
-        self.queries = cut(self.parsed.join(self._choices(postings), "query_id", "left"))
+        # Lengths are folded to distinct ones before they meet: as many rows as there are lengths.
+        lengths = self.parsed.select(F.explode(F.transform("terms", lambda t: F.length(t["base"]))).alias("n")).union(
+            self.parsed.select(F.explode(F.transform("terms", lambda t: -F.least(F.length(t["tok"]), F.lit(3)))).alias("n"))
+        )
+        found = [r["n"] for r in lengths.distinct().collect()]
+        postings = self._postings(small, [n for n in found if n >= 0], [-n for n in found if n < 0])
+        self.queries = self._cut(self.parsed.join(self._choices(postings), "query_id", "left"))
         used = self.queries.select(F.explode("anchors").alias("kind", "anchor")).distinct()
         self.keys = postings.withColumnRenamed("term", "anchor").join(used, ["kind", "anchor"], "left_semi")
         kept = {
@@ -133,6 +143,18 @@ class SearchRun:
         self.by_syllable = syllable_score(F.col("terms"), F.col("syllables"), costs)
         self.fits = small and sum(kept.values()) <= broadcast_bytes
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return cut(df, self.made)
+
+    def close(self) -> None:
+        drop(self.parsed.sparkSession, self.made)
+
+    def __enter__(self) -> "SearchRun":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # --- anchors -----------------------------------------------------------
 
     def _query_terms(self) -> DataFrame:
@@ -177,7 +199,7 @@ class SearchRun:
                 pairs = chars.join(F.broadcast(mine), "term").select("term", F.col("term").alias("key"), "n_entries")
             pairs = pairs.select(F.lit(kind).alias("kind"), "term", "key", "n_entries")
             out = pairs if out is None else out.unionByName(pairs)
-        return cut(out)
+        return self._cut(out)
 
     def _choices(self, postings: DataFrame) -> DataFrame:
         """(query_id, anchors, chars): per kind the term with the fewest postings.
@@ -187,8 +209,13 @@ class SearchRun:
         one row per term, so a hot term is split by adaptive skew handling.
         """
         sizes = postings.groupBy("kind", "term").agg(F.sum("n_entries").alias("n"))
+        headword = F.col("kind") == MATCH_HEADWORD
+        needed = (F.col("missing") == 0) | (headword if not self.strict else F.lit(False))
+        terms = self._query_terms()
+        if self.strict:
+            terms = terms.filter(~headword | (F.trim("term") != ""))
         per_kind = (
-            self._query_terms()
+            terms
             .join(sizes, ["kind", "term"], "left")
             .groupBy("query_id", "kind")
             .agg(
@@ -198,7 +225,7 @@ class SearchRun:
                     F.when((F.col("kind") == MATCH_HEADWORD) & F.col("n").isNotNull(), F.col("term"))
                 ).alias("chars"),
             )
-            .filter(F.col("best").isNotNull() & ((F.col("missing") == 0) | (F.col("kind") == MATCH_HEADWORD)))
+            .filter(F.col("best").isNotNull() & needed)
         )
         return per_kind.groupBy("query_id").agg(
             F.map_from_entries(F.collect_list(F.struct("kind", "best.term"))).alias("anchors"),
@@ -215,6 +242,8 @@ class SearchRun:
         if kind == MATCH_HEADWORD:
             return self.lexicon.entries.select(*cols, "headword"), headword_keys(F.col("headword"))
         block = search_block(F.col("definitions")).alias("block")
+        if self.dedup:
+            cols.append("headword")
         return self.lexicon.entries.select(*cols, block), block_words(F.col("block"))
 
     def _candidates(self, kind: str) -> DataFrame:
@@ -241,7 +270,7 @@ class SearchRun:
             table = self.keys.filter(F.col("kind") == kind).select("key", "anchor")
             hot = hot_from_counts(vocabulary.toDF("key", "n_entries"))
             pairs = salted_join(ids, table, "key", spread=by_entry, hot=hot)
-            pairs = cut(pairs.select("entry_id", "anchor").distinct())
+            pairs = self._cut(pairs.select("entry_id", "anchor").distinct())
             wanted = salted_join(pairs, mine, "anchor", spread=by_entry)
         return wanted.join(entries, "entry_id")
 
@@ -277,6 +306,10 @@ class SearchRun:
             score = F.when(in_headword, F.struct(*[zero.alias(c) for c in COSTS]))
         if kind != MATCH_SYLLABLE and MATCH_SYLLABLE in self.kinds:
             score = F.when(self.by_syllable.isNull(), score)
+        if kind == MATCH_DEFINITION and self.dedup and MATCH_HEADWORD in self.kinds:
+            by_headword = F.size("chars") > 0
+            by_headword = by_headword & F.forall("chars", lambda c: F.contains(F.col("headword"), c))
+            score = F.when(~F.coalesce(by_headword, F.lit(False)), score)
         # Exploding an array of one or none scores and filters in a single evaluation.
         scored = pairs.select(
             "query_id", "k", "entry_id", "static_cost", F.explode(F.filter(F.array(score), lambda s: s.isNotNull())).alias("score")

@@ -16,10 +16,12 @@ def search_stream(
 ) -> DataStreamWriter:
     """Ranks each micro-batch of queries(query_id, query, k) and hands it to ``sink(ranked, batch_id)``.
 
-    ``batch_id`` lets the sink overwrite what a repeated batch had written.
+    ``batch_id`` lets the sink overwrite what a repeated batch had written. The
+    tables of a batch are removed once its sink is done.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(SearchRun(batch, lexicon, **options).ranked(), batch_id)
+        with SearchRun(batch, lexicon, **options) as search:
+            sink(search.ranked(), batch_id)
 
     return queries.writeStream.foreachBatch(run)

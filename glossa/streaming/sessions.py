@@ -16,19 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from glossa.functions import paging
+from glossa.functions.paging import FIRST_PAGE, page_size, page_size_of
 from glossa.session import cut
 
 # Send the functions themselves to the executors, which need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Fixed value: results on the first page.
-FIRST_PAGE = 12
-MAX_DOUBLINGS = 58  # keeps the size within 64 bits; more results than that do not exist
+cloudpickle.register_pickle_by_value(paging)
 
 
 def page_of(presses: Column) -> Column:
-    doublings = F.least(presses, F.lit(MAX_DOUBLINGS)).cast("int")
-    return F.call_function("shiftleft", F.lit(FIRST_PAGE).cast("bigint"), doublings)
+    return page_size(FIRST_PAGE, presses)
 
 
 def page_sizes(log: DataFrame, session: str, order: list[str]) -> DataFrame:
@@ -91,7 +89,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         out.append(presses)
     state.update((current, presses))
     rows = rows.assign(
-        session=key[0], presses=out, page_size=[FIRST_PAGE << min(p, MAX_DOUBLINGS) for p in out]
+        session=key[0], presses=out, page_size=[page_size_of(FIRST_PAGE, p) for p in out]
     )
     yield rows[["session", "ts", "event_id", "query", "presses", "page_size"]]
 

@@ -37,6 +37,7 @@ def entry(i, headword, reading, definitions, cost, source="CEDict"):
     return (i, headword, syl, definitions, cost, source)
 
 
+# Three small lexicons whose search results are known.
 LEX_A = [entry(0, "老師", "lou5 si1", ["teacher"], 100), entry(1, "學生", "hok6 saang1", ["student"], 100)]
 LEX_B = [entry(0, "學師", "aa3 baa1", ["father"], 0)]
 LEX_C = [

@@ -54,7 +54,7 @@ CCOST = (
 PART_TERMS = f"""pt as (select distinct word from (
    select unnest({words('p_name')}) word from part union all select unnest({words('p_type')}) from part
    union all select unnest({words('event_type')}) from events))"""
-DVOCAB = "dvocab as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) word from documents)"
+DVOCAB = f"dvocab as (select distinct unnest({words('text')}) word from documents)"
 
 # Query terms and the entries they are matched with.
 SEARCH_BASE = f"""
@@ -68,12 +68,12 @@ def edit_one(q: str, t: str) -> str:
     """One insert or delete away from a non-empty prefix."""
     return f"""(strlen({q}) = length({q}) and length({q}) > 0 and (
         (length({q}) >= 2 and length({t}) >= length({q})-1 and levenshtein({q}, left({t}, length({q})-1)) = 1)
-        or (length({t}) >= length({q})+1 and levenshtein({q}, left({t}, length({q})+1)) = 1)))"""
+        or (length({t}) >= length({q})+1 and strlen(left({t}, length({q})+1)) = length({q})+1 and levenshtein({q}, left({t}, length({q})+1)) = 1)))"""
 
 
 def term_cost(q: str, qf: str, s: str) -> str:
     return f"""case when {q} = '' then null when {fold(s)} = {qf} then 0
-       when strpos({fold(s)}, {qf}) > 0 then (strpos({fold(s)}, {qf})-1)*12000 + (strlen({s})-strlen({q}))*2500
+       when strpos({fold(s)}, {qf}) > 0 then strlen(left({s}, strpos({fold(s)}, {qf})-1))*12000 + (strlen({s})-strlen({q}))*2500
        when {edit_one(q, s)} then 20000 end"""
 
 
@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
         (select count(distinct left(t,length(t)-1)) from s) n_syllables from lex""",
     "freq_from_cumulative": f"with {CCOST} select ch, idx::bigint idx, round(f::double*1e6)::bigint freq_micro from ccost",
     "freq_cost": f"with {CCOST} select ch, cost from ccost",
-    "freq_last_wins": "select left(text,1) ch, arg_max(n_chars, doc_id) as count, max(doc_id) idx from documents group by 1",
+    "freq_last_wins": "select ch, arg_max(n_chars, doc_id) as count, max(doc_id) idx from (select distinct unnest(string_split(text,'')) ch, n_chars, doc_id from documents) where ch <> '' group by 1",
     "freq_backfill": f"""
       with {LEX}, {CCOST}, lc as (select distinct unnest(string_split(headword,'')) ch from lex)
       select ch, idx::bigint idx, cnt::bigint as count, cost from ccost union all select ch, 10000, 1, 10000 from lc anti join ccost using (ch)""",
@@ -331,7 +331,7 @@ ORACLES: dict[str, str] = {
     "spans_syllable": f"""
       with {LEX}, w as (select distinct unnest({words('p_name')}) w from part),
       q0 as (select distinct unnest([w, w||'3', left(w,2), left(w,2)||'4']) query from w),
-      qset as (select row_number() over (order by query)-1 query_id, query, 1000000 k from q0), {SEARCH_BASE}, {SYLLABLE},
+      qset as (select row_number() over (order by query)-1 query_id, query, 1 k from q0), {SEARCH_BASE}, {SYLLABLE},
       a as (select b.query_id, b.entry_key, q.tok, q.base qbase, q.tone qtone, b.b & 2147483647 pos, l.reading, string_split(l.reading,' ') ts
         from best b join qterm q on q.query_id = b.query_id join lex l on l.entry_key = b.entry_key),
       t as (select *, ts[pos+1] tgt, coalesce(list_sum(list_transform(ts[1:pos], lambda x: strlen(x)+1)),0) st from a),
@@ -342,7 +342,7 @@ ORACLES: dict[str, str] = {
       {merge_strings('sp', 'query_id, entry_key')}
       select jm.query_id, jm.entry_id, {TOTAL}, coalesce(spans,'') spans from jm left join i4 on i4.query_id = jm.query_id and i4.entry_key = jm.entry_id""",
     "syllable_assignment": f"""
-      with {LEX}, qset as (select min(p_partkey) query_id, p_name query, 1000000 k from part group by p_name), {SEARCH_BASE}, {SYLLABLE},
+      with {LEX}, qset as (select min(p_partkey) query_id, p_name query, 1 k from part group by p_name), {SEARCH_BASE}, {SYLLABLE},
       h as (select q.query_id, q.idx, e.entry_key, e.pos, m.match_cost c from qterm q join tm m on m.term_base = q.base and m.match_cost is not null
             join esyl e on e.base = m.base where q.tone is null or q.tone = e.tone),
       pr as (select a.query_id, a.entry_key, a.c + b.c c, a.pos p0, b.pos p1 from h a join h b on a.query_id = b.query_id and a.entry_key = b.entry_key and a.idx = 0 and b.idx = 1 and a.pos <> b.pos),
@@ -366,6 +366,6 @@ ORACLES: dict[str, str] = {
       p as (select *, last_value(q ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) pq from l),
       r as (select *, sum(case when q is not null and q <> coalesce(pq,'') then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) g from p),
       n as (select *, sum(case when q is null then 1 else 0 end) over (partition by user_id, g order by ts, event_id rows unbounded preceding) presses from r)
-      select user_id as "session", event_id, presses::bigint presses, (12 << least(presses,58)::bigint)::bigint page_size from n""",
+      select user_id as "session", event_id, presses::bigint presses, (case when presses <= 59 then 12 << least(presses,59)::bigint else 9223372036854775807 end)::bigint page_size from n""",
 }
 ORACLES["entries_display"] = ORACLES["lexicon_roundtrip"]

@@ -59,8 +59,7 @@ def part_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dvocab(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.table(spark, sf, "documents")
-    return docs.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).distinct()
+    return words_of(fx.table(spark, sf, "documents"), "text").distinct()
 
 
 def lex_entries(spark, sf):
@@ -392,7 +391,8 @@ def freq_cost(spark, sf):
 @query
 def freq_last_wins(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    rows = docs.select(F.col("doc_id").alias("line_no"), F.left("text", F.lit(1)).alias("ch"), F.col("n_chars").alias("count"), F.col("doc_id").alias("idx"))
+    chars = F.array_distinct(text.characters(F.col("text")))
+    rows = docs.select(F.col("doc_id").alias("line_no"), F.explode(chars).alias("ch"), F.col("n_chars").alias("count"), F.col("doc_id").alias("idx"))
     return ops.last_wins(rows)
 
 
@@ -590,29 +590,29 @@ def spans_english(spark, sf):
 
 @query
 def spans_headword(spark, sf):
-    run = lex_run(spark, sf, kinds=(MATCH_HEADWORD,), k=1_000_000)
-    return render.hits(run).select("query_id", "entry_id", show_spans(F.col("spans")).alias("spans"))
+    run = lex_run(spark, sf, kinds=(MATCH_HEADWORD,))
+    return render.hits(run, run.matches()).select("query_id", "entry_id", show_spans(F.col("spans")).alias("spans"))
 
 
 def _single_terms(spark, sf) -> DataFrame:
     words = words_of(fx.table(spark, sf, "part"), "p_name").distinct()
     toned = words.select(F.explode(F.array("word", F.concat("word", F.lit("3")), F.left("word", F.lit(2)), F.concat(F.left("word", F.lit(2)), F.lit("4")))).alias("query")).distinct()
-    return ids.dense_ids(toned, ["query"], "query_id").select("query_id", "query", F.lit(1_000_000).alias("k"))
+    return ids.dense_ids(toned, ["query"], "query_id").select("query_id", "query", F.lit(1).alias("k"))
 
 
 @query
 def spans_syllable(spark, sf):
     run = SearchRun(_single_terms(spark, sf), fx.lex_lexicon(spark, sf), kinds=(MATCH_SYLLABLE,))
-    return render.hits(run).select("query_id", "entry_id", "total_cost", show_spans(F.col("spans")).alias("spans"))
+    return render.hits(run, run.matches()).select("query_id", "entry_id", "total_cost", show_spans(F.col("spans")).alias("spans"))
 
 
 @query
 def syllable_assignment(spark, sf):
     """Two-term queries: which syllable each term takes."""
     names = fx.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
-    queries = names.select("query_id", F.col("p_name").alias("query"), F.lit(1_000_000).alias("k"))
+    queries = names.select("query_id", F.col("p_name").alias("query"), F.lit(1).alias("k"))
     run = SearchRun(queries, fx.lex_lexicon(spark, sf), kinds=(MATCH_SYLLABLE,))
-    return render.hits(run).select("query_id", "entry_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return render.hits(run, run.matches()).select("query_id", "entry_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query
