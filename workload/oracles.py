@@ -136,6 +136,46 @@ def escape(x: str) -> str:
     return f"replace(replace(replace(replace(replace({x},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;')"
 
 
+# Every hit's strings in parts: j reading, c headword, d definitions. All spans are of characters, as only
+# headwords go beyond ASCII and theirs are told in characters. Queries have one or two terms.
+RENDER = f"""{LEX_SEARCH}, {RANKED}, top as (select * from ranked where rank <= k),
+  hit as (select q.query_id, q.idx, q.n_terms, e.entry_key, e.pos, m.match_cost c from qterm q join tm m on m.term_base = q.base and m.match_cost is not null
+          join esyl e on e.base = m.base where q.tone is null or q.tone = e.tone),
+  pairs as (select query_id, entry_key, c, pos p0, null::bigint p1 from hit where n_terms = 1
+            union all select a.query_id, a.entry_key, a.c + b.c, a.pos, b.pos from hit a join hit b
+              on a.query_id = b.query_id and a.entry_key = b.entry_key and a.idx = 0 and b.idx = 1 and a.pos <> b.pos where a.n_terms = 2),
+  best_pair as (select *, row_number() over (partition by query_id, entry_key order by c, p0, p1) rn from pairs),
+  path as (select query_id, entry_key, 0 idx, p0 pos from best_pair where rn = 1
+           union all select query_id, entry_key, 1, p1 from best_pair where rn = 1 and p1 is not null),
+  txt as (select t.query_id, t.rank, t.match_type, 'j' part, 0 di, l.reading d, 0 st from top t join lex l on l.entry_key = t.entry_id
+          union all select t.query_id, t.rank, t.match_type, 'c', 0, l.headword, 0 from top t join lex l on l.entry_key = t.entry_id
+          union all select query_id, rank, match_type, 'd', i, definitions[i], coalesce(list_sum(list_transform(definitions[1:i-1], lambda x: strlen(x))), 0)
+            from (select t.query_id, t.rank, t.match_type, l.definitions, generate_subscripts(l.definitions, 1) i from top t join lex l on l.entry_key = t.entry_id)),
+  sy as (select t.query_id, t.rank, q.tok, q.base qbase, q.tone qtone, string_split(l.reading,' ')[p.pos+1] tgt,
+           coalesce(list_sum(list_transform(string_split(l.reading,' ')[1:p.pos], lambda x: strlen(x)+1)),0) st
+         from top t join path p on p.query_id = t.query_id and p.entry_key = t.entry_id join qterm q on q.query_id = p.query_id and q.idx = p.idx
+         join lex l on l.entry_key = t.entry_id where t.match_type = 'Jyutping'),
+  sp as (select query_id, rank, 'j' part, 0 di, st + strpos({fold('tgt')},{fold('tok')})-1 s, st + strpos({fold('tgt')},{fold('tok')})-1+strlen(tok) e from sy where strpos({fold('tgt')},{fold('tok')}) > 0
+         union all select query_id, rank, 'j', 0, st + strpos({fold('tgt')},{fold('qbase')})-1, st + strpos({fold('tgt')},{fold('qbase')})-1+strlen(qbase) from sy
+           where strpos({fold('tgt')},{fold('tok')}) = 0 and qtone is not null and strpos({fold('tgt')},{fold('qbase')}) > 0
+         union all select query_id, rank, 'j', 0, st + strlen(tgt)-1, st + strlen(tgt) from sy where strpos({fold('tgt')},{fold('tok')}) = 0 and qtone is not null
+         union all select x.query_id, x.rank, 'd', x.di, strpos({fold('x.d')}, q.tok_fold)-1, strpos({fold('x.d')}, q.tok_fold)-1+length(q.tok) from txt x join qterm q using (query_id)
+           where x.match_type = 'English' and x.part = 'd' and strpos({fold('x.d')}, q.tok_fold) > 0
+         union all select c.query_id, c.rank, 'c', 0, c.i-1, c.i from (select *, generate_subscripts(string_split(d,''),1) i, unnest(string_split(d,'')) ch from txt
+           where match_type = 'Traditional' and part = 'c') c join kc on kc.query_id = c.query_id where list_contains(kc.chars, c.ch)),
+  i1 as (select *, case when s <= max(e) over (partition by query_id, rank, part, di order by s, e rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end g from sp),
+  i2 as (select *, sum(g) over (partition by query_id, rank, part, di order by s, e rows unbounded preceding) gid from i1),
+  i3 as (select query_id, rank, part, di, gid, min(s) s, max(e) e from i2 group by all),
+  i4 as (select i3.*, x.d, x.st, coalesce(lag(i3.e) over (partition by query_id, rank, part, di order by i3.s), 0) pe from i3 join txt x using (query_id, rank, part, di)),
+  body as (select query_id, rank, part, di, max(e) ce, string_agg({escape('substring(d, (pe+1)::bigint, (s-pe)::bigint)')} || '<mark class="hit-highlight">' || {escape('substring(d, (s+1)::bigint, (e-s)::bigint)')} || '</mark>', '' order by s) b from i4 group by all),
+  shown as (select x.*, coalesce(b,'') || {escape('substring(x.d, (coalesce(ce,0)+1)::bigint)')} t from txt x left join body using (query_id, rank, part, di)),
+  strings as (select query_id, rank, max(case when part = 'c' then if(match_type = 'Traditional', t, d) end) characters,
+      max(case when part = 'j' then if(match_type = 'Jyutping', t, d) end) jyutping, list(t order by di) filter (part = 'd') defs from shown group by all),
+  told as (select query_id, rank, list([s + st, e + st]::bigint[] order by di, s) spans from i4 group by all),
+  hits as (select t.*, s.characters, s.jyutping, s.defs, coalesce(told.spans, []::bigint[][]) spans, l.source from top t join strings s using (query_id, rank)
+      join lex l on l.entry_key = t.entry_id left join told using (query_id, rank))"""
+
+
 def first_hits() -> str:
     ns = ", ".join(f"'{n}'" for n in NEEDLES)
     return f"""fh as (select doc_id, text, n, strpos({fold('text')}, {fold('n')}) p from documents cross join (select unnest([{ns}]) n)),
@@ -348,6 +388,14 @@ ORACLES: dict[str, str] = {
       pr as (select a.query_id, a.entry_key, a.c + b.c c, a.pos p0, b.pos p1 from h a join h b on a.query_id = b.query_id and a.entry_key = b.entry_key and a.idx = 0 and b.idx = 1 and a.pos <> b.pos),
       r as (select *, row_number() over (partition by query_id, entry_key order by c, p0, p1) rn from pr)
       select jm.query_id, jm.entry_id, r.p0 || ',' || r.p1 as path from jm left join r on r.query_id = jm.query_id and r.entry_key = jm.entry_id and rn = 1""",
+    "search_render": f"""{RENDER} select query_id, rank, entry_id, match_type, total_cost, characters, jyutping,
+      array_to_string(defs, '|') english_definitions, static_cost as "cost", source entry_source from hits""",
+    "search_json": f"""{RENDER}, item as (select query_id, rank, {{'match_obj': {{'match_obj': {{'cost_info': {{'term_match_cost': term_match_cost,
+        'unmatched_position_cost': unmatched_position_cost, 'inversion_cost': inversion_cost, 'static_cost': static_cost}}, 'match_type': match_type, 'entry_id': entry_id}},
+        'matched_spans': spans}}, 'rendered_entry': {{'characters': characters, 'jyutping': jyutping, 'english_definitions': defs, 'cost': static_cost, 'entry_source': source}},
+        'query': query}} item from hits),
+      page as (select query_id, list(item order by rank) results from item group by all)
+      select qset.query_id, case when results is null then '{{"results":[]}}' else to_json({{'results': results}})::varchar end json from qset left join page using (query_id)""",
     "search_render_docs": f"""
       with {LDOC}, {QD}, {SEARCH_BASE}, {english('ldoc')}, matches as (select *, {TOTAL} from em), {RANKED},
       u as (select r.query_id, r.rank, r.entry_id, r.total_cost, generate_subscripts(l.definitions,1) di, unnest(l.definitions) d
