@@ -46,10 +46,9 @@ QUERY_SCHEMA = "query_id bigint, query string, k int"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. One with fewer splits than cores is spread out; a large one is read as it is."""
+    """A driver table. One of a single split, which bounds its size, is spread out; any other is read as it is."""
     df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def lex(spark: SparkSession, sf: str) -> DataFrame:

@@ -85,54 +85,55 @@ def definition_spans(definition: Column, terms: Column) -> Column:
 def assign_syllables(terms: Column, syl: Column, costs: CostModel = DEFAULT_COSTS) -> Column:
     """Cheapest assignment of the terms to distinct syllable positions, null if none exists.
 
-    Ties go to the lexicographically smallest position list. Per set of used
-    positions only the best partial assignment is kept.
+    Ties go to the lexicographically smallest position list. The syllables are
+    walked in order; per set of terms placed so far only the best partial
+    assignment is kept, so states are at most 2^terms, however long the entry.
     """
-    state = "array<struct<used:array<int>,cost:bigint,path:array<int>>>"
+    state = "array<struct<placed:bigint,cost:bigint,path:array<int>>>"
+    one = F.lit(1).cast("bigint")
     start = F.array(
         F.struct(
-            F.array().cast("array<int>").alias("used"),
+            F.lit(0).cast("bigint").alias("placed"),
             F.lit(0).cast("bigint").alias("cost"),
-            F.array().cast("array<int>").alias("path"),
+            F.transform(terms, lambda _: F.lit(-1)).alias("path"),
         )
     ).cast(state)
 
-    def hits(t: Column) -> Column:
-        scored = F.transform(
-            syl,
-            lambda s, i: F.struct(
-                i.cast("int").alias("pos"),
-                F.when(
-                    t["tone"].isNull() | (t["tone"] == s["tone"]),
-                    term_syllable_cost(t["base"], t["base_fold"], s["base"], costs),
-                ).cast("bigint").alias("cost"),
-            ),
+    def hits(s: Column, i: Column) -> Column:
+        """The position and what each term costs there."""
+        cost = F.transform(
+            terms,
+            lambda t: F.when(
+                t["tone"].isNull() | (t["tone"] == s["tone"]), term_syllable_cost(t["base"], t["base_fold"], s["base"], costs)
+            ).cast("bigint"),
         )
-        return F.filter(scored, lambda h: h["cost"].isNotNull())
-
-    def step(paths: Column, term_hits: Column) -> Column:
-        grown = F.flatten(
-            F.transform(
-                paths,
-                lambda p: F.transform(
-                    F.filter(term_hits, lambda h: ~F.array_contains(p["path"], h["pos"])),
-                    lambda h: F.struct(
-                        F.sort_array(F.concat(p["used"], F.array(h["pos"]))).alias("used"),
-                        (p["cost"] + h["cost"]).alias("cost"),
-                        F.concat(p["path"], F.array(h["pos"])).alias("path"),
-                    ),
+        return F.struct(i.cast("int").alias("pos"), cost.alias("costs"))
+
+    def grow(p: Column, here: Column) -> Column:
+        def place(c: Column, t: Column) -> Column:
+            bit = F.call_function("shiftleft", one, t)
+            return F.when(
+                c.isNotNull() & (p["placed"].bitwiseAND(bit) == 0),
+                F.struct(
+                    p["placed"].bitwiseOR(bit).alias("placed"),
+                    (p["cost"] + c).alias("cost"),
+                    F.transform(p["path"], lambda x, j: F.when(j == t, here["pos"]).otherwise(x)).alias("path"),
                 ),
             )
-        )
+
+        return F.filter(F.transform(here["costs"], place), lambda x: x.isNotNull())
+
+    def step(paths: Column, here: Column) -> Column:
+        grown = F.concat(paths, F.flatten(F.transform(paths, lambda p: grow(p, here))).cast(state))
         best = let(
             F.sort_array(grown),
-            lambda g: F.filter(g, lambda x, i: (i == 0) | (x["used"] != F.get(g, i - 1)["used"])),
+            lambda g: F.filter(g, lambda x, i: (i == 0) | (x["placed"] != F.get(g, i - 1)["placed"])),
         )
         return best.cast(state)
 
-    done = F.aggregate(F.transform(terms, hits), start, step)
-    ranked = F.sort_array(F.transform(done, lambda p: F.struct(p["cost"].alias("cost"), p["path"].alias("path"))))
-    return F.when(F.size(terms) > 0, F.get(ranked, F.lit(0))["path"])
+    done = F.aggregate(F.transform(syl, hits), start, step)
+    whole = F.filter(done, lambda p: F.forall(p["path"], lambda x: x >= 0))
+    return F.when(F.size(terms) > 0, F.get(whole, F.lit(0))["path"])
 
 
 def syllable_spans(terms: Column, syl: Column, path: Column) -> Column:
