@@ -37,10 +37,11 @@ LEAST_PAGES = 4
 #: Tokens of a valid class.
 LEAST_TOKENS = 2
 
+# Possessive throughout: quotes that never close must not make the matcher try every way to pair them.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,

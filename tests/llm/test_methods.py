@@ -411,3 +411,9 @@ def test_toxic_sentences(spark):
     for r in held:
         if r["predicted"] and truth[r["doc_id"]]:
             assert any(b in text[r["doc_id"]][s["start"] : s["end"]] for s in r["sentences"] for b in bad)
+
+
+def test_broken_markup():
+    page = "<p>a<b " + "\"' " * 5_000 + "<p>c<a href='x>y'>d</a> &lt;e <script a=\"b>c\">f</script>" + "<div " * 1_000 + "g"
+    text = html_extract.article(page, None, frozenset())
+    assert text.startswith("a") and "d <e" in text and "f<" not in text
