@@ -21,7 +21,7 @@ from glossa.functions.text import display_reading
 from glossa.plans.search import COSTS, SearchRun
 from glossa.sources.tables import Lexicon
 
-__all__ = ["display", "hits", "page_size", "render", "results_json", "with_has_more"]
+__all__ = ["display", "hits", "page_size", "render", "results_json", "with_has_more", "write_json"]
 
 
 def display(lexicon: Lexicon) -> DataFrame:
@@ -36,6 +36,11 @@ def display(lexicon: Lexicon) -> DataFrame:
     )
 
 
+def write_json(lexicon: Lexicon, path: str, mode: str = "errorifexists") -> None:
+    """The readable entries as JSON lines, one part file per partition."""
+    display(lexicon).write.mode(mode).json(path)
+
+
 def hits(run: SearchRun, rows: DataFrame | None = None) -> DataFrame:
     """Matches with their entries and merged spans; the ranked ones, or ``rows`` of ``run.matches()``.
 

@@ -416,4 +416,4 @@ ORACLES: dict[str, str] = {
       n as (select *, sum(case when q is null then 1 else 0 end) over (partition by user_id, g order by ts, event_id rows unbounded preceding) presses from r)
       select user_id as "session", event_id, presses::bigint presses, (case when presses <= 59 then 12 << least(presses,59)::bigint else 9223372036854775807 end)::bigint page_size from n""",
 }
-ORACLES["entries_display"] = ORACLES["lexicon_roundtrip"]
+ORACLES["entries_display"] = ORACLES["entries_json"] = ORACLES["lexicon_roundtrip"]

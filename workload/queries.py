@@ -348,6 +348,15 @@ def entries_display(spark, sf):
     return _flat(fx.lex_lexicon(spark, sf))
 
 
+@query
+def entries_json(spark, sf):
+    """Readable entries written as JSON lines and read back."""
+    lexicon, path = fx.lex_lexicon(spark, sf), scratch_path(spark, "entries")
+    render.write_json(lexicon, path)
+    back = spark.read.schema(render.display(lexicon).schema).json(path)
+    return back.withColumn("english_definitions", F.array_join("english_definitions", "|"))
+
+
 @query
 def build_report(spark, sf):
     entries = lex_entries(spark, sf)
