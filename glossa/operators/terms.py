@@ -19,9 +19,10 @@ def best_term_positions(terms: DataFrame, matches: DataFrame, entries: DataFrame
     """(query_id, term_idx, entry_id, cost, pos): each term's cheapest, then earliest syllable.
 
     ``terms(query_id, term_idx, term_base, tone)``, ``matches(term_base, base, match_cost)``.
-    A frequent syllable is salted; the minimum is combined before the shuffle.
+    Frequent terms and syllables are salted; the minimum is combined before the shuffle.
     """
-    wanted = terms.withColumnRenamed("tone", "want").join(matches, "term_base")
+    asked = terms.withColumnRenamed("tone", "want")
+    wanted = salted_join(asked, matches, "term_base", spread=F.xxhash64("query_id", "term_idx"))
     hits = salted_join(entry_syllables(entries), wanted, "base", spread=F.xxhash64("entry_id", "pos")).filter(
         F.col("want").isNull() | (F.col("want") == F.col("tone"))
     )

@@ -73,29 +73,49 @@ def page_sizes(log: DataFrame, session: str, order: list[str]) -> DataFrame:
     )
 
 
-OUTPUT = "session bigint, ts timestamp, event_id bigint, query string, presses bigint, page_size bigint"
-STATE = "query string, presses bigint"
+OUTPUT = "session bigint, ts timestamp, event_id bigint, query string, presses bigint, page_size bigint, late boolean"
+STATE = "query string, presses bigint, last_ts timestamp, last_id bigint"
+# Events more than this behind the newest one are dropped.
+LATENESS = "1 day"
+# A session without events for this long is forgotten.
+IDLE_MS = 7 * 24 * 3600 * 1000
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current, presses = state.get if state.exists else ("", 0)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    current, presses, last_ts, last_id = state.get if state.exists else ("", 0, None, None)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     out = []
+    late = [last_ts is not None and key < (pd.Timestamp(last_ts), last_id) for key in zip(rows["ts"], rows["event_id"], strict=True)]
     for query in rows["query"]:
         if query is None or query is pd.NA or query != query:
             presses += 1
         elif query == "" or query != current:
             current, presses = query, 0
         out.append(presses)
-    state.update((current, presses))
+    newest = max((t, i) for t, i in zip(rows["ts"], rows["event_id"], strict=True))
+    if last_ts is None or newest > (pd.Timestamp(last_ts), last_id):
+        last_ts, last_id = newest[0].to_pydatetime(), int(newest[1])
+    state.update((current, presses, last_ts, last_id))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(newest[0].timestamp() * 1000)) + IDLE_MS)
     rows = rows.assign(
-        session=key[0], presses=out, page_size=[page_size_of(FIRST_PAGE, p) for p in out]
+        session=key[0], late=late, presses=out, page_size=[page_size_of(FIRST_PAGE, p) for p in out]
     )
-    yield rows[["session", "ts", "event_id", "query", "presses", "page_size"]]
+    yield rows[["session", "ts", "event_id", "query", "presses", "page_size", "late"]]
 
 
-def page_size_stream(log: DataFrame) -> DataFrame:
-    """The same over a stream of (session, ts, event_id, query): state is one query and one count per session."""
-    return log.groupBy("session").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+def page_size_stream(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The same over a stream of (session, ts, event_id, query): state is one query, one count and one event per session.
+
+    Events of a micro-batch are taken in their order. One that comes after a
+    later event of its session has been told is applied on arrival and marked
+    ``late``; one behind the watermark is dropped, and a session that stays
+    silent for a week of event time is forgotten.
+    """
+    return (
+        log.withWatermark("ts", lateness)
+        .groupBy("session")
+        .applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -35,7 +35,7 @@ def test_page_size_stream(spark, tmp_path):
     schema = "session bigint, t bigint, event_id bigint, query string"
     source = str(tmp_path / "in")
     for i in range(3):
-        part = spark.createDataFrame(log[i * 30 : i * 30 + 30], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        part = spark.createDataFrame(log[i * 30 : i * 30 + 30], schema).withColumn("ts", F.timestamp_seconds(F.col("t") + 1_000_000)).drop("t")
         part.coalesce(1).write.mode("append").parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
@@ -48,3 +48,4 @@ def test_page_size_stream(spark, tmp_path):
     assert q.exception() is None
     got = spark.table("pages").select("session", "event_id", "presses", "page_size")
     assert sorted(map(tuple, got.collect())) == replay(log)
+    assert spark.table("pages").filter("late").count() == 0

@@ -142,7 +142,7 @@ def local_levenshtein(spark, sf):
     terms = part_terms(spark, sf).withColumnRenamed("word", "needle")
     pairs = joins.local_levenshtein_pairs(terms, names, 1)
     part = fx.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("key"))
-    return part.join(pairs, "key").select("p_partkey", F.col("needle").alias("term"), "distance")
+    return joins.salted_join(part, pairs, "key", spread=F.xxhash64("p_partkey")).select("p_partkey", F.col("needle").alias("term"), "distance")
 
 
 @query
