@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.costs import DEFAULT_COSTS, CostModel
 from glossa.functions.scoring import term_syllable_cost
-from glossa.functions.text import byte_offset, characters, ci_index_of, escape_html, let
+from glossa.functions.text import byte_offset, characters, ci_index_of, escape_html, let, totals_before
 
 SPAN = "struct<start:int,end:int>"
 # The highlight markup.
@@ -139,13 +139,11 @@ def assign_syllables(terms: Column, syl: Column, costs: CostModel = DEFAULT_COST
 def syllable_spans(terms: Column, syl: Column, path: Column) -> Column:
     """Byte spans in the display reading for an assignment of terms to syllables."""
 
-    def of_syllable(s: Column, i: Column) -> Column:
+    width = F.transform(syl, lambda s: F.octet_length(s["base"]) + F.octet_length(s["tone"].cast("string")) + 1)
+
+    def of_syllable(s: Column, i: Column, starts: Column) -> Column:
         target = F.concat(s["base"], s["tone"].cast("string"))
-        start = F.aggregate(
-            F.slice(syl, F.lit(1), i),
-            F.lit(0),
-            lambda a, x: a + F.octet_length(x["base"]) + F.octet_length(x["tone"].cast("string")) + 1,
-        )
+        start = F.get(starts, i).cast("int")
         t = F.get(terms, F.array_position(path, i.cast("int")).cast("int") - 1)
         whole = ci_index_of(t["tok"], target)
         bare = ci_index_of(t["base"], target)
@@ -161,4 +159,5 @@ def syllable_spans(terms: Column, syl: Column, path: Column) -> Column:
         )
         return F.when(F.array_contains(path, i.cast("int")), found).otherwise(no_spans())
 
-    return F.when(path.isNull(), no_spans()).otherwise(F.flatten(F.transform(syl, of_syllable)))
+    found = let(totals_before(width), lambda starts: F.flatten(F.transform(syl, lambda s, i: of_syllable(s, i, starts))))
+    return F.when(path.isNull(), no_spans()).otherwise(found)

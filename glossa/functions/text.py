@@ -143,6 +143,30 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def totals_before(sizes: Column, chunk: int = 64) -> Column:
+    """Sum of the elements before each element.
+
+    In two levels, as an array grown by one element at a time is copied each
+    time: chunks first, then within a chunk.
+    """
+
+    def running(xs: Column, start: Column) -> Column:
+        grow = lambda a, x: F.struct(F.concat(a["out"], F.array(a["run"])).alias("out"), (a["run"] + x).alias("run"))
+        return F.aggregate(xs, F.struct(F.array().cast("array<bigint>").alias("out"), start.alias("run")), grow)["out"]
+
+    zero = F.lit(0).cast("bigint")
+    whole = F.floor((F.size(sizes) - 1) / chunk).cast("int")
+    chunks = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), whole), lambda c: F.slice(sizes, c * chunk + 1, chunk)))
+    chunks = F.transform(F.coalesce(chunks, F.array().cast("array<array<int>>")), lambda c: F.transform(c, lambda x: x.cast("bigint")))
+    return let(
+        chunks,
+        lambda cs: let(
+            running(F.transform(cs, lambda c: F.aggregate(c, zero, lambda a, x: a + x)), zero),
+            lambda starts: F.flatten(F.transform(cs, lambda c, i: running(c, F.get(starts, i)))),
+        ),
+    )
+
+
 def grams(c: Column, n: int) -> Column:
     """Distinct overlapping n-character substrings."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))

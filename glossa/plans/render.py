@@ -17,7 +17,7 @@ from glossa.functions.spans import (
     no_spans,
     syllable_spans,
 )
-from glossa.functions.text import display_reading
+from glossa.functions.text import display_reading, totals_before
 from glossa.plans.search import COSTS, SearchRun
 from glossa.sources.tables import Lexicon
 
@@ -96,12 +96,7 @@ def render(run: SearchRun) -> DataFrame:
 
 def results_json(run: SearchRun) -> DataFrame:
     """(query_id, json): the rendered hits of each query, best first; at most k per query."""
-    starts = F.transform(
-        "definitions",
-        lambda d, i: F.aggregate(
-            F.slice("definitions", F.lit(1), i), F.lit(0), lambda a, x: a + F.octet_length(x)
-        ),
-    )
+    starts = totals_before(F.transform("definitions", lambda d: F.octet_length(d)))
     in_block = F.flatten(
         F.zip_with(
             "def_spans", starts, lambda s, at: F.transform(s, lambda x: F.array(x["start"] + at, x["end"] + at))
