@@ -49,10 +49,6 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def _lane(paragraph: Column, k: int) -> Column:
-    return F.xxhash64(paragraph, F.lit(k))
-
-
 def _wrapped(a: Column, b: Column) -> Column:
     """a + b modulo 2**64, which plain addition refuses on overflow: the halves are added apart."""
     low = a.bitwiseAND(F.lit(0xFFFFFFFF)) + b.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -150,11 +146,12 @@ def as_hex(v: Column) -> Column:
     return F.lower(F.concat(lanes, counts))
 
 
-def _range_of(docs: DataFrame) -> Column | None:
-    """A range number that grows with doc_id, with about RANGE_ROWS rows to a range; -1 for a null id.
+def _range_of(docs: DataFrame, tie: Column) -> Column | None:
+    """A range number that grows with doc_id, then ``tie``, with about RANGE_ROWS rows to a range.
 
     Approximate quantiles cut the ids into stretches of like size, and each
-    stretch is cut evenly. None for no rows.
+    stretch is cut evenly. Null ids come before all others, in ranges of their
+    tie. None for no rows.
     """
     n, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
     if not n:
@@ -171,7 +168,9 @@ def _range_of(docs: DataFrame) -> Column | None:
     at = F.greatest(F.lit(1), F.size(F.filter(literal(low, "bigint"), lambda x: x <= F.col("doc_id"))))
     inside = F.floor((F.col("doc_id").cast("double") - F.element_at(literal(low, "double"), at)) / F.element_at(literal(width, "double"), at))
     kept = F.least(F.greatest(inside, F.lit(0)), F.lit(2 * inner)).cast("bigint")
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(at.cast("bigint") * (2 * inner + 1) + kept)
+    bits = max(1, ((n - ids) // rows).bit_length())
+    unknown = F.shiftright(tie, 64 - bits) + F.lit((1 << (bits - 1)) - (1 << bits)).cast("bigint")
+    return F.when(F.col("doc_id").isNull(), unknown).otherwise(at.cast("bigint") * (2 * inner + 1) + kept)
 
 
 def with_next(docs: DataFrame, value: str, name: str, derive) -> DataFrame:
@@ -180,14 +179,13 @@ def with_next(docs: DataFrame, value: str, name: str, derive) -> DataFrame:
     Next is by descending doc_id; the first row follows the last. Rows lie in
     ranges of doc_id. Each range is one window, and the first row of the range
     below is copied into it as a guest, so texts are shuffled once. Of equal
-    ids the order is that of a hash of the value; null ids come last and share
-    a range. There are at most about MOST_RANGES ranges, whose heads are
-    broadcast.
+    ids the order is that of a hash of the value; null ids come last. There are
+    at most about MOST_RANGES ranges, whose heads are broadcast.
     """
-    where = _range_of(docs)
+    tie = F.xxhash64(value)
+    where = _range_of(docs, tie)
     if where is None:
         return derive(docs).withColumn(name, F.struct(*derive(docs).drop("doc_id").columns))
-    tie = F.xxhash64(value)
     keys = docs.select("doc_id", tie.alias("_tie"), where.alias("range"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")
     heads = cut(keys.groupBy("range").agg(F.max(order).alias("head")))

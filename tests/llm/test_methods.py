@@ -108,7 +108,10 @@ def test_order_and_incremental(spark):
     assert tuple(out) == (True, True, True, False)
 
 
-def test_edited(spark):
+@pytest.mark.parametrize("rows_per_range,top", [(2_000, 4_096), (3, 4)])
+def test_edited(spark, monkeypatch, rows_per_range, top):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows_per_range)
+    monkeypatch.setattr(fingerprints, "TOP_RANGES", top)
     rng = random.Random(2)
     rows = [(i * 7 - 50, prose(rng, rng.randint(0, 200)) + "é😀" * rng.randint(0, 3)) for i in range(60)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
@@ -118,6 +121,12 @@ def test_edited(spark):
         edited = t[: len(t) - half] + nxt[:half]
         assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t)
         assert 0 <= got[d]["near_edited"] <= 1 and 0 <= got[d]["near_next"] <= 1
+    # Rows without an id follow all others and hand on to the first.
+    more = rows + [(None, prose(rng, 20)) for _ in range(25)]
+    out = fingerprints.fingerprint_documents(spark.createDataFrame(more, "doc_id bigint, text string").repartition(2)).collect()
+    assert len(out) == len(more)
+    known = {r["doc_id"]: r["edited_sha256"] for r in out if r["doc_id"] is not None}
+    assert all(known[d] == got[d]["edited_sha256"] for d, _ in rows[:-1])
     long = [d for d, t in rows if len(t) > 300]
     assert sum(got[d]["near_edited"] > got[d]["near_next"] for d in long) >= 0.9 * len(long)
 
