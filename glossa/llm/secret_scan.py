@@ -42,9 +42,8 @@ _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 # Weak parts.
 _LOOKS_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
 _USER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,64})", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,256}|(?:db|api|sql|mongo|redis|smtp|ftp|s3|auth)[A-Za-z0-9.-]{0,60}\.[a-z]{2,12}(?::[0-9]{2,5})?)"
-)
+_URL = re.compile(r"(?<![A-Za-z0-9])[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,256}")
+_HOST = re.compile(r"(?<![A-Za-z0-9:/.])(?:db|api|sql|mongo|redis|smtp|ftp|s3|auth)[A-Za-z0-9.-]{0,60}\.[a-z]{2,12}(?::[0-9]{2,5})?")
 #: Parts that make a weak candidate of the left kind worth telling.
 COMPLEMENTS = {
     "secret": ("access", "user", "endpoint"),
@@ -71,9 +70,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates outside the base spans."""
+    """Weak candidates outside the base spans; none where nothing in the text could complement them."""
     found = [(m.start(), m.end(), "user") for m in _USER.finditer(text)]
-    found += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
+    found += [(m.start(), m.end(), "endpoint") for m in _HOST.finditer(text)]
+    if "://" in text:
+        found += [(m.start(), m.end(), "endpoint") for m in _URL.finditer(text)]
+    if not found and not base:
+        return []
     found += [(m.start(), m.end(), "secret") for m in _LOOKS_SECRET.finditer(text) if entropy(m.group()) >= ENTROPY]
     out, i, covered = [], 0, 0
     for s in sorted(found):
