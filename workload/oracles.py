@@ -211,6 +211,21 @@ FUZZY = f"""with {PART_TERMS}, {DVOCAB} select pt.word term, dvocab.word word,
    (case when starts_with(dvocab.word, pt.word) then 0 else 1 end)::bigint distance from pt cross join dvocab
    where starts_with(dvocab.word, pt.word) or {edit_one('pt.word', 'dvocab.word')}"""
 
+
+def byte_list(x: str) -> str:
+    return f"list_transform(range(0, strlen({x})), lambda i: ('0x' || substring(hex({x}), 2*i+1, 2))::bigint)"
+
+
+# The rows of the edit table, one per byte of the term: steps from above and the diagonal first, then along the row.
+INDEL = f"""with {PART_TERMS}, {DVOCAB},
+   pair as (select pt.word term, dvocab.word word, {byte_list('pt.word')} q, {byte_list('dvocab.word')} t
+     from pt join dvocab on left(pt.word, 2) = left(dvocab.word, 2)),
+   done as (select term, word, list_reduce(list_transform(q, lambda c: [c]), lambda acc, c:
+       list_transform([list_transform(range(1, len(acc)+1), lambda j: case when j = 1 then acc[1] + 1
+           else least(acc[j] + 1, acc[j-1] + case when t[j-1] = c[1] then 0 else 2 end) end)],
+         lambda best: list_transform(best, lambda x, j: list_min(list_transform(best[1:j], lambda y, k: y + j - k))::bigint))[1], range(0, len(t)+1)) r from pair)
+   select term, word, list_min(r[2:])::bigint distance from done"""
+
 READINGS = "rd as (select headword, case when entry_key % 3 = 0 then upper(reading) else reading end reading, entry_key line_no from lex)"
 
 
@@ -269,7 +284,7 @@ ORACLES: dict[str, str] = {
       d as (select p_name, word term, min(levenshtein(word, s)) distance from sub cross join pt group by all)
       select p_partkey, term, distance::bigint distance from part join d using (p_name) where distance <= 1""",
     "fuzzy_prefix": FUZZY,
-    "prefix_indel": FUZZY,
+    "prefix_indel": INDEL,
     "cost_heuristic": f"""
       with {LEX}, {LDOC}, b as (select entry_key, source, definitions from ldoc union all select entry_key, source, definitions from lex)
       select entry_key, source, {heuristic()} default_cost, {CUSTOM} custom_cost from b""",

@@ -172,9 +172,11 @@ def fuzzy_prefix(spark, sf):
 
 @query
 def prefix_indel(spark, sf):
-    return _fuzzy(spark, sf).select(
-        F.col("needle").alias("term"), F.col("key").alias("word"), prefix_indel_udf("needle", "key").alias("distance")
-    )
+    """Distances of any size, of part terms and the document words that begin with the same two characters."""
+    terms = part_terms(spark, sf).select(F.col("word").alias("needle"), F.left("word", F.lit(2)).alias("start"))
+    vocab = dvocab(spark, sf).select(F.col("word").alias("key"), F.left("word", F.lit(2)).alias("start"))
+    pairs = joins.salted_join(vocab, terms, "start", spread=F.xxhash64("key"))
+    return pairs.select(F.col("needle").alias("term"), F.col("key").alias("word"), prefix_indel_udf("needle", "key").alias("distance"))
 
 
 @query
