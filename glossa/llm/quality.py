@@ -386,7 +386,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     scored = cut(
         score(flagged.withColumn("held", held), words, model, table, shards).withColumn("log_perplexity", -F.col("log_probability") / F.col("n_tokens"))
     )
-    limits = thresholds(scored, quantile)
-    return scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_lang")).select(
+    limits = broadcast_if_small(thresholds(scored, quantile), 64)
+    return scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("_lang")).select(
         "doc_id", "lang", "n_tokens", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), (F.col("log_perplexity") <= F.col("threshold")).alias("keep")
     )
