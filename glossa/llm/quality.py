@@ -1,15 +1,23 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model.
 
-The model is trained on trusted text, the documents labelled as good. Its
-words are the most frequent ones of that text, at most ``VOCABULARY`` of them,
-so everything that is kept per word is of bounded size and travels with the
-tasks. Its bigram counts grow with the corpus. They are dealt to shards by a
-hash of the bigram; the bigrams of the documents go to the same shards, meet
-their counts there, and their log-probabilities are summed per document.
-
-The most frequent bigrams, again a bounded number, are scored where the
-documents are read and are never shuffled: no shard gets a hot key. The others
-travel as sorted, compressed blocks, a block per shard and chunk of documents.
+The model is trained on trusted text, the documents labelled as good, and keeps
+all words of that text. A word is a 64-bit code: the most frequent ones have
+short codes, and what is kept of them, of bounded size, travels with the tasks;
+every other word is coded by its hash. Which words have short codes changes
+what is shuffled, not the result.
+
+Bigram counts grow with the corpus. A bigram belongs to the shard of its second
+word if that has no short code, else to that of its first word, else to one by
+a hash of both. So all that is known of a word without a short code lies in its
+shard, but for the counts of its bigrams with another such word, which the
+shards tell each other. No such word is frequent, and no shard gets a hot key.
+
+The log-probability of a bigram that was not seen is the sum of what its context
+and its word give; a seen one adds a difference. So the words with short codes
+and the most frequent bigrams, a bounded number, are scored where the documents
+are read. The other bigrams travel as sorted, compressed blocks, a block per
+shard and chunk of documents, and meet their counts; their shares are summed
+per document.
 
 A tenth of the trusted documents is left out of the training. A document is
 kept if its perplexity does not exceed a quantile of these in its language.
@@ -24,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,54 +41,88 @@ from glossa.llm.common import broadcast_if_small, cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-VOCABULARY = 65_000
+#: Words with short codes, and the longest of them. Others are coded by their hash; the result is the same.
+SHORT_CODES = 1 << 18
+LONGEST_SHORT = 64
+#: One in so many documents is asked for frequent words.
+ASKED = 8
 #: Bigrams scored where the documents are read.
 FREQUENT = 1 << 17
-#: Longer words are unknown words.
-LONGEST_WORD = 64
 #: Text bytes per shard.
 SHARD_BYTES = 1 << 27
 LEAST_SHARDS = 16
 #: Documents and tokens per chunk.
-CHUNK_DOCS, CHUNK_TOKENS = 8_192, 2_000_000
+CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_000_000
 QUANTILE = 0.97
 #: Held-out documents from which on a language has a threshold of its own making; below, all its documents serve.
 LEAST_HELD = 20
 #: Bins of log-perplexity per unit, for the quantiles.
 BINS = 1_000
 
-UNKNOWN, EDGE, FIRST = 0, 1, 2
+NOTHING, EDGE, FIRST = 0, 1, 2
+#: Set in the codes that are hashes.
+_HASHED = 1 << 63
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def bigrams(text: str, index: dict[str, int]) -> tuple[np.ndarray, int]:
-    """(bigram keys with the edges, number of unknown words)."""
+def word_codes(text: str, index: dict[str, int]) -> np.ndarray:
+    """Codes of the words of a text between two edges."""
     words = tokens(text)
-    ids = np.empty(len(words) + 2, dtype=np.uint32)
-    ids[0] = ids[-1] = EDGE
-    get = index.get
-    ids[1:-1] = [get(w, UNKNOWN) for w in words]
-    return (ids[:-1] << np.uint32(16)) | ids[1:], int((ids == UNKNOWN).sum())
+    codes = np.empty(len(words) + 2, dtype=np.uint64)
+    codes[0] = codes[-1] = EDGE
+    get, h = index.get, xxhash.xxh64_intdigest
+    codes[1:-1] = [get(w) or h(w.encode("utf-8", "surrogatepass")) | _HASHED for w in words]
+    return codes
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    return codes >= np.uint64(_HASHED)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _ODD
+    x = (x ^ (x >> np.uint64(29))) * _ODD2
+    return x ^ (x >> np.uint64(32))
+
 
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of bigrams."""
+    return _mix(_mix(context) + word * _ODD)
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _ODD) >> np.uint64(33)) % np.uint64(shards)
 
+def shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    home = np.where(hashed(word), _mix(word), np.where(hashed(context), _mix(context), pair_keys(context, word)))
+    return ((home >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences, byte planes apart, compressed."""
-    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
+def _runs(*sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows of sorted arrays begins."""
+    n = len(sorted_[0])
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+def pack_codes(codes: np.ndarray, sorted_: bool = False) -> bytes:
+    """Codes, or the differences of sorted ones, byte planes apart, compressed."""
+    steps = (np.diff(codes, prepend=np.uint64(0)) if sorted_ else codes).astype("<u8")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_codes(blob: bytes, sorted_: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(8, -1)
+    codes = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    return np.cumsum(codes, dtype=np.uint64) if sorted_ else codes
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -101,21 +144,22 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 10 == 0
 
 
-def vocabulary(training: DataFrame, size: int = VOCABULARY) -> tuple[list[str], int]:
-    """(the words from some count on, at most ``size``; the number of other distinct words)."""
+def frequent_words(docs: DataFrame, size: int | None = None) -> list[str]:
+    """The words of ``docs`` from some count on, at most ``size``, most frequent first."""
+    size = SHORT_CODES if size is None else size
 
     def count(batches):
         held: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                held.update(w for w in tokens(text) if len(w) <= LONGEST_WORD)
+                held.update(w for w in tokens(text) if len(w) <= LONGEST_SHORT)
             if len(held) > 400_000:
                 yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held = Counter()
         if held:
             yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
-    counts = cut(training.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = cut(docs.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n") * 32).cast("int")
     # Few levels, whatever the counts: 32 for each doubling.
     levels = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
@@ -124,30 +168,51 @@ def vocabulary(training: DataFrame, size: int = VOCABULARY) -> tuple[list[str],
         if taken + levels[at] > size:
             break
         taken, lowest = taken + levels[at], at
-    rest = sum(levels.values()) - taken
     if lowest is None:
-        return [], rest
+        return []
     words = counts.filter(level >= lowest).collect()
-    return [r["word"] for r in sorted(words, key=lambda r: (-r["n"], r["word"]))], rest
+    return [r["word"] for r in sorted(words, key=lambda r: (-r["n"], r["word"]))]
+
+
+_STATS = ("total", "n1", "n2", "n3")
+_COUNTED = (
+    "kind int, shard int, source int, a binary, w binary, counts binary, "
+    + ", ".join(f"{x} array<bigint>" for x in ("word", *_STATS, "before", "spectrum", "befores"))
+)
 
 
 def count_bigrams(training: DataFrame, index: dict[str, int], shards: int) -> DataFrame:
-    """(shard, keys, counts, seen arrays per word, counts of counts): one row per shard, merged."""
+    """Rows of ``_COUNTED``.
+
+    Kind 0, one row per shard: its bigrams (a, w) with their counts, sums for
+    the words with short codes, counts of counts, and of its other words the
+    numbers of those seen in 1, 2, 3, 4 and in 3 or more contexts, the sum of
+    contexts and the number of words. Kind 1: sums of contexts without short
+    codes in the bigrams of shard ``source``, for the shard of the context.
+    """
+    width = FIRST + len(index)
 
     def count(batches):
         held, n = [], 0
 
         def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            where = shard_of(keys, shards)
-            rows = [(s, pack_keys(keys[where == s]), _pack(counts[where == s], "<i8")) for s in np.unique(where)]
-            return pd.DataFrame(rows, columns=["shard", "keys", "counts"]).astype({"shard": "int32"})
+            a, w = np.concatenate([k[:-1] for k in held]), np.concatenate([k[1:] for k in held])
+            order = np.lexsort((w, a))
+            a, w = a[order], w[order]
+            first = _runs(a, w)
+            a, w, counts = a[first], w[first], np.diff(first, append=len(a))
+            where = shard_of(a, w, shards)
+            rows = []
+            for s in np.unique(where):
+                own = where == s
+                rows.append((s, pack_codes(a[own], True), pack_codes(w[own]), _pack(counts[own], "<i8")))
+            return pd.DataFrame(rows, columns=["shard", "a", "w", "counts"]).astype({"shard": "int32"})
 
         for batch in batches:
             for text in batch["text"]:
-                keys, _ = bigrams(text, index)
-                held.append(keys)
-                n += len(keys)
+                codes = word_codes(text, index)
+                held.append(codes)
+                n += len(codes)
                 if n > 2 * CHUNK_TOKENS:
                     yield flush()
                     held, n = [], 0
@@ -155,34 +220,68 @@ def count_bigrams(training: DataFrame, index: dict[str, int], shards: int) -> Da
             yield flush()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack_keys(b) for b in group["keys"]])
+        shard = int(group["shard"].iloc[0])
+        a = np.concatenate([unpack_codes(b, True) for b in group["a"]])
+        w = np.concatenate([unpack_codes(b) for b in group["w"]])
         counts = np.concatenate([_unpack(b, "<i8") for b in group["counts"]])
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts).astype(np.int64)
-        context, word = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        width = 1 << 16
+        order = np.lexsort((w, a))
+        a, w, counts = a[order], w[order], counts[order]
+        first = _runs(a, w)
+        a, w, counts = a[first], w[first], np.add.reduceat(counts, first)
+        rare_a, rare_w = hashed(a), hashed(w)
+        marks = (counts == 1, counts == 2, counts >= 3)
+        short, known = a[~rare_a].astype(np.int64), counts[~rare_a]
         per = np.stack(
             [
-                np.bincount(context, counts, width),
-                *(np.bincount(context, hit, width) for hit in (counts == 1, counts == 2, counts >= 3)),
-                np.bincount(word, minlength=width),
+                np.bincount(short, known, width),
+                *(np.bincount(short, hit[~rare_a], width) for hit in marks),
+                np.bincount(w[~rare_w].astype(np.int64), minlength=width),
             ]
         ).astype(np.int64)
         used = np.flatnonzero(per.any(axis=0))
-        row = {"shard": group["shard"].iloc[0], "keys": pack_keys(keys), "counts": _pack(counts, "<i8"), "word": used.tolist()}
-        row |= {name: per[i, used].tolist() for i, name in enumerate(("total", "n1", "n2", "n3", "before"))}
+        _, before = np.unique(w[rare_w], return_counts=True)
+        blank = dict.fromkeys(c.split()[0] for c in _COUNTED.split(", "))
+        row = blank | {"kind": 0, "shard": shard, "a": pack_codes(a, True), "w": pack_codes(w), "counts": _pack(counts, "<i8"), "word": used.tolist()}
+        row |= {name: per[i, used].tolist() for i, name in enumerate((*_STATS, "before"))}
         row["spectrum"] = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
-        return pd.DataFrame([row])
+        row["befores"] = [*(int((before == c).sum()) for c in (1, 2, 3, 4)), int((before >= 3).sum()), int(before.sum()), len(before)]
+        rows = [row]
+        at = np.flatnonzero(rare_a)
+        first = _runs(a[at])
+        if len(first):
+            codes = a[at[first]]
+            sums = np.stack([np.add.reduceat(x[at].astype(np.int64), first) for x in (counts, *marks)])
+            to = shard_of(codes, np.zeros_like(codes), shards)
+            for t in np.unique(to):
+                own = to == t
+                rows.append(blank | {"kind": 1, "shard": int(t), "source": shard, "a": pack_codes(codes[own], True), "counts": _pack(sums[:, own], "<i8")})
+        return pd.DataFrame(rows).astype({"source": "Int32"})
 
-    arrays = ", ".join(f"{a} array<bigint>" for a in ("word", "total", "n1", "n2", "n3", "before", "spectrum"))
     return (
         training.select("text")
-        .mapInPandas(count, "shard int, keys binary, counts binary")
+        .mapInPandas(count, "shard int, a binary, w binary, counts binary")
         .groupBy("shard")
-        .applyInPandas(merge, f"shard int, keys binary, counts binary, {arrays}")
+        .applyInPandas(merge, _COUNTED)
     )
 
 
+def context_sums(table: DataFrame) -> DataFrame:
+    """(shard, a, counts): whole sums of the contexts without short codes, told to each shard that has bigrams of them."""
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack_codes(b, True) for b in group["a"]]
+        codes, at = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.zeros((4, len(codes)), dtype=np.int64)
+        given = np.concatenate([_unpack(b, "<i8").reshape(4, -1) for b in group["counts"]], axis=1)
+        np.add.at(sums, (slice(None), at), given)
+        home, sources = int(group["shard"].iloc[0]), group["source"].tolist()
+        rows = [(home, pack_codes(codes, True), _pack(sums, "<i8"))]
+        rows += [(s, b, _pack(sums[:, np.searchsorted(codes, c)], "<i8")) for s, b, c in zip(sources, group["a"], asked, strict=True) if s != home]
+        return pd.DataFrame(rows, columns=["shard", "a", "counts"])
+
+    return table.filter("kind = 1").groupBy("shard").applyInPandas(answer, "shard int, a binary, counts binary")
+
+
 def discounts(spectrum: list[int]) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more from the numbers of things seen 1 to 4 times."""
     n1, n2, n3, n4 = (float(max(n, 1)) for n in spectrum)
@@ -192,54 +291,66 @@ def discounts(spectrum: list[int]) -> np.ndarray:
 
 
 class BigramModel:
-    """What the model keeps per word, and its frequent bigrams. Bigram counts of the shards come from outside."""
+    """The discounts, what is kept of the words with short codes, and the frequent bigrams. All else comes from the shards."""
 
-    def __init__(self, per_word: dict[int, tuple], spectrum: list[int], size: int, other_words: int):
-        width = 1 << 16
-        total, n1, n2, n3, before = np.zeros((5, width))
+    def __init__(self, per_word: dict[int, tuple], width: int, spectrum: list[int], befores: list[int]):
+        stats, before = np.zeros((4, width)), np.zeros(width)
         for w, row in per_word.items():
-            total[w], n1[w], n2[w], n3[w], before[w] = row
+            stats[:, w], before[w] = row[:4], row[4]
         self.discount = discounts(spectrum)
-        d = self.discount
-        self.total = total
-        self.back = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
         # The lower order: in how many contexts a word was seen, discounted in the same way, over a uniform share.
-        e = discounts([int((before == c).sum()) for c in (1, 2, 3, 4)])
-        all_ = max(before.sum(), 1.0)
-        words = size + FIRST
-        cut_ = np.minimum(before, e[np.minimum(before, 3).astype(int)])
-        self.single = (before - cut_) / all_ + (cut_.sum() / all_ if before.any() else 1.0) / words
-        # An unknown word is one of the words that were left out of the vocabulary.
-        self.single_unknown = float(np.log(max(other_words, 1)))
-        self.frequent_keys = np.zeros(0, dtype=np.uint32)
-        self.frequent_counts = np.zeros(0, dtype=np.int64)
-
-    def log_probability(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        context, word = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        seen = np.maximum(counts - self.discount[np.minimum(counts, 3)], 0) / np.maximum(self.total[context], 1)
-        return np.log(np.where(self.total[context] > 0, seen + self.back[context] * self.single[word], self.single[word]))
-
-
-def train(training: DataFrame, shards: int) -> tuple[list[str], BigramModel, DataFrame]:
-    """(words, model, (shard, keys, counts))."""
-    words, other = vocabulary(training)
+        seen = [int((before == c).sum()) + befores[c - 1] for c in (1, 2, 3, 4)]
+        self.lower = e = discounts(seen)
+        self.contexts = max(before.sum() + befores[5], 1.0)
+        more = int((before >= 3).sum()) + befores[4]
+        discounted = seen[0] * min(1, e[1]) + seen[1] * min(2, e[2]) + more * e[3]
+        words = int((before[FIRST:] > 0).sum()) + befores[6] + FIRST
+        self.uniform = (discounted / self.contexts if seen[0] + seen[1] + more else 1.0) / words
+        self.total, self.back, self.single = stats[0], self.backing(stats), self.lower_order(before)
+        self.frequent_keys = np.zeros(0, dtype=np.uint64)
+        self.frequent_gains = np.zeros(0)
+
+    def backing(self, stats: np.ndarray) -> np.ndarray:
+        """Weight of the lower order after contexts with the sums (total, n1, n2, n3); 1 after one that was not seen."""
+        d = self.discount
+        return np.where(stats[0] > 0, (d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]) / np.maximum(stats[0], 1), 1.0)
+
+    def lower_order(self, before: np.ndarray) -> np.ndarray:
+        return (before - np.minimum(before, self.lower[np.minimum(before, 3).astype(int)])) / self.contexts + self.uniform
+
+    def gain(self, counts: np.ndarray, total: np.ndarray, back: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """What a bigram seen ``counts`` times has over the lower order, in log-probability; 0 where not seen."""
+        seen = np.maximum(counts - self.discount[np.minimum(counts, 3)], 0) / np.maximum(total, 1)
+        return np.where(counts > 0, np.log1p(seen / (back * single)), 0.0)
+
+
+def train(training: DataFrame, asked: DataFrame, shards: int) -> tuple[list[str], BigramModel, DataFrame]:
+    """(words with short codes, model, rows (shard, a, w, counts) of bigrams and, without w, of contexts)."""
+    words = frequent_words(asked)
     index = {w: i for i, w in enumerate(words, FIRST)}
     table = cut(count_bigrams(training, index, shards))
-    names = ["total", "n1", "n2", "n3", "before"]
-    each = table.select(F.explode(F.arrays_zip("word", *names)).alias("w")).groupBy("w.word").agg(*[F.sum(f"w.{n}").alias(n) for n in names])
-    per_word = {r["word"]: tuple(r[n] for n in names) for r in each.collect()}  # no more rows than the vocabulary
-    spectrum = table.select(*[F.sum(F.col("spectrum")[i]).alias(f"s{i}") for i in range(4)]).first()
-    model = BigramModel(per_word, [int(s or 0) for s in spectrum], len(words), other)
+    names = [*_STATS, "before"]
+    each = table.filter("kind = 0").select(F.explode(F.arrays_zip("word", *names)).alias("w")).groupBy("w.word").agg(*[F.sum(f"w.{n}").alias(n) for n in names])
+    per_word = {r["word"]: tuple(r[n] for n in names) for r in each.collect()}  # no more rows than short codes
+    sums = table.select(*[F.sum(F.col("spectrum")[i]) for i in range(4)], *[F.sum(F.col("befores")[i]) for i in range(7)]).first()
+    sums = [int(s or 0) for s in sums]
+    model = BigramModel(per_word, FIRST + len(words), sums[:4], sums[4:])
+
+    def short(a, w, counts):
+        a, w, counts = unpack_codes(a, True), unpack_codes(w), _unpack(counts, "<i8")
+        own = ~hashed(a) & ~hashed(w)
+        return a[own], w[own], counts[own], np.floor(np.log2(counts[own]) * 8).astype(int)
 
     def levels(batches):
         for batch in batches:
             held: Counter = Counter()
-            for blob in batch["counts"]:
-                held.update(np.floor(np.log2(_unpack(blob, "<i8")) * 8).astype(int).tolist())
+            for row in zip(batch["a"], batch["w"], batch["counts"], strict=True):
+                held.update(dict(zip(*(x.tolist() for x in np.unique(short(*row)[3], return_counts=True)), strict=True)))
             if held:
                 yield pd.DataFrame({"level": list(held), "n": list(held.values())}).astype("int64")
 
-    found = table.select("counts").mapInPandas(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    bigrams = table.filter("kind = 0").select("a", "w", "counts")
+    found = bigrams.mapInPandas(levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()
     taken, lowest = 0, None
     for r in sorted(found, reverse=True):
         if taken + r["n"] > FREQUENT:
@@ -248,26 +359,69 @@ def train(training: DataFrame, shards: int) -> tuple[list[str], BigramModel, Dat
 
     def frequent(batches):
         for batch in batches:
-            for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-                k, c = unpack_keys(keys), _unpack(counts, "<i8")
-                hit = np.floor(np.log2(c) * 8) >= lowest
-                yield pd.DataFrame({"key": k[hit].astype(np.int64), "n": c[hit]})
+            for row in zip(batch["a"], batch["w"], batch["counts"], strict=True):
+                a, w, c, level = short(*row)
+                hit = level >= lowest
+                yield pd.DataFrame({"a": a[hit].astype(np.int64), "w": w[hit].astype(np.int64), "n": c[hit]})
 
     if lowest is not None:
-        rows = sorted(table.select("keys", "counts").mapInPandas(frequent, "key bigint, n bigint").collect())  # at most FREQUENT rows
-        model.frequent_keys = np.array([r["key"] for r in rows], dtype=np.uint32)
-        model.frequent_counts = np.array([r["n"] for r in rows], dtype=np.int64)
-    return words, model, table.select("shard", "keys", "counts")
+        rows = sorted(bigrams.mapInPandas(frequent, "a bigint, w bigint, n bigint").collect())  # at most FREQUENT rows
+        a, w, n = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+        model.frequent_keys = (a.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+        model.frequent_gains = model.gain(n, model.total[a], model.back[a], model.single[w])
+    contexts = cut(context_sums(table)).select("shard", "a", F.lit(None).cast("binary").alias("w"), "counts")
+    return words, model, table.filter("kind = 0").select("shard", "a", "w", "counts").union(contexts)
 
 
 _HEAD = "ids array<bigint>, langs array<string>, n array<int>, held array<boolean>, local array<double>"
 
 
-def _find(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
+    """``values`` at the ``wanted`` of the sorted ``keys``."""
     if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64)
+        return np.full(len(wanted), default)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+    return np.where(keys[at] == wanted, values[at], default)
+
+
+class Shard:
+    """What a shard knows: its bigrams and its words without short codes."""
+
+    def __init__(self, model: BigramModel, counted: pd.DataFrame):
+        self.model = model
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.words, self.single = np.zeros(0, dtype=np.uint64), np.zeros(0)
+        codes, sums = [np.zeros(0, dtype=np.uint64)], [np.zeros((4, 0), dtype=np.int64)]
+        for r in counted.itertuples(index=False):
+            a = unpack_codes(r.a, True)
+            if r.w is None:
+                codes.append(a)
+                sums.append(_unpack(r.counts, "<i8").reshape(4, -1))
+                continue
+            w = unpack_codes(r.w)
+            keys = pair_keys(a, w)
+            order = np.argsort(keys)
+            self.keys, self.counts = keys[order], _unpack(r.counts, "<i8")[order]
+            self.words, before = np.unique(w[hashed(w)], return_counts=True)
+            self.single = model.lower_order(before)
+        self.contexts, first = np.unique(np.concatenate(codes), return_index=True)
+        stats = np.concatenate(sums, axis=1)[:, first]
+        self.total, self.back = stats[0], model.backing(stats)
+
+    def shares(self, a: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What bigrams add to a text beyond what is known where it is read."""
+        m, rare_a, rare_w = self.model, hashed(a), hashed(w)
+        total, back, single = np.zeros(len(a)), np.ones(len(a)), np.full(len(a), m.uniform)
+        at = a[~rare_a].astype(np.int64)
+        total[~rare_a], back[~rare_a] = m.total[at], m.back[at]
+        total[rare_a], back[rare_a] = _find(self.contexts, self.total, a[rare_a], 0), _find(self.contexts, self.back, a[rare_a], 1.0)
+        single[~rare_w] = m.single[w[~rare_w].astype(np.int64)]
+        single[rare_w] = _find(self.words, self.single, w[rare_w], m.uniform)
+        out = m.gain(_find(self.keys, self.counts, pair_keys(a, w), 0), total, back, single)
+        out[rare_w] += np.log(single[rare_w] / m.uniform)
+        context = rare_a & ~rare_w
+        out[context] += np.log(back[context])
+        return out
 
 
 def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFrame, shards: int) -> DataFrame:
@@ -276,22 +430,30 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
 
     def encode(batches):
         part, made = TaskContext.get().partitionId(), 0
-        rows, keys, n = [], [], 0
+        rows, codes, n = [], [], 0
+        log_single, log_back, log_uniform = np.log(model.single), np.log(model.back), np.log(model.uniform)
 
         def flush():
             nonlocal made
             chunk = (part << 32) | made
             made += 1
-            at = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-            all_ = np.concatenate(keys)
-            known = _find(model.frequent_keys, model.frequent_counts, all_)
-            hot = known > 0
-            local = np.bincount(at[hot], model.log_probability(all_[hot], known[hot]), len(rows)) - np.array([r[3] for r in rows]) * model.single_unknown
-            all_, at = all_[~hot], at[~hot]
-            where = shard_of(all_, shards)
-            order = np.lexsort((at, all_, where))
-            all_, at, where = all_[order], at[order], where[order]
-            columns = ["shard", "chunk", "size", "keys", "times", "docs", "ids", "langs", "n", "held", "local"]
+            sizes = [len(k) - 1 for k in codes]
+            at = np.repeat(np.arange(len(rows)), sizes)
+            a, w = np.concatenate([k[:-1] for k in codes]), np.concatenate([k[1:] for k in codes])
+            rare_a, rare_w = hashed(a), hashed(w)
+            known = np.where(rare_w, log_uniform, log_single[np.where(rare_w, 0, w).astype(np.int64)])
+            known += np.where(rare_a, 0.0, log_back[np.where(rare_a, 0, a).astype(np.int64)])
+            both = ~rare_a & ~rare_w
+            gain = np.zeros(len(a))
+            gain[both] = _find(model.frequent_keys, model.frequent_gains, (a[both] << np.uint64(32)) | w[both], np.nan)
+            hot = ~np.isnan(gain) & both
+            local = np.bincount(at, known + np.where(hot, gain, 0.0), len(rows))
+            # A context without a short code before such a word is known in another shard than their bigram.
+            apart = rare_a & rare_w
+            a, w, at = np.concatenate([a[~hot], a[apart]]), np.concatenate([w[~hot], np.full(apart.sum(), NOTHING, dtype=np.uint64)]), np.concatenate([at[~hot], at[apart]])
+            where = shard_of(a, w, shards)
+            by_shard = np.argsort(where, kind="stable")
+            columns = ["shard", "chunk", "size", "a", "w", "times", "docs", "ids", "langs", "n", "held", "local"]
             blank = dict.fromkeys(columns)
             out = [
                 blank
@@ -300,40 +462,43 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
                     "chunk": chunk,
                     "ids": [r[0] for r in rows],
                     "langs": [r[1] for r in rows],
-                    "n": [len(k) for k in keys],
+                    "n": sizes,
                     "held": [r[2] for r in rows],
                     "local": local.tolist(),
                 }
             ]
-            edges = np.flatnonzero(np.diff(where)) + 1
-            for a, b in zip([0, *edges], [*edges, len(where)], strict=True):
-                if b > a:
-                    own, times = np.unique(all_[a:b], return_counts=True)
-                    out.append(blank | {"shard": int(where[a]), "chunk": chunk, "size": len(rows), "keys": pack_keys(own), "times": _pack(times, "<u4"), "docs": _pack(at[a:b], "<u2")})
+            edges = np.flatnonzero(np.diff(where[by_shard])) + 1
+            for rows_of in np.split(by_shard, edges):
+                if len(rows_of):
+                    own_a, own_w, own_at = a[rows_of], w[rows_of], at[rows_of]
+                    order = np.lexsort((own_at, own_w, own_a))
+                    own_a, own_w = own_a[order], own_w[order]
+                    first = _runs(own_a, own_w)
+                    times = np.diff(first, append=len(order))
+                    own = {"a": pack_codes(own_a[first], True), "w": pack_codes(own_w[first]), "times": _pack(times, "<u4"), "docs": _pack(own_at[order], "<u2")}
+                    out.append(blank | own | {"shard": int(where[rows_of[0]]), "chunk": chunk, "size": len(rows)})
             return pd.DataFrame(out, columns=columns).astype({"size": "Int32"})
 
         for batch in batches:
             for doc, lang, text, held in zip(batch["doc_id"], batch["lang"], batch["text"], batch["held"], strict=True):
-                k, unknown = bigrams(text, index)
-                rows.append((None if pd.isna(doc) else int(doc), lang, bool(held), unknown))
-                keys.append(k)
+                k = word_codes(text, index)
+                rows.append((None if pd.isna(doc) else int(doc), lang, bool(held)))
+                codes.append(k)
                 n += len(k)
                 if len(rows) >= CHUNK_DOCS or n >= CHUNK_TOKENS:
                     yield flush()
-                    rows, keys, n = [], [], 0
+                    rows, codes, n = [], [], 0
         if rows:
             yield flush()
 
     def meet(blocks: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        keys = unpack_keys(counted["keys"].iloc[0]) if len(counted) else np.zeros(0, dtype=np.uint32)
-        counts = _unpack(counted["counts"].iloc[0], "<i8") if len(counted) else np.zeros(0, dtype=np.int64)
-        out = []
+        out, shard = [], None
         for r in blocks.itertuples(index=False):
             row = {"chunk": r.chunk, "shard": r.shard, "sums": None, "ids": r.ids, "langs": r.langs, "n": r.n, "held": r.held, "local": r.local}
-            if r.keys is not None:
-                own = unpack_keys(r.keys)
-                logs = np.repeat(model.log_probability(own, _find(keys, counts, own)), _unpack(r.times, "<u4"))
-                row["sums"] = np.bincount(_unpack(r.docs, "<u2"), logs, int(r.size)).astype("<f4").tobytes()
+            if r.a is not None:
+                shard = shard or Shard(model, counted)
+                shares = np.repeat(shard.shares(unpack_codes(r.a, True), unpack_codes(r.w)), _unpack(r.times, "<u4"))
+                row["sums"] = np.bincount(_unpack(r.docs, "<u2"), shares, int(r.size)).astype("<f4").tobytes()
             out.append(row)
         return pd.DataFrame(out, columns=["chunk", "shard", "sums", "ids", "langs", "n", "held", "local"])
 
@@ -346,7 +511,7 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
         return out.assign(log_probability=total)
 
     blocks = docs.select("doc_id", "lang", "text", "held").mapInPandas(
-        encode, f"shard int, chunk bigint, size int, keys binary, times binary, docs binary, {_HEAD}"
+        encode, f"shard int, chunk bigint, size int, a binary, w binary, times binary, docs binary, {_HEAD}"
     )
     met = blocks.groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(meet, f"chunk bigint, shard int, sums binary, {_HEAD}")
     return met.groupBy("chunk").applyInPandas(combine, "doc_id bigint, lang string, held boolean, n_tokens int, log_probability double")
@@ -382,7 +547,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, size // SHARD_BYTES)
     held = F.col("trusted") & F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    words, model, table = train(flagged.filter(F.col("trusted") & ~held), shards)
+    used = F.col("trusted") & ~held
+    # A part of the documents is asked, as it only says which words have short codes.
+    asked = flagged.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % ASKED == 0)
+    words, model, table = train(flagged.filter(used), asked, shards)
     scored = cut(
         score(flagged.withColumn("held", held), words, model, table, shards).withColumn("log_perplexity", -F.col("log_probability") / F.col("n_tokens"))
     )

@@ -333,6 +333,40 @@ def test_kneser_ney(spark):
             assert got[i]["perplexity"] == pytest.approx(want, rel=1e-5) and got[i]["n_tokens"] == len(ws) - 1
 
 
+@pytest.mark.parametrize("short,frequent", [(0, 0), (7, 3), (1 << 18, 1 << 17)])
+def test_every_word_counts(spark, monkeypatch, short, frequent):
+    """Words without short codes, long ones too, have the probabilities of a model of all words."""
+    monkeypatch.setattr(quality, "SHORT_CODES", short)
+    monkeypatch.setattr(quality, "FREQUENT", frequent)
+    rng = random.Random(21)
+    rare = [f"r{i}" for i in range(90)] + ["q" * 70 + str(i) for i in range(10)]
+    rows = [(i, "en", " ".join(rng.choice(rare) if rng.random() < 0.4 else rng.choice(WORDS) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    rows.append((200, "en", f"never {rare[0]} seen {rare[95]} {rare[96]} before"))
+    trusted = [t for i, _, t in rows if i < 90 and zlib.crc32(str(i).encode()) % 10]
+    pairs = Counter(p for t in trusted for p in zip(["<>", *quality.tokens(t)], [*quality.tokens(t), "<>"], strict=True))
+    before, totals, after = Counter(w for _, w in pairs), Counter(), defaultdict(list)
+    for (a, _), c in pairs.items():
+        totals[a] += c
+        after[a].append(c)
+    d = quality.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    e = quality.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
+    rest = sum(min(c, e[min(c, 3)]) for c in before.values()) / len(pairs) / (len(before) - 1 + quality.FIRST)
+    single = lambda w: max(before[w] - e[min(before[w], 3)], 0) / len(pairs) + rest
+
+    def p(a, w):
+        if not totals[a]:
+            return single(w)
+        return (max(pairs[a, w] - d[min(pairs[a, w], 3)], 0) + sum(d[min(c, 3)] for c in after[a]) * single(w)) / totals[a]
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(90)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    for i, _, t in rows:
+        ws = ["<>", *quality.tokens(t), "<>"]
+        want = math.exp(-sum(math.log(p(a, w)) for a, w in zip(ws, ws[1:], strict=False)) / (len(ws) - 1))
+        assert got[i]["perplexity"] == pytest.approx(want, rel=1e-5), i
+
+
 # HTML
 
 
