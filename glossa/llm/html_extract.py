@@ -32,7 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Share of a host's pages in which a class must occur to be of the template.
 SUPPORT = 0.5
-#: Pages of a host from which on classes mean anything.
+#: Different pages of a host from which on classes mean anything.
 LEAST_PAGES = 4
 #: Tokens of a valid class.
 LEAST_TOKENS = 2
@@ -192,14 +192,30 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.mapInPandas(run, TOKENS)
 
 
+def different_pages(pages: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """(host, html): one of each set of equal pages of a host.
+
+    Only pages that have copies are dealt out, and of these one per task, unless there are too many to be told by a broadcast.
+    """
+    keyed = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
+    copied = cut(keyed.groupBy("page").count().filter("count > 1").select("page"))
+    one = lambda df: df.groupBy("page").agg(F.first("host").alias("host"), F.first("html").alias("html")).select("host", "html")
+    if copied.count() * 24 > limit:
+        return one(keyed)
+    few = F.broadcast(copied)
+    return keyed.join(few, "page", "left_anti").select("host", "html").union(one(keyed.join(few, "page", "left_semi")))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, boilerplate): path of the article's slot and tokens of boilerplate blocks, per host with enough pages.
+    """(host, main, boilerplate): path of the article's slot and tokens of boilerplate blocks, per host with enough different pages.
+
+    Copies of a page are no evidence of a template, so equal pages count once.
 
     Only tokens of most of a host's pages are gathered, no more than a few
     times those of a page.
     """
     vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(_MOD).cast("decimal(38,0)")).cast("bigint")
-    sums = page_tokens(pages).groupBy("host", "token", "kind", "path").agg(
+    sums = page_tokens(different_pages(pages)).groupBy("host", "token", "kind", "path").agg(
         F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
     sums = cut(sums.filter((F.col("pages") >= LEAST_PAGES) | (F.col("kind") == 0)))
@@ -239,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page.
 
     A null or empty page has the empty text; a null url is a host of its own.
-    Hosts with fewer than LEAST_PAGES pages have no template and are read by
+    Hosts with fewer than LEAST_PAGES different pages have no template and are read by
     their tags alone. Repeated rows are told again; an empty table gives no
     rows. Columns other than page_id, url and html are ignored.
     """

@@ -385,6 +385,17 @@ def test_template(spark):
         assert got[i] == f"Story {i} First bold part <{i}> of a text that is long enough. Second part {i}."
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_copies_of_a_page(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extract.different_pages, "__defaults__", (limit,))
+    page = lambda i: f"<body><div class='top'><p>Welcome</div><article><h1>Title {i}</h1><p>Text of number {i}.<p>And more {i}.</article></body>"
+    rows = [(i, f"http://a.example/{i}", page(min(i, 6))) for i in range(20)] + [(30 + i, None, page(7)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert len(got) == 25
+    for i, n in [(i, min(i, 6)) for i in range(20)] + [(30 + i, 7) for i in range(5)]:
+        assert got[i] == f"Title {n} Text of number {n}. And more {n}."
+
+
 # Personal data
 
 
