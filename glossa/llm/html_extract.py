@@ -10,7 +10,9 @@ over pages, stands for its vector, and adds up in any order on any number of
 executors. Classes that occur in most pages of a host are its template.
 Containers of valid classes, nested as their paths are, frame its slots; blocks
 that belong to a class are boilerplate, wherever they stand. The slot that
-holds most of the changing text outside menus and the like is the article's.
+holds most of the changing text outside menus and the like is the article's:
+the outermost one named so, with all text below it, or else the one with most
+text of its own.
 """
 
 from __future__ import annotations
@@ -63,22 +65,28 @@ MARKS = frozenset(
     "respond share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar skip copyright".split()
 )
 _NAME = re.compile(r"[A-Za-z]+")
+#: End of the path of a container that is named as the article's, in Python and in Spark.
+NAMED = r"/(article|main)(\.[^/]*)?$|\.main(\.[^/]*)?$"
 
 
-def _container(tag: str, rest: str) -> tuple[str, bool]:
-    """(name of a container in a path, whether it is boilerplate by its tag or names)."""
-    names, out = [], tag in BOILERPLATE
+def _container(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
+    """(name of a container in a path, whether it is boilerplate by its tag or names, whether it is an article or the main part).
+
+    ``inside`` of these a class or id marks only as a whole: an article-header is the article's own.
+    """
+    names, out, own = [], tag in BOILERPLATE, tag in ("article", "main")
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if key == "role":
             out |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
             names += ["main"] if value.lower() == "main" else []
+            own |= value.lower() == "main"
         elif key in ("hidden", "aria-hidden"):
             out |= key == "hidden" or value.lower() == "true"
         else:
             names.append(value)
-            out |= any(w.lower() in MARKS for w in _NAME.findall(value))
-    return f"{tag}.{'.'.join(names)}" if names else tag, out
+            out |= any(w.lower() in MARKS for w in (value.split() if inside else _NAME.findall(value)))
+    return f"{tag}.{'.'.join(names)}" if names else tag, out, own
 
 
 def blocks(page: str):
@@ -88,7 +96,7 @@ def blocks(page: str):
     linked characters): the text between two block-level tags, its character
     references decoded and its white space made single spaces.
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, path, boilerplate
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boilerplate, inside of an article or the main part
     opened: list[tuple[str, bool]] = []
     out: list[tuple[str, bool, str, int]] = []
     held: list[str] = []
@@ -131,19 +139,37 @@ def blocks(page: str):
                     break
             depth_a = 0
         else:
-            name, bad = _container(tag, m.group("rest"))
-            above, above_bad = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            above, above_bad, inside = stack[-1][1:] if stack else ("", False, False)
+            name, bad, own = _container(tag, m.group("rest"), inside)
             # A header inside of the article is the article's own.
             bad |= tag == "header" and "/article" not in above and "/main" not in above
             if tag in ("article", "main") or ".main" in name:
                 bad = False
             path = f"{above}/{name}"
-            stack.append((tag, path, bad or above_bad))
+            stack.append((tag, path, bad or above_bad, inside or own))
             opened.append((path, bad or above_bad))
     flush()
     return opened, out
 
 
+def below(opened: list[tuple[str, bool]], found: list[tuple[str, bool, str, int]]) -> dict[str, list[int]]:
+    """[characters, linked ones] of all text below each container that is named as the article's, boilerplate left out."""
+    named = {path for path, bad in opened if not bad and re.search(NAMED, path)}
+    out = {path: [0, 0] for path in named}
+    direct: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    if named:
+        for path, bad, block, linked in found:
+            if not bad:
+                direct[path][0] += len(block)
+                direct[path][1] += min(linked, len(block))
+    for path, (chars, linked) in direct.items():
+        for i in [*(m.start() for m in re.finditer("/", path)), len(path)]:
+            if path[:i] in named:
+                out[path[:i]][0] += chars
+                out[path[:i]][1] += linked
+    return out
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
@@ -185,6 +211,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     own = counts[1, path, "!" if bad else ""]
                     own[1] += len(block)
                     own[2] += min(linked, len(block))
+                for path, sums in below(opened, found).items():
+                    counts[1, path, ""][1:] = sums
                 for (kind, path, what), (n, chars, linked) in counts.items():
                     add(host, _hash(str(kind), path, what), kind, path + what if kind == 1 else "", n, page, chars, linked)
             yield pd.DataFrame([(h, t, *v) for (h, t), v in held.items()], columns=["host", "token", "kind", "path", "pages", "occurrences", "vector", "chars", "linked"])
@@ -226,11 +254,11 @@ def templates(pages: DataFrame) -> DataFrame:
         F.count("*").alias("tokens"), F.collect_list(F.struct("token", "kind", "path", "chars", "linked")).alias("members")
     )
     members = classes.filter(F.col("tokens") >= LEAST_TOKENS).select("host", "pages", "occurrences", F.explode("members").alias("m")).select("host", "pages", "occurrences", "m.*")
-    named = F.when(F.col("path").rlike(r"/(article|main)(\.[^/]*)?$|\.main(\.[^/]*)?$"), 1).otherwise(0)
-    # The frame's best slot: a named one, then most text that is not linked. Once a page, so that it is one slot.
+    named = F.when(F.col("path").rlike(NAMED), 1).otherwise(0)
+    # The frame's best slot: a named one, then most text that is not linked, then the outer one. Once a page, so that it is one slot.
     slot = F.when(
         (F.col("kind") == 1) & (F.col("occurrences") == F.col("pages")) & ~F.col("path").endswith("!") & (F.col("chars") > 2 * F.col("linked")),
-        F.struct(named.alias("named"), (F.col("chars") - F.col("linked")).alias("chars"), "path"),
+        F.struct(named.alias("named"), (F.col("chars") - F.col("linked")).alias("chars"), (-F.length("path")).alias("outer"), "path"),
     )
     return members.groupBy("host").agg(
         F.max(slot)["path"].alias("main"), F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("boilerplate")

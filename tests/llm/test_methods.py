@@ -396,6 +396,20 @@ def test_copies_of_a_page(spark, monkeypatch, limit):
         assert got[i] == f"Title {n} Text of number {n}. And more {n}."
 
 
+def test_sections_of_an_article(spark):
+    def page(i):
+        return (
+            i,
+            f"http://a.example/{i}",
+            f"<body><div class='sidebar-left'>Side {i}</div><article><div class='article-header'><h1>Title {i}</h1></div><div class=intro><p>Intro {i}.</div>"
+            f"<div class=body><p>A longer text of the body, number {i}.</div><div class='box side-by-side'>Pair {i}.</div><div class='box related'>Other {i}</div></article></body>",
+        )
+
+    for n in (8, 2):  # with a template, and by the tags alone
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([page(i) for i in range(n)], "page_id bigint, url string, html string")).collect()}
+        assert got == {i: f"Title {i} Intro {i}. A longer text of the body, number {i}. Pair {i}." for i in range(n)}
+
+
 # Personal data
 
 
