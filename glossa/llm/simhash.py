@@ -98,14 +98,19 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4, words: int = 1) -> DataFrame:
-    """``keep`` columns and w0..w{words-1}: the 64-bit words of the fingerprint as signed bigints."""
+def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
+    """``keep`` columns and w0..w{words-1}: the 64-bit words of the fingerprint as signed bigints.
+
+    A repeated shingle counts as often as it occurs, or once if ``distinct``.
+    """
 
     def run(batches):
         for batch in batches:
             out = np.zeros((words, len(batch)), dtype=np.uint64)
             for i, text in enumerate(batch.pop("_text")):
                 h = shingle_hashes(text, shingle)
+                if distinct:
+                    h = np.unique(h)
                 for k in range(words):
                     out[k, i] = majority(_mix(h, k))
             yield batch.assign(**{f"w{k}": out[k].view(np.int64) for k in range(words)})
@@ -352,7 +357,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     words = WIDE_WORDS
     ids = [f"w{k}" for k in range(words)]
     keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
-    rows = cut(fingerprints(keys, ["doc_id", "_crc"], WIDE_SHINGLE, words).withColumn("_name", F.xxhash64(*ids)))
+    rows = cut(fingerprints(keys, ["doc_id", "_crc"], WIDE_SHINGLE, words, distinct=True).withColumn("_name", F.xxhash64(*ids)))
     roots = near_duplicate_roots(rows, words, similarity)
     grouped = rows.select("doc_id", "_crc", "_name").join(roots, F.col("_name") == F.col("node"), "left")
     first = grouped.groupBy(F.coalesce("root", "_name").alias("_root")).agg(

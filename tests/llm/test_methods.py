@@ -204,6 +204,16 @@ def test_near_duplicates(spark):
     assert sorted({group[d] for d in kept}) == list(range(60)) and len(kept) <= 62
 
 
+def test_repeated_lines(spark):
+    rng = random.Random(22)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, same = text(10), text(300)
+    rows = [(i, f"{text(200)} {' '.join([line] * 20)}") for i in range(6)]  # different texts with one repeated line
+    rows += [(10, same), (11, " ".join([same, *[line] * 50]))]  # one text, with and without a repeated line
+    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept) == [0, 1, 2, 3, 4, 5, 10]
+
+
 # Packing
 
 
