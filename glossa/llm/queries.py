@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glossa.llm.common import read
 from glossa.llm.decontamination import contaminated
 from glossa.llm.fingerprints import fingerprint_documents
+from glossa.llm.hard_negatives import hard_negatives
 from glossa.llm.html_extract import extract
 from glossa.llm.packing import pack_documents
 from glossa.llm.pii import personal_data
@@ -57,6 +59,13 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +79,7 @@ QUERIES = {
         op8_html,
         op9_pii,
         op10_toxicity,
+        op11_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {}
