@@ -14,6 +14,7 @@ from glossa.llm.html_extract import extract
 from glossa.llm.packing import pack_documents
 from glossa.llm.pii import personal_data
 from glossa.llm.quality import classify
+from glossa.llm.repeats import remove_repeats
 from glossa.llm.secret_scan import scan
 from glossa.llm.sharding import shard_documents
 from glossa.llm.simhash import simhash_components
@@ -67,6 +68,10 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(read(spark, sf, "documents")).drop("kept")
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(read(spark, sf, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES = {
         op9_pii,
         op10_toxicity,
         op11_hard_negatives,
+        op12_repeats,
         op13_collocations,
     )
 }
