@@ -4,9 +4,13 @@ Every word is the start of a suffix, cut after three words or at the end of
 its piece. Suffixes are partitioned vertically: those that begin with the same
 word belong to one group, and groups are sized by a memory budget from the
 counts of words. A first word with more suffixes than its share of the budget
-is extended to whole suffixes, which spread over all groups. Each group builds
-its subtrees by itself: it sorts its suffixes, adds up equal ones to leaf
+is extended by the second word; as a pair is no more frequent than either word,
+only a second word over the share too extends it to the whole suffix. Each group
+builds its subtrees by itself: it sorts its suffixes, adds up equal ones to leaf
 totals, and reads the counts of two-word nodes off the totals below them.
+
+What a part of a task has for a group travels as one cell: its distinct words
+once, and the suffixes as compressed columns of numbers.
 """
 
 from __future__ import annotations
@@ -15,23 +19,26 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import broadcast_if_small, cut
+from glossa.llm.common import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Suffixes of a group, on average at most half of it; a first word with over an eighth of it is extended.
-BUDGET = 1 << 20
+BUDGET = 1 << 21
 DEPTH = 3
 LEAST = 10
 #: A phrase goes if a longer candidate around it has this many hundredths of its occurrences.
 INSIDE = 50
 BEST = 2000
 SCALE = 1_000_000
+#: Bits of a map of heavy first words, whatever their number; words that share a bit count together.
+MAP_BITS = 1 << 20
 #: Bytes of text counted at a time in a task, and rows of an Arrow batch that it gives.
 TEXT_BYTES = 16 << 20
 ROWS = 1 << 18
@@ -111,19 +118,91 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, w1 string, n bigint").groupBy("lang", "w1").agg(F.sum("n").alias("n"))
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, n): suffixes and how often a part of a task has them; words past a piece's end are empty."""
+def word_hash(lang: str, words: pa.Array) -> np.ndarray:
+    """Spark's xxhash64(lang, word) of each word, unsigned."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all first bytes first, which compress better."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def make_cell(words: pa.Array, extended: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Suffixes as bytes: sizes, the differences of the first column, the other columns, the counts, the words that occur and their marks."""
+    used, local = np.unique(np.concatenate(columns), return_inverse=True)
+    first, *others = np.split(local.astype(np.int32), DEPTH)
+    names = words.take(pa.array(used[used >= 0]))
+    offsets = np.frombuffer(names.buffers()[1], dtype=np.int32)[names.offset : names.offset + len(names) + 1]
+    letters = names.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(names) else b""
+    head = np.array([len(n), len(names), int((used < 0).any())], dtype="<i4").tobytes()
+    return head + zstandard.ZstdCompressor(level=1).compress(
+        b"".join([_planes(np.diff(first, prepend=0)), *map(_planes, others), _planes(n), _planes(np.diff(offsets)), extended[used[used >= 0]].tobytes(), letters])
+    )
+
+
+def read_cell(cell: bytes) -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(words, marks, columns, counts) of a cell; -1 is the word that is not there."""
+    n, names, blank = np.frombuffer(cell[:12], dtype="<i4").tolist()
+    data = zstandard.ZstdDecompressor().decompress(cell[12:])
+    column = lambda at, size: np.ascontiguousarray(np.frombuffer(data[at : at + 4 * size], dtype=np.uint8).reshape(4, size).T).view("<i4").ravel().astype(np.int64)
+    first, *rest = (column(4 * n * i, n) for i in range(DEPTH + 1))
+    columns, counts = [np.cumsum(first), *rest[:-1]], rest[-1]
+    at = 4 * n * (DEPTH + 1)
+    offsets = np.concatenate([[0], np.cumsum(column(at, names))]).astype(np.int32)
+    words = pa.StringArray.from_buffers(names, pa.py_buffer(offsets), pa.py_buffer(data[at + 5 * names :]))
+    return words, np.frombuffer(data[at + 4 * names : at + 5 * names], dtype=bool), [c - blank for c in columns], counts
+
+
+def suffix_cells(docs: DataFrame, groups: int, heavy: bytes) -> DataFrame:
+    """(group, lang, cell): the suffixes of two words or more of a part of a task, dealt to their groups."""
 
     def run(batches):
+        bits = np.unpackbits(np.frombuffer(heavy, dtype=np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for lang, text in _texts(batch):
                 words, columns, n = suffix_counts(text)
-                for first in range(0, len(n), ROWS):
-                    at = slice(first, first + ROWS)
-                    names = [pc.fill_null(words.take(pa.array(w[at], mask=w[at] < 0)), "") for w in columns]
-                    yield from _rows(["lang", "w1", "w2", "w3", "n"], [pa.repeat(lang, len(names[0])), *names, pa.array(n[at])])
-
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint")
+                keep = columns[1] >= 0
+                columns, n = [c[keep] for c in columns], n[keep]
+                code = np.concatenate([word_hash(lang, words), np.zeros(1, dtype=np.uint64)])  # the last one is for no word
+                extended = bits[code[:-1] % np.uint64(MAP_BITS)]
+                by_word = code[columns[0]]
+                by_pair = _mix(by_word + code[columns[1]])
+                by_suffix = _mix(by_pair + code[columns[2]])
+                first, second = extended[columns[0]], extended[columns[1]]
+                prefix = np.where(first, np.where(second, by_suffix, by_pair), _mix(by_word))
+                group = (prefix % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                bounds = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]]) if len(order) else []
+                ids, cells, size = [], [], 0
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    at = order[a:b]
+                    ids.append(int(group[at[0]]))
+                    cells.append(make_cell(words, extended, [c[at] for c in columns], n[at]))
+                    size += len(cells[-1])
+                    if size > 1 << 22:
+                        yield from _rows(["group", "lang", "cell"], [pa.array(ids), pa.repeat(lang, len(ids)), pa.array(cells, pa.binary())])
+                        ids, cells, size = [], [], 0
+                if ids:
+                    yield from _rows(["group", "lang", "cell"], [pa.array(ids), pa.repeat(lang, len(ids)), pa.array(cells, pa.binary())])
+
+    return docs.mapInArrow(run, "group bigint, lang string, cell binary")
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def heavy_map(words: DataFrame, most: int) -> bytes:
+    """A bit per slot of xxhash64(lang, word): set where the words of the slot have over ``most`` occurrences. Always MAP_BITS bits."""
+    slot = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1).cast("bigint"))
+    slots = words.select(F.xxhash64("lang", "w1").alias("h"), "n").groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+    bits = np.zeros(MAP_BITS, dtype=bool)
+    for r in slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect():
+        bits[r["at"] * 64 : r["at"] * 64 + 64] = np.unpackbits(np.array([r["bits"]], dtype="<i8").view(np.uint8), bitorder="little")
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def subtree(lang: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -149,41 +228,45 @@ def subtree(lang: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> list[tu
     return out
 
 
-def phrase_counts(rows: DataFrame, words: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
+def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """(lang, w1, w2, w3, f): phrases of two and three words that occur at least ``least`` times; w3 is empty for two.
 
-    ``rows`` are suffixes, ``words`` the counts of all words, written.
+    ``words`` are the counts of all words of ``docs``, written.
     """
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, -(-2 * total // budget))
-    heavy = words.filter(F.col("n") > budget // 8).select("lang", "w1", F.lit(True).alias("heavy"))
-    tagged = rows.join(broadcast_if_small(heavy, 96), ["lang", "w1"], "left")
-    by_word, by_suffix = F.xxhash64("lang", "w1"), F.xxhash64("lang", "w1", "w2", "w3")
-    heavy_here = F.coalesce("heavy", F.lit(False))
-    grouped = tagged.select("lang", "w1", "w2", "w3", "n", heavy_here.alias("heavy"), F.pmod(F.when(heavy_here, by_suffix).otherwise(by_word), F.lit(groups)).alias("group"))
+    heavy = heavy_map(words, budget // 8)
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        names = [table[c].chunk(0).dictionary_encode() for c in ("w1", "w2", "w3")]
-        every = pa.concat_arrays([x.dictionary for x in names]).dictionary_encode()
-        place, coded, at = every.indices.to_numpy(), [], 0
-        for x in names:
-            coded.append(place[at : at + len(x.dictionary)][x.indices.to_numpy()].astype(np.int64))
-            at += len(x.dictionary)
-        blank = pc.index(every.dictionary, "").as_py()
-        coded = [np.where(c == blank, -1, c) for c in coded]
-        lang = table["lang"].chunk(0).dictionary_encode().indices.to_numpy()
-        heavy = table["heavy"].chunk(0).to_numpy(zero_copy_only=False)
+        read = [(lang, *read_cell(cell)) for lang, cell in zip(table["lang"].to_pylist(), table["cell"].to_pylist(), strict=True)]
+        langs = sorted({r[0] for r in read})
+        names = pa.concat_arrays([r[1] for r in read]).dictionary_encode()
+        place, at = names.indices.to_numpy().astype(np.int64), 0
+        columns, lang = [[] for _ in range(DEPTH)], []
+        extended = np.zeros((len(names.dictionary), len(langs)), dtype=bool)
+        for name, words, marks, cell, counts in read:
+            code = langs.index(name)
+            here = np.concatenate([place[at : at + len(words)], [-1]])
+            at += len(words)
+            extended[here[:-1][marks], code] = True
+            for k, c in enumerate(cell):
+                columns[k].append(here[c].astype(np.int32))
+            lang.append(np.full(len(counts), code, dtype=np.int32))
+        lang, columns, n = np.concatenate(lang), [np.concatenate(c) for c in columns], np.concatenate([r[4] for r in read])
+        del read, place
         out = []
-        for row, f, depth in subtree(lang, coded, table["n"].chunk(0).to_numpy()):
-            # Nodes of extended words have suffixes in other groups too; those of other words are whole here.
-            stay = (f >= least) | heavy[row]
-            part = table.take(pa.array(row[stay]))
-            third = part["w3"] if depth == 3 else pa.repeat("", part.num_rows)
-            out.append(pa.table({"lang": part["lang"], "w1": part["w1"], "w2": part["w2"], "w3": third, "f": pa.array(f[stay])}))
+        for row, f, depth in subtree(lang, columns, n):
+            stay = f >= least
+            if depth < DEPTH:
+                # The pairs of two extended words have suffixes in other groups too; all other nodes are whole here.
+                stay |= extended[columns[0][row], lang[row]] & extended[columns[1][row], lang[row]]
+            row, f = row[stay], f[stay]
+            parts = [names.dictionary.take(pa.array(columns[k][row])) if k < depth else pa.repeat("", len(row)) for k in range(DEPTH)]
+            lang_names = pa.array(langs, pa.string()).take(pa.array(lang[row]))
+            out.append(pa.table({"lang": lang_names, "w1": parts[0], "w2": parts[1], "w3": parts[2], "f": pa.array(f)}))
         return pa.concat_tables(out)
 
-    nodes = grouped.groupBy("group").applyInArrow(build, "lang string, w1 string, w2 string, w3 string, f bigint")
+    nodes = suffix_cells(docs, groups, heavy).groupBy("group").applyInArrow(build, "lang string, w1 string, w2 string, w3 string, f bigint")
     return nodes.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
@@ -207,7 +290,7 @@ def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, budget:
     """
     given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = cut(word_counts(given))
-    phrases = cut(phrase_counts(suffixes(given), words, least, budget))
+    phrases = cut(phrase_counts(given, words, least, budget))
     two, three = phrases.filter("w3 = ''").drop("w3"), phrases.filter("w3 <> ''")
     # Words and pairs as the parts of a cut. A part has at least the count of the phrase, so rarer ones are not needed.
     frequent = words.filter(F.col("n") >= least)
