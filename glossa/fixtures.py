@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.text import syllables
+from glossa.session import scratch_path
 from glossa.sources.tables import Lexicon
 
 LEX_SQL = """
@@ -46,9 +47,16 @@ QUERY_SCHEMA = "query_id bigint, query string, k int"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. One of a single split, which bounds its size, is spread out; any other is read as it is."""
-    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    """A driver table. Files of less than one split in all, maybe a single row group, are spread over the cores.
+
+    Byte ranges tell nothing of that: a row group belongs to one of them, whatever their number.
+    """
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
 
 
 def lex(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,12 +81,26 @@ def entries(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Where this process has saved the lexicons of a table folder, by session and name.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _saved(spark: SparkSession, sf: str, name: str, rows) -> Lexicon:
+    """The lexicon as a user would have it: built and saved once, then loaded for each search."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SAVED:
+        path = scratch_path(spark, name)
+        Lexicon.from_entries(entries(rows(spark, sf))).save(path)
+        _SAVED[key] = path
+    return Lexicon.load(spark, _SAVED[key])
+
+
 def lex_lexicon(spark: SparkSession, sf: str) -> Lexicon:
-    return Lexicon.from_entries(entries(lex(spark, sf)))
+    return _saved(spark, sf, "lex", lex)
 
 
 def ldoc_lexicon(spark: SparkSession, sf: str) -> Lexicon:
-    return Lexicon.from_entries(entries(ldoc(spark, sf)))
+    return _saved(spark, sf, "ldoc", ldoc)
 
 
 def literal_queries(spark: SparkSession, rows=QSET) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from glossa.costs import DEFAULT_COSTS, HEURISTICS, CostModel
 from glossa.functions.text import byte_offset, fold
 
+#: The costs of a match beside its entry's own.
+COSTS = ("term_match_cost", "unmatched_position_cost", "inversion_cost")
 _SHIFT = 31
 _LOW = (1 << _SHIFT) - 1
 

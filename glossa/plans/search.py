@@ -1,11 +1,16 @@
 """Ranked search of a table of queries against a lexicon.
 
-Plan: match the distinct query terms with the lexicon's vocabularies, pick for
-each query its rarest term as anchor, meet the entries through equi-joins on
-the anchor's keys, and score each (query, entry) pair within its row. Anchors
-and queries are broadcast when their measured size allows, so that the lexicon
-is scanned without a shuffle and only the best k rows per query and task move;
-beyond that size the same keys are joined by a salted shuffle.
+Plan: match the distinct query terms with the lexicon's vocabularies and pick
+for each query its rarest term as anchor. A saved lexicon is then searched
+through its posting tables (``glossa.plans.indexed``), which alone tell what
+matches and at what cost.
+
+A lexicon that was not saved is scanned: its entries meet the queries through
+equi-joins on the anchor's keys, and each (query, entry) pair is scored within
+its row. Anchors and queries are broadcast when their measured size allows, so
+that the lexicon is scanned without a shuffle and only the best k rows per
+query and task move; beyond that size the same keys are joined by a salted
+shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.costs import DEFAULT_COSTS, MATCH_DEFINITION, MATCH_HEADWORD, MATCH_SYLLABLE, CostModel
-from glossa.functions.scoring import definition_score, syllable_score, term_syllable_cost
+from glossa.functions.scoring import COSTS, definition_score, syllable_score, term_syllable_cost
 from glossa.functions.text import (
     block_words,
     characters,
@@ -28,6 +33,7 @@ from glossa.functions.text import (
 from glossa.operators.ids import top_k
 from glossa.operators.joins import containment_pairs, fuzzy_prefix_pairs, gram_sizes_for, hot_from_counts, salted_join
 from glossa.operators.lexicon import headword_keys, syllable_keys
+from glossa.plans import indexed
 from glossa.session import cut, drop
 from glossa.sources.tables import Lexicon
 
@@ -37,7 +43,6 @@ KIND_RANK = {MATCH_SYLLABLE: 0, MATCH_DEFINITION: 1, MATCH_HEADWORD: 2}
 # Definitions are searched only for queries of more than this many bytes.
 MIN_DEFINITION_QUERY_BYTES = 2
 BROADCAST_BYTES = 64 << 20
-COSTS = ("term_match_cost", "unmatched_position_cost", "inversion_cost")
 
 
 def query_terms(query: Column) -> Column:
@@ -131,6 +136,11 @@ class SearchRun:
         found = [r["n"] for r in lengths.distinct().collect()]
         postings = self._postings(small, [n for n in found if n >= 0], [-n for n in found if n < 0])
         self.queries = self._cut(self.parsed.join(self._choices(postings), "query_id", "left"))
+        self.by_syllable = syllable_score(F.col("terms"), F.col("syllables"), costs)
+        self.index = None
+        if lexicon.postings is not None:
+            self.index = indexed.Asked(self, postings)
+            return
         used = self.queries.select(F.explode("anchors").alias("kind", "anchor")).distinct()
         self.keys = postings.withColumnRenamed("term", "anchor").join(used, ["kind", "anchor"], "left_semi")
         kept = {
@@ -140,7 +150,6 @@ class SearchRun:
             .collect()
         }
         self.present = set(kept)
-        self.by_syllable = syllable_score(F.col("terms"), F.col("syllables"), costs)
         self.fits = small and sum(kept.values()) <= broadcast_bytes
 
     def _cut(self, df: DataFrame) -> DataFrame:
@@ -229,6 +238,7 @@ class SearchRun:
         )
         return per_kind.groupBy("query_id").agg(
             F.map_from_entries(F.collect_list(F.struct("kind", "best.term"))).alias("anchors"),
+            F.sum("best.n").alias("anchor_entries"),
             F.max("chars").alias("chars"),
         )
 
@@ -325,13 +335,15 @@ class SearchRun:
 
     def matches(self) -> DataFrame:
         """Every match, before ranking."""
+        if self.index is not None:
+            return with_total(self.index.matches())
         parts = [self._matches(kind) for kind in self.kinds if kind in self.present]
         if not parts:
             parts = [self._matches(MATCH_HEADWORD).limit(0)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.withColumn("total_cost", F.col("static_cost") + sum((F.col(c) for c in COSTS), F.lit(0)))
+        return with_total(out)
 
     def ranked(self) -> DataFrame:
         """The k cheapest matches of each query; equal costs keep lexicon order."""
@@ -349,6 +361,10 @@ class SearchRun:
         )
 
 
+def with_total(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("total_cost", F.col("static_cost") + sum((F.col(c) for c in COSTS), F.lit(0)))
+
+
 def search(queries: DataFrame, lexicon: Lexicon, k: int | None = None, **options) -> DataFrame:
     """queries(query_id, query[, k]) -> the ranked matches of each query."""
     return SearchRun(queries, lexicon, k, **options).ranked()

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators.lexicon import definition_words, headword_keys, key_counts, syllable_keys
+from glossa.operators.postings import KINDS, ROWS_PER_SHARD, Postings, load_postings, save_postings
 
 # Fixed value: version of the table layout.
 VERSION = 8
 
+POSTINGS = {
+    "words": "key string, entry_id bigint, static_cost int, at_char int, at_byte int",
+    "syllables": "key string, entry_id bigint, static_cost int, n_syllables int, pos int, tone int",
+    "characters": "key string, entry_id bigint, static_cost int",
+}
+KEY_NAMES = {"words": "word", "syllables": "base", "characters": "ch"}
 ENTRY_COLUMNS = ("entry_id", "headword", "syllables", "definitions", "static_cost", "source")
 
 
@@ -20,12 +27,15 @@ class Lexicon:
     """entries(entry_id, headword, syllables, definitions, static_cost, source) and three key counts.
 
     ``entry_id`` is unique; equal total costs are ranked by (static_cost, entry_id).
+    A saved lexicon also has ``postings`` by the name of the key counts, and is
+    searched through them without reading its entries.
     """
 
     entries: DataFrame
     syllables: DataFrame  # base, n_entries
     characters: DataFrame  # ch, n_entries
     words: DataFrame  # word, n_entries
+    postings: dict[str, Postings] | None = None
 
     @staticmethod
     def from_entries(entries: DataFrame) -> "Lexicon":
@@ -37,18 +47,26 @@ class Lexicon:
             key_counts(entries, definition_words(F.col("definitions")), "word"),
         )
 
-    def save(self, path: str, mode: str = "errorifexists") -> None:
+    def save(self, path: str, mode: str = "errorifexists", rows_per_shard: int = ROWS_PER_SHARD) -> None:
         spark = self.entries.sparkSession
         self.entries.sortWithinPartitions("static_cost", "entry_id").write.mode(mode).parquet(f"{path}/entries")
-        for name in ("syllables", "characters", "words"):
-            getattr(Lexicon.from_entries(spark.read.parquet(f"{path}/entries")), name).write.mode(mode).parquet(
-                f"{path}/{name}"
-            )
-        spark.range(1).select(F.lit(VERSION).alias("version")).write.mode(mode).parquet(f"{path}/meta")
+        entries = spark.read.parquet(f"{path}/entries")
+        shards = {}
+        for name, made in KINDS.items():
+            shards[name] = save_postings(made(entries), f"{path}/postings/{name}", mode, rows_per_shard)
+            # One row per key and entry, or per place of it, so the counts come from the thin sorted rows.
+            found = Postings(spark.read.schema(POSTINGS[name] + ", shard int").parquet(f"{path}/postings/{name}"), 0).rows
+            counts = found.groupBy(F.col("key").alias(KEY_NAMES[name]))
+            n = F.count_distinct("entry_id") if name == "syllables" else F.count("*")
+            counts.agg(n.alias("n_entries")).write.mode(mode).parquet(f"{path}/{name}")
+        meta = spark.range(1).select(F.lit(VERSION).alias("version"), *[F.lit(n).alias(f"{name}_shards") for name, n in shards.items()])
+        meta.write.mode(mode).parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Lexicon":
-        version = spark.read.parquet(f"{path}/meta").first()["version"]
-        if version != VERSION:
-            raise ValueError(f"lexicon at {path} has layout version {version}, expected {VERSION}")
-        return Lexicon(*(spark.read.parquet(f"{path}/{n}") for n in ("entries", "syllables", "characters", "words")))
+        meta = spark.read.parquet(f"{path}/meta").first()
+        if meta["version"] != VERSION:
+            raise ValueError(f"lexicon at {path} has layout version {meta['version']}, expected {VERSION}")
+        tables = (spark.read.parquet(f"{path}/{n}") for n in ("entries", "syllables", "characters", "words"))
+        found = {n: load_postings(spark, f"{path}/postings/{n}", POSTINGS[n], meta[f"{n}_shards"]) for n in KINDS}
+        return Lexicon(*tables, found)

@@ -51,10 +51,15 @@ LEX_C = [
 def make_lexicon(spark, tmp_path_factory):
     from glossa.sources.tables import Lexicon
 
-    def make(rows, files=1):
+    def make(rows, files=1, saved=False):
+        """A lexicon that is scanned, or one saved with posting tables of several shards."""
         path = str(tmp_path_factory.mktemp("lexicon") / "entries")
         spark.createDataFrame(rows, ENTRY).repartition(files).write.parquet(path)
-        return Lexicon.from_entries(spark.read.parquet(path))
+        lexicon = Lexicon.from_entries(spark.read.parquet(path))
+        if not saved:
+            return lexicon
+        lexicon.save(path + "-saved", rows_per_shard=100)
+        return Lexicon.load(spark, path + "-saved")
 
     return make
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import LEX_A, LEX_C, entry
@@ -19,16 +20,18 @@ def kinds(run):
     return sorted((r["query_id"], r["entry_id"], r["match_type"]) for r in run.matches().collect())
 
 
-def test_dedup_keeps_the_headword_match(make_lexicon, make_queries):
-    lexicon, queries = make_lexicon(OWN + [entry(3, "木杉", "ga1", ["the 木杉 tree"], 40)]), make_queries(["木杉"])
+@pytest.mark.parametrize("saved", [False, True])
+def test_dedup_keeps_the_headword_match(make_lexicon, make_queries, saved):
+    lexicon, queries = make_lexicon(OWN + [entry(3, "木杉", "ga1", ["the 木杉 tree"], 40)], saved=saved), make_queries(["木杉"])
     both = [(0, 0, "Traditional"), (0, 1, "English"), (0, 2, "English"), (0, 3, "English"), (0, 3, "Traditional")]
     for limit in (64 << 20, 0):
         assert kinds(SearchRun(queries, lexicon, broadcast_bytes=limit)) == both
         assert kinds(SearchRun(queries, lexicon, broadcast_bytes=limit, dedup=True)) == [b for b in both if b != (0, 3, "English")]
 
 
-def test_strict_refuses_unknown_characters(make_lexicon, make_queries):
-    lexicon, queries = make_lexicon(OWN), make_queries(["木Ω", "木 杉", "木"])
+@pytest.mark.parametrize("saved", [False, True])
+def test_strict_refuses_unknown_characters(make_lexicon, make_queries, saved):
+    lexicon, queries = make_lexicon(OWN, saved=saved), make_queries(["木Ω", "木 杉", "木"])
     loose = kinds(SearchRun(queries, lexicon))
     assert kinds(SearchRun(queries, lexicon, strict=True)) == [m for m in loose if m[0] != 0]
     assert any(m[0] == 0 for m in loose) and any(m[0] == 1 for m in loose)

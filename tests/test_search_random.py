@@ -38,12 +38,15 @@ def random_query(rng):
     return rng.choice([" ", "  ", "\t"]).join(parts)
 
 
-@pytest.mark.parametrize("seed,broadcast_bytes,k", [(1, 64 << 20, 5), (2, 0, 5), (3, 64 << 20, 2000)])
-def test_same_as_model(make_lexicon, make_queries, seed, broadcast_bytes, k):
+@pytest.mark.parametrize(
+    "seed,broadcast_bytes,k,saved",
+    [(1, 64 << 20, 5, False), (2, 0, 5, False), (3, 64 << 20, 2000, False), (1, 64 << 20, 5, True), (2, 0, 5, True), (3, 200_000, 2000, True)],
+)
+def test_same_as_model(make_lexicon, make_queries, seed, broadcast_bytes, k, saved):
     rng = random.Random(seed)
     rows = random_lexicon(rng, 80)
     queries = sorted({random_query(rng) for _ in range(250)})
-    run = SearchRun(make_queries(queries, k), make_lexicon(rows, files=3), broadcast_bytes=broadcast_bytes)
+    run = SearchRun(make_queries(queries, k), make_lexicon(rows, files=3, saved=saved), broadcast_bytes=broadcast_bytes)
     got = {i: [] for i in range(len(queries))}
     for r in sorted(run.ranked().collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append(
