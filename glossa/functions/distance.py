@@ -1,55 +1,64 @@
-"""Edit distances to a part of the target, one Arrow batch at a time.
+"""Edit distances to a part of the target, as Column expressions.
 
 Only used on candidate pairs that an equi-join has already produced. Distances
-are over UTF-8 bytes and case-sensitive.
+are over UTF-8 bytes and case-sensitive; ``byte_characters`` makes strings whose
+characters are bytes.
 """
 
 from __future__ import annotations
 
-import sys
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
-# Send the functions themselves to the executors, which need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from glossa.functions.text import let
 
 
-def _last_row(query: str, target: str, first_row: np.ndarray, substitution: int) -> np.ndarray:
-    """Final row of the edit table; the left-to-right dependency is a running minimum."""
-    t = np.frombuffer(target.encode(), dtype=np.uint8)
-    ramp = np.arange(len(t) + 1)
-    row = first_row
-    for i, b in enumerate(query.encode(), start=1):
-        best = np.empty(len(t) + 1, dtype=np.int64)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + np.where(t == b, 0, substitution))
-        row = np.minimum.accumulate(best - ramp) + ramp
-    return row
+def byte_characters(s: Column) -> Column:
+    """The string, or binary, with one character for each of its (UTF-8) bytes."""
+    return F.decode(s.cast("binary"), "ISO-8859-1")
 
 
-def local_levenshtein(query: str, target: str) -> int:
-    """Unit-cost edits from ``query`` to the nearest substring of ``target``."""
-    if not query or not target:
-        return len(query.encode())
-    return int(_last_row(query, target, np.zeros(len(target.encode()) + 1, dtype=np.int64), 1)[1:].min())
+def around_piece(before: Column, after: Column, left: Column, right: Column, bound: int) -> Column:
+    """Edits that turn ``before`` into an end of ``left`` and ``after`` into a start of ``right``.
 
+    What ``bound`` edits can reach differs by no more than ``bound`` in length,
+    so these few lengths are compared.
+    """
 
-def prefix_indel(query: str, target: str) -> int:
-    """Inserts and deletes from ``query`` to the nearest non-empty prefix of ``target``."""
-    if not query or not target:
-        return len(query.encode())
-    return int(_last_row(query, target, np.arange(len(target.encode()) + 1), 2)[1:].min())
+    def nearest(query: Column, part) -> Column:
+        return reduce(F.least, [F.levenshtein(query, part(F.length(query) + k)) for k in range(-bound, bound + 1)]) if bound else F.levenshtein(query, part(F.length(query)))
 
+    return nearest(before, lambda n: F.right(left, n)) + nearest(after, lambda n: F.left(right, n))
 
-@F.pandas_udf(IntegerType())
-def local_levenshtein_udf(query: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([local_levenshtein(q, t) for q, t in zip(query, target)], dtype="int32")
 
+def prefix_indel(query: Column, target: Column) -> Column:
+    """Inserts and deletes from ``query`` to the nearest non-empty prefix of ``target``.
 
-@F.pandas_udf(IntegerType())
-def prefix_indel_udf(query: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([prefix_indel(q, t) for q, t in zip(query, target)], dtype="int32")
+    The column of the edit table is folded along the target: element i is the
+    distance of the first i bytes of the query to the target so far.
+    """
+    one = lambda s: F.array_remove(F.split(byte_characters(s), ""), "")
+
+    def distance(q: Column, t: Column) -> Column:
+        state = "struct<column:array<int>,best:int>"
+        first = F.sequence(F.lit(0), F.size(q))
+
+        def along(a: Column, c: Column) -> Column:
+            column = a["column"]
+
+            def down(done: Column, x: Column, i: Column) -> Column:
+                same = F.when(x == c, F.get(column, i)).otherwise(F.get(column, i + 1) + 1)
+                return F.concat(done, F.array(F.least(same, F.get(column, i + 1) + 1, F.element_at(done, -1) + 1)))
+
+            indexed = F.transform(q, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+            new = F.aggregate(indexed, F.array(F.element_at(column, 1) + 1), lambda done, x: down(done, x["x"], x["i"]))
+            return let(new, lambda n: F.struct(n.alias("column"), F.least(a["best"], F.element_at(n, -1)).alias("best")).cast(state))
+
+        # The empty prefix does not count: begin with more than any distance.
+        start = F.struct(first.alias("column"), (F.size(q) + F.size(t)).alias("best")).cast(state)
+        return F.aggregate(t, start, along)["best"]
+
+    whole = let(one(query), lambda q: let(one(target), lambda t: distance(q, t)))
+    return F.when((F.octet_length(query) == 0) | (F.octet_length(target) == 0), F.octet_length(query)).otherwise(whole).cast("int")

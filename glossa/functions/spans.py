@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.costs import DEFAULT_COSTS, CostModel
 from glossa.functions.scoring import term_syllable_cost
-from glossa.functions.text import byte_offset, characters, ci_index_of, escape_html, let, totals_before
+from glossa.functions.text import byte_offset, characters, ci_index_of, escape_html, let, running_max, totals_before
 
 SPAN = "struct<start:int,end:int>"
 # The highlight markup.
@@ -24,21 +24,28 @@ def no_spans() -> Column:
 
 
 def merge_spans(spans: Column) -> Column:
-    """Sorted spans, fused where the next one starts at most one past the current end."""
+    """Sorted spans, fused where the next one starts at most one past the current end.
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(span(last["start"], F.greatest(last["end"], s["end"]))),
-        )
-        return (
-            F.when(F.size(acc) == 0, F.array(span(s["start"], s["end"])))
-            .when(s["start"] <= last["end"] + 1, grown)
-            .otherwise(F.concat(acc, F.array(span(s["start"], s["end"]))))
+    A merged span begins where a start lies beyond all ends before it, and ends
+    at the highest end before the next one begins. One pass over the running
+    highest end finds both.
+    """
+
+    def islands(xs: Column, highest: Column) -> Column:
+        at = F.transform(xs, lambda x, i: F.when((i == 0) | (x["start"] > F.get(highest, i - 1) + 1), i))
+        return let(
+            F.filter(at, lambda i: i.isNotNull()),
+            lambda begins: F.transform(
+                begins,
+                lambda i, j: span(F.get(xs, i)["start"], F.get(highest, F.coalesce(F.get(begins, j + 1), F.size(xs)) - 1)),
+            ),
         )
 
-    return F.aggregate(F.sort_array(spans), no_spans(), step)
+    merged = let(
+        F.sort_array(spans),
+        lambda xs: let(running_max(F.transform(xs, lambda x: x["end"])), lambda highest: islands(xs, highest)),
+    )
+    return F.when(F.size(spans) > 0, merged).otherwise(no_spans())
 
 
 def highlight(text: Column, spans: Column) -> Column:
@@ -82,58 +89,124 @@ def definition_spans(definition: Column, terms: Column) -> Column:
     return F.transform(F.filter(found, lambda x: x["p"].isNotNull()), lambda x: span(x["p"], x["p"] + x["n"]))
 
 
+#: Costs are compared like tuples: what a match costs, then the position of each term.
+_COST = "array<bigint>"
+_STATE = f"struct<rows:array<{_COST}>,cols:array<{_COST}>,taken:array<int>>"
+_REACHED = f"array<struct<far:{_COST},via:int,done:boolean>>"
+_WALK = f"struct<reached:{_REACHED},row:int,at:int,far:{_COST},end:int>"
+#: More than any sum of costs of matches that exist.
+_IMPOSSIBLE = 1 << 50
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
 def assign_syllables(terms: Column, syl: Column, costs: CostModel = DEFAULT_COSTS) -> Column:
     """Cheapest assignment of the terms to distinct syllable positions, null if none exists.
 
-    Ties go to the lexicographically smallest position list. The syllables are
-    walked in order; per set of terms placed so far only the best partial
-    assignment is kept, so states are at most 2^terms, however long the entry.
+    Ties go to the lexicographically smallest position list. Terms are added
+    one by one along shortest augmenting paths, with potentials that keep all
+    reduced costs from falling below zero, so the work grows with
+    terms^2 * syllables^2. A cost is an array, of what the match costs and then
+    the chosen position in the place of its term: sums of such arrays, ordered
+    like tuples, rank whole assignments by cost and then by positions.
     """
-    state = "array<struct<placed:bigint,cost:bigint,path:array<int>>>"
-    one = F.lit(1).cast("bigint")
-    start = F.array(
-        F.struct(
-            F.lit(0).cast("bigint").alias("placed"),
-            F.lit(0).cast("bigint").alias("cost"),
-            F.transform(terms, lambda _: F.lit(-1)).alias("path"),
-        )
-    ).cast(state)
-
-    def hits(s: Column, i: Column) -> Column:
-        """The position and what each term costs there."""
-        cost = F.transform(
-            terms,
-            lambda t: F.when(
-                t["tone"].isNull() | (t["tone"] == s["tone"]), term_syllable_cost(t["base"], t["base_fold"], s["base"], costs)
-            ).cast("bigint"),
+
+    def cost(t: Column, i: Column, s: Column, j: Column) -> Column:
+        found = F.when(
+            t["tone"].isNull() | (t["tone"] == s["tone"]), term_syllable_cost(t["base"], t["base_fold"], s["base"], costs)
         )
-        return F.struct(i.cast("int").alias("pos"), cost.alias("costs"))
-
-    def grow(p: Column, here: Column) -> Column:
-        def place(c: Column, t: Column) -> Column:
-            bit = F.call_function("shiftleft", one, t)
-            return F.when(
-                c.isNotNull() & (p["placed"].bitwiseAND(bit) == 0),
-                F.struct(
-                    p["placed"].bitwiseOR(bit).alias("placed"),
-                    (p["cost"] + c).alias("cost"),
-                    F.transform(p["path"], lambda x, j: F.when(j == t, here["pos"]).otherwise(x)).alias("path"),
-                ),
+        first = F.coalesce(found.cast("bigint"), F.lit(_IMPOSSIBLE).cast("bigint"))
+        return F.concat(F.array(first), F.transform(terms, lambda _, k: F.when(k == i, j).otherwise(F.lit(0)).cast("bigint")))
+
+    edges = F.transform(terms, lambda t, i: F.transform(syl, lambda s, j: cost(t, i, s, j)))
+    nothing = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(terms, lambda _: F.lit(0).cast("bigint")))
+    start = F.struct(
+        F.transform(terms, lambda _: nothing).alias("rows"),
+        F.transform(syl, lambda _: nothing).alias("cols"),
+        F.transform(syl, lambda _: F.lit(-1)).alias("taken"),
+    ).cast(_STATE)
+
+    def shortest(edges: Column, state: Column, i: Column) -> Column:
+        """The walk from term ``i`` to the nearest free syllable: what was reached, and the free one in ``end``."""
+
+        def look(w: Column) -> Column:
+            def reach(c: Column, j: Column) -> Column:
+                step = _minus(_minus(F.get(F.get(edges, w["row"]), j), F.get(state["rows"], w["row"])), F.get(state["cols"], j))
+                nearer = lambda far: F.when(c["far"].isNull() | (far < c["far"]), F.struct(far.alias("far"), w["at"].alias("via"), F.lit(False).alias("done"))).otherwise(c)
+                return F.when(c["done"], c).otherwise(let(_plus(w["far"], step), nearer))
+
+            return F.transform(w["reached"], reach).cast(_REACHED)
+
+        def settle(reached: Column) -> Column:
+            nearest = F.array_min(F.transform(reached, lambda c, j: F.when(~c["done"], F.struct(c["far"].alias("far"), j.cast("int").alias("j")))))
+
+            def go_on(near: Column) -> Column:
+                mark = lambda c, j: F.struct(c["far"].alias("far"), c["via"].alias("via"), (c["done"] | (j == near["j"])).alias("done"))
+                row = F.get(state["taken"], near["j"])
+                return F.struct(
+                    F.when(row < 0, reached).otherwise(F.transform(reached, mark)).alias("reached"),
+                    row.alias("row"),
+                    near["j"].alias("at"),
+                    near["far"].alias("far"),
+                    F.when(row < 0, near["j"]).otherwise(-1).alias("end"),
+                ).cast(_WALK)
+
+            return let(nearest, go_on)
+
+        begin = F.struct(
+            F.transform(syl, lambda _: F.struct(F.lit(None).cast(_COST).alias("far"), F.lit(-1).alias("via"), F.lit(False).alias("done"))).alias("reached"),
+            i.cast("int").alias("row"),
+            F.lit(-1).alias("at"),
+            nothing.alias("far"),
+            F.lit(-1).alias("end"),
+        ).cast(_WALK)
+        step = lambda w, _: F.when(w["end"] >= 0, w).otherwise(let(look(w), settle)).cast(_WALK)
+        # A walk settles at most one syllable per term placed so far, and then a free one.
+        return F.aggregate(F.sequence(F.lit(0), i.cast("int")), begin, step)
+
+    def place(edges: Column, state: Column, i: Column) -> Column:
+        def end(walk: Column) -> Column:
+            far = walk["far"]
+            cols = F.zip_with(state["cols"], walk["reached"], lambda v, c: F.when(c["done"], _plus(v, _minus(c["far"], far))).otherwise(v))
+            settled = F.transform(walk["reached"], lambda c, j: F.when(c["done"], F.struct(F.get(state["taken"], j).alias("row"), c["far"].alias("far"))))
+
+            def raised(u: Column, r: Column, settled: Column) -> Column:
+                own = F.get(F.filter(settled, lambda x: x.isNotNull() & (x["row"] == r)), F.lit(0))
+                return F.when(r == i, _plus(u, far)).when(own.isNotNull(), _plus(u, _minus(far, own["far"]))).otherwise(u)
+
+            rows = let(settled, lambda xs: F.transform(state["rows"], lambda u, r: raised(u, r, xs)))
+
+            def shift(x: Column, _: Column) -> Column:
+                via = F.get(walk["reached"], x["j"])["via"]
+                owner = F.when(via < 0, i.cast("int")).otherwise(F.get(x["taken"], via))
+                moved = F.struct(F.transform(x["taken"], lambda o, j: F.when(j == x["j"], owner).otherwise(o)).alias("taken"), via.alias("j"))
+                return F.when(x["j"] < 0, x).otherwise(moved).cast("struct<taken:array<int>,j:int>")
+
+            back = F.aggregate(
+                F.sequence(F.lit(0), i.cast("int")),
+                F.struct(state["taken"].alias("taken"), walk["end"].alias("j")).cast("struct<taken:array<int>,j:int>"),
+                shift,
             )
+            return F.struct(rows.alias("rows"), cols.alias("cols"), back["taken"].alias("taken")).cast(_STATE)
 
-        return F.filter(F.transform(here["costs"], place), lambda x: x.isNotNull())
+        return let(shortest(edges, state, i), end)
 
-    def step(paths: Column, here: Column) -> Column:
-        grown = F.concat(paths, F.flatten(F.transform(paths, lambda p: grow(p, here))).cast(state))
-        best = let(
-            F.sort_array(grown),
-            lambda g: F.filter(g, lambda x, i: (i == 0) | (x["placed"] != F.get(g, i - 1)["placed"])),
-        )
-        return best.cast(state)
+    def solved(edges: Column) -> Column:
+        indices = F.transform(terms, lambda _, i: i)
+        return let(F.aggregate(indices, start, lambda state, i: place(edges, state, i)), lambda done: path_of(edges, done["taken"]))
+
+    def path_of(edges: Column, taken: Column) -> Column:
+        path = F.transform(terms, lambda _, i: (F.array_position(taken, i.cast("int")) - 1).cast("int"))
+        real = lambda ps: F.forall(F.transform(ps, lambda p, i: F.get(F.get(F.get(edges, i), p), F.lit(0)) < _IMPOSSIBLE), lambda x: x)
+        return let(path, lambda ps: F.when(real(ps), ps))
 
-    done = F.aggregate(F.transform(syl, hits), start, step)
-    whole = F.filter(done, lambda p: F.forall(p["path"], lambda x: x >= 0))
-    return F.when(F.size(terms) > 0, F.get(whole, F.lit(0))["path"])
+    return F.when((F.size(terms) > 0) & (F.size(terms) <= F.size(syl)), let(edges, solved))
 
 
 def syllable_spans(terms: Column, syl: Column, path: Column) -> Column:

@@ -143,26 +143,51 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def _chunked(xs: Column, chunk: int, body) -> Column:
+    """``body(chunks)`` for the elements, as BIGINT, in arrays of ``chunk``."""
+    whole = F.floor((F.size(xs) - 1) / chunk).cast("int")
+    chunks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), whole), lambda c: F.slice(xs, c * chunk + 1, chunk)))
+    chunks = F.transform(F.coalesce(chunks, F.array().cast("array<array<int>>")), lambda c: F.transform(c, lambda x: x.cast("bigint")))
+    return let(chunks, body)
+
+
+def _running(xs: Column, start: Column, op, inclusive: bool) -> Column:
+    """The fold of ``start`` and the elements up to each element, or before it."""
+
+    def grow(a: Column, x: Column) -> Column:
+        after = op(a["run"], x)
+        return F.struct(F.concat(a["out"], F.array(after if inclusive else a["run"])).alias("out"), after.alias("run"))
+
+    return F.aggregate(xs, F.struct(F.array().cast("array<bigint>").alias("out"), start.alias("run")), grow)["out"]
+
+
 def totals_before(sizes: Column, chunk: int = 64) -> Column:
     """Sum of the elements before each element.
 
     In two levels, as an array grown by one element at a time is copied each
     time: chunks first, then within a chunk.
     """
+    zero = F.lit(0).cast("bigint")
+    add = lambda a, x: a + x
+    return _chunked(
+        sizes,
+        chunk,
+        lambda cs: let(
+            _running(F.transform(cs, lambda c: F.aggregate(c, zero, add)), zero, add, False),
+            lambda starts: F.flatten(F.transform(cs, lambda c, i: _running(c, F.get(starts, i), add, False))),
+        ),
+    )
 
-    def running(xs: Column, start: Column) -> Column:
-        grow = lambda a, x: F.struct(F.concat(a["out"], F.array(a["run"])).alias("out"), (a["run"] + x).alias("run"))
-        return F.aggregate(xs, F.struct(F.array().cast("array<bigint>").alias("out"), start.alias("run")), grow)["out"]
 
-    zero = F.lit(0).cast("bigint")
-    whole = F.floor((F.size(sizes) - 1) / chunk).cast("int")
-    chunks = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), whole), lambda c: F.slice(sizes, c * chunk + 1, chunk)))
-    chunks = F.transform(F.coalesce(chunks, F.array().cast("array<array<int>>")), lambda c: F.transform(c, lambda x: x.cast("bigint")))
-    return let(
-        chunks,
+def running_max(xs: Column, chunk: int = 64) -> Column:
+    """The highest of the elements up to each element, in two levels too."""
+    least = F.lit(-(2**63)).cast("bigint")
+    return _chunked(
+        xs,
+        chunk,
         lambda cs: let(
-            running(F.transform(cs, lambda c: F.aggregate(c, zero, lambda a, x: a + x)), zero),
-            lambda starts: F.flatten(F.transform(cs, lambda c, i: running(c, F.get(starts, i)))),
+            _running(F.transform(cs, F.array_max), least, F.greatest, False),
+            lambda starts: F.flatten(F.transform(cs, lambda c, i: _running(c, F.get(starts, i), F.greatest, True))),
         ),
     )
 

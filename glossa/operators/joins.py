@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.distance import local_levenshtein_udf
+from glossa.functions.distance import around_piece, byte_characters
 from glossa.functions.scoring import one_edit_prefix
 from glossa.functions.text import grams
+from glossa.session import cut
 
 # A key is hot when it holds at least this share of the rows, so there are at most 1/share hot keys.
 HOT_SHARE = 0.001
@@ -169,50 +170,81 @@ def fuzzy_prefix_pairs(needles: DataFrame, keys: DataFrame, small: bool, lengths
     return _meet(key_keys, needle_keys, "edit", small).filter(one_edit_prefix(needle, F.col("key"))).drop("edit")
 
 
-def byte_characters(s: Column) -> Column:
-    """The string with one character for each of its UTF-8 bytes."""
-    return F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
+def _places(pieces: DataFrame, exploded: DataFrame, longer: bool, small: bool) -> DataFrame:
+    """(.., gram, gram_at): the three bytes of each piece that the texts hold least often, or all of a shorter one."""
+    size = F.octet_length("piece")
+    starts = F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1)))
+    every = pieces.withColumn("gram_at", F.explode(starts)).withColumn("gram", F.substring("piece", F.col("gram_at"), F.lit(3)))
+    if not longer:
+        return every
+    asked = every.select("gram").distinct()
+    counts = exploded.select("gram").join(F.broadcast(asked) if small else asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no text holds is the rarest.
+    seen = every.join(counts, "gram", "left").fillna(0, ["n"])
+    keys = [c for c in pieces.columns]
+    return seen.groupBy(*keys).agg(F.min(F.struct("n", "gram_at", "gram")).alias("g")).select(*keys, "g.gram_at", "g.gram")
 
 
 def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: int) -> DataFrame:
-    """(needle, key, distance): terms within ``max_distance`` edits of some substring of a text.
-
-    Edits are of bytes, so terms and texts meet as strings with a character for
-    each byte. A term cut into max_distance + 1 pieces keeps at least one piece
-    intact, so candidates come from the containment join of the pieces. A term
-    of no more than ``max_distance`` bytes is within reach of any text that is
-    not empty: here come the texts that hold it, at distance 0, and
+    """(needle, key, distance): terms within ``max_distance`` edits of some substring of a text; both inputs distinct.
+
+    Edits are of bytes. A term cut into max_distance + 1 pieces keeps at least
+    one piece intact. Texts meet the pieces by their rarest grams, at the place
+    where a gram stands, and only what lies around a piece is compared with the
+    rest of the term, so a text is not read again for each candidate. Texts
+    travel as ids and short windows where the terms are too many to broadcast.
+    A term of no more than ``max_distance`` bytes is within reach of any text
+    that is not empty: here come the texts that hold it, at distance 0, and
     ``within_reach_of_any`` tells its distance from all others.
     """
-    needle = F.col("needle")
-    pieces = max_distance + 1
+    raw, size = F.col("_raw"), F.octet_length("_raw")
+    count = max_distance + 1
 
     def bound(i: Column) -> Column:
-        return F.floor(i * F.length("_bytes") / pieces).cast("int")
-
-    cut_terms = terms.withColumn("_bytes", byte_characters(needle)).select(
-        needle,
-        F.explode(
-            F.when(
-                F.length("_bytes") > max_distance,
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(pieces - 1)),
-                    lambda i: F.substring(F.col("_bytes"), bound(i) + 1, bound(i + 1) - bound(i)),
-                ),
-            ).otherwise(F.array("_bytes"))
-        ).alias("piece"),
-    )
-    distinct = cut_terms.select(F.col("piece").alias("needle")).distinct()
-    small, lengths = measure(cut_terms.select(F.concat("piece", "needle").alias("needle")))
-    _, lengths = measure(distinct)
-    keyed = texts.select(F.col("key").alias("_text"), byte_characters(F.col("key")).alias("key"))
-    hits = containment_pairs(distinct, keyed, small, gram_sizes_for(lengths))
-    pairs = hits.select(F.col("needle").alias("piece"), F.col("_text").alias("key")).join(
-        F.broadcast(cut_terms) if small else cut_terms, "piece"
+        return F.floor(i * size / count).cast("int")
+
+    def parts(i: Column) -> Column:
+        return F.struct(
+            F.substring(raw, F.lit(1), bound(i)).alias("before"),
+            F.substring(raw, bound(i) + 1, bound(i + 1) - bound(i)).alias("piece"),
+            F.substring(raw, bound(i + 1) + 1, size).alias("after"),
+        )
+
+    nothing = F.lit(b"")
+    whole = F.array(F.struct(nothing.alias("before"), raw.alias("piece"), nothing.alias("after")))
+    pieces = (
+        terms.filter(F.col("needle") != "")
+        .withColumn("_raw", F.col("needle").cast("binary"))
+        .select("needle", F.explode(F.when(size > max_distance, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), parts)).otherwise(whole)).alias("p"))
+        .select("needle", "p.before", "p.piece", "p.after")
     )
-    candidates = pairs.select("needle", "key").distinct()
-    found = candidates.withColumn("distance", local_levenshtein_udf("needle", "key"))
-    return found.filter((F.col("distance") <= max_distance) & ((F.octet_length("needle") > max_distance) | (F.col("distance") == 0)))
+    measured = pieces.agg(
+        F.coalesce(F.sum(F.octet_length("needle") * 8 + 128), F.lit(0)).alias("bytes"),
+        F.collect_set(F.least(F.octet_length("piece"), F.lit(4))).alias("sizes"),
+        F.coalesce(F.max(F.octet_length("needle")), F.lit(0)).alias("longest"),
+    ).first()
+    small, sizes = measured["bytes"] <= NEEDLE_BYTES, sorted({min(n, 3) for n in measured["sizes"]}) or [3]
+    reach = measured["longest"] + max_distance
+
+    lines = texts.select("key", F.col("key").cast("binary").alias("raw"))
+    if not small:
+        lines = cut(lines.withColumn("_id", F.monotonically_increasing_id()))
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("raw")))
+    exploded = lines.filter(F.octet_length("raw") > 0).withColumn("at", at).withColumn("gram", F.explode(F.array(*[F.substring("raw", F.col("at"), F.lit(n)) for n in sizes])))
+    if not small:
+        first = F.greatest(F.col("at") - reach, F.lit(1))
+        exploded = exploded.select("_id", "gram", (F.col("at") - first + 1).alias("at"), F.substring("raw", first, F.lit(2 * reach + 3)).alias("raw"))
+    met = _meet(exploded, _places(pieces, exploded, 4 in measured["sizes"], small), "gram", small)
+    start = F.col("at") - F.col("gram_at") + 1
+    met = met.withColumn("start", start).filter((F.col("start") > 0) & (F.substring("raw", F.col("start"), F.octet_length("piece")) == F.col("piece")))
+
+    first = F.greatest(F.col("start") - F.octet_length("before") - max_distance, F.lit(1))
+    left = F.substring("raw", first, F.col("start") - first)
+    right = F.substring("raw", F.col("start") + F.octet_length("piece"), F.octet_length("after") + max_distance)
+    distance = around_piece(*[byte_characters(x) for x in (F.col("before"), F.col("after"), left, right)], max_distance)
+    text = "key" if small else "_id"
+    found = met.withColumn("distance", distance).filter(F.col("distance") <= max_distance).groupBy("needle", text).agg(F.min("distance").alias("distance"))
+    return (found if small else found.join(lines.select("_id", "key"), "_id")).select("needle", "key", "distance")
 
 
 def within_reach_of_any(terms: DataFrame, max_distance: int) -> DataFrame:

@@ -1,6 +1,26 @@
 """A plain per-row model of the search, for comparison only."""
 
-from glossa.functions.distance import prefix_indel
+
+def _last_row(query, target, first, substitution):
+    row = first
+    for i, b in enumerate(query.encode(), 1):
+        new = [i]
+        for j, c in enumerate(target.encode(), 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (0 if b == c else substitution)))
+        row = new
+    return row
+
+
+def local_levenshtein(query, target):
+    """Unit-cost edits, of bytes, from ``query`` to the nearest substring of ``target``."""
+    n = len(target.encode())
+    return min(_last_row(query, target, [0] * (n + 1), 1)[1:]) if query and target else len(query.encode())
+
+
+def prefix_indel(query, target):
+    """Inserts and deletes, of bytes, from ``query`` to the nearest non-empty prefix of ``target``."""
+    n = len(target.encode())
+    return min(_last_row(query, target, list(range(n + 1)), 2)[1:]) if query and target else len(query.encode())
 
 WS = " \t\n\r\f"
 

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import model
 from glossa.functions import distance, scoring, spans, text
 
 
@@ -104,8 +105,8 @@ def test_distances():
         q, t = ("".join(rng.choice("xyzü") for _ in range(rng.randint(0, 4))) for _ in range(2))
         a, b = q.encode(), t.encode()
         parts = [b[i:j] for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
-        assert distance.local_levenshtein(q, t) == (min(edits(a, p, 1) for p in parts) if a and b else len(a))
-        assert distance.prefix_indel(q, t) == (min(edits(a, b[:j], 2) for j in range(1, len(b) + 1)) if a and b else len(a))
+        assert model.local_levenshtein(q, t) == (min(edits(a, p, 1) for p in parts) if a and b else len(a))
+        assert model.prefix_indel(q, t) == (min(edits(a, b[:j], 2) for j in range(1, len(b) + 1)) if a and b else len(a))
 
 
 def test_closed_form_fuzzy_prefix_is_the_edit_table(spark):
@@ -115,7 +116,7 @@ def test_closed_form_fuzzy_prefix_is_the_edit_table(spark):
     pairs = [(q, t) for q in words(3) for t in words(4)]
     got = apply(spark, pairs, "q string, t string", scoring.fuzzy_prefix_distance(F.col("q"), F.col("t")))
     # Two texts beyond ASCII may share half a character in bytes; such a near match is none.
-    want = [(0 if t.startswith(q) else None) if not (q.isascii() or t.isascii()) else d if (d := distance.prefix_indel(q, t)) < 2 else None for q, t in pairs]
+    want = [(0 if t.startswith(q) else None) if not (q.isascii() or t.isascii()) else d if (d := model.prefix_indel(q, t)) < 2 else None for q, t in pairs]
     assert got == want
 
 
@@ -148,8 +149,46 @@ def test_local_levenshtein_join_is_the_brute_force(spark):
         assert any_text == {t: len(t.encode()) for t in terms if 0 < len(t.encode()) <= bound}
         for n in terms:
             for t in texts:
-                d = distance.local_levenshtein(n, t)
+                d = model.local_levenshtein(n, t)
                 if n in any_text:
                     assert ((n, t, 0) in pairs) == (d == 0) and (not t or d <= any_text[n])
                 elif n and t:
                     assert ((n, t, d) in pairs) == (d <= bound), (n, t, d)
+
+
+def test_merge_ten_thousand_spans(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(200_000), rng.randint(0, 30)) for _ in range(10_000)]
+    rows = [(s, s + n) for s, n in rows]
+    want = []
+    for s, e in sorted(rows):
+        if want and s <= want[-1][1] + 1:
+            want[-1] = (want[-1][0], max(want[-1][1], e))
+        else:
+            want.append((s, e))
+    (got,) = apply(spark, [(rows,)], f"x array<{spans.SPAN}>", spans.merge_spans(F.col("x")))
+    assert [tuple(x) for x in got] == want
+
+
+def test_prefix_indel_is_the_model(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé日") for _ in range(rng.randint(0, n)))
+    cases = [(word(6), word(9)) for _ in range(150)] + [("", "a"), ("a", ""), ("", "")]
+    got = apply(spark, cases, "q string, t string", distance.prefix_indel(F.col("q"), F.col("t")))
+    assert got == [model.prefix_indel(*c) for c in cases]
+
+
+def test_local_levenshtein_join_on_random_texts(spark, monkeypatch):
+    from glossa.operators import joins
+
+    rng = random.Random(6)
+    word = lambda n, m: "".join(rng.choice("abcé ") for _ in range(rng.randint(n, m)))
+    terms, texts = sorted({word(3, 14) for _ in range(40)}), sorted({word(0, 60) for _ in range(40)})
+    for limit in (joins.NEEDLE_BYTES, 0):
+        monkeypatch.setattr(joins, "NEEDLE_BYTES", limit)
+        for bound in (0, 1, 2):
+            found = joins.local_levenshtein_pairs(rows(spark, [(t,) for t in terms], "needle string"), rows(spark, [(t,) for t in texts], "key string"), bound)
+            got = {tuple(r) for r in found.collect()}
+            far = {(n, t): model.local_levenshtein(n, t) for n in terms for t in texts}
+            assert got == {(n, t, d) for (n, t), d in far.items() if t and d <= bound and (len(n.encode()) > bound or d == 0)}
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()

@@ -248,6 +248,14 @@ BUILT = f"""with {LEX}, {CCOST},
   select headword characters, reading jyutping, array_to_string(definitions,'|') english_definitions,
      (base_cost + {heuristic()})::bigint as cost, src entry_source from e"""
 
+
+def byte_marks(x):
+    """ASCII stays; every other byte becomes the same mark, as terms are ASCII and meet none of them."""
+    for low, high, n in (("80", "7FF", 2), ("800", "FFFF", 3), ("10000", "10FFFF", 4)):
+        x = f"regexp_replace({x}, '[\\x{{{low}}}-\\x{{{high}}}]', repeat(chr(1), {n}), 'g')"
+    return x
+
+
 ORACLES: dict[str, str] = {
     "defs_parse": f"""
       with b as (select 'd' src, doc_id id, text body from documents union all select 'p', page_id, html from pages),
@@ -283,6 +291,15 @@ ORACLES: dict[str, str] = {
       sub as (select distinct p_name, substring(p_name, i::bigint, l::bigint) s from nm, range(1, 40) a(i), range(1, 40) b(l) where i + l - 1 <= length(p_name)),
       d as (select p_name, word term, min(levenshtein(word, s)) distance from sub cross join pt group by all)
       select p_partkey, term, distance::bigint distance from part join d using (p_name) where distance <= 1""",
+    "local_levenshtein_docs": f"""
+      with {PART_TERMS}, {LDOC}, ln as (select distinct unnest(definitions) line from ldoc),
+      t as (select line, {byte_marks('line')} s from ln),
+      places as (select line, s, unnest(range(1, length(s) + 1)) i from t),
+      lens as (select distinct unnest([length(word) - 1, length(word), length(word) + 1]) n from pt),
+      parts as (select line, substring(s, i::bigint, n::bigint) part from places join lens on i + n - 1 <= length(s) and n > 0),
+      near as (select word term, part, levenshtein(word, part) d from (select distinct part from parts) join pt on abs(length(part) - length(word)) <= 1
+        where (contains(part, left(word, length(word) // 2)) or contains(part, substring(word, length(word) // 2 + 1))) and levenshtein(word, part) <= 1)
+      select term, line, min(d)::int distance from parts join near using (part) group by all""",
     "fuzzy_prefix": FUZZY,
     "prefix_indel": INDEL,
     "cost_heuristic": f"""

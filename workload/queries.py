@@ -10,8 +10,7 @@ from pyspark.sql.types import IntegerType, LongType, ShortType
 
 from glossa import fixtures as fx
 from glossa.costs import MATCH_DEFINITION, MATCH_HEADWORD, MATCH_SYLLABLE
-from glossa.functions import scoring, spans, text
-from glossa.functions.distance import prefix_indel_udf
+from glossa.functions import distance, scoring, spans, text
 from glossa.operators import ids, joins, lexicon as ops, terms as term_ops
 from glossa.plans import build, render
 from glossa.plans.search import SearchRun, match_terms_to_syllables, query_terms
@@ -176,7 +175,7 @@ def prefix_indel(spark, sf):
     terms = part_terms(spark, sf).select(F.col("word").alias("needle"), F.left("word", F.lit(2)).alias("start"))
     vocab = dvocab(spark, sf).select(F.col("word").alias("key"), F.left("word", F.lit(2)).alias("start"))
     pairs = joins.salted_join(vocab, terms, "start", spread=F.xxhash64("key"))
-    return pairs.select(F.col("needle").alias("term"), F.col("key").alias("word"), prefix_indel_udf("needle", "key").alias("distance"))
+    return pairs.select(F.col("needle").alias("term"), F.col("key").alias("word"), distance.prefix_indel(F.col("needle"), F.col("key")).alias("distance"))
 
 
 @query
