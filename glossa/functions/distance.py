@@ -28,7 +28,8 @@ def around_piece(before: Column, after: Column, left: Column, right: Column, bou
     """
 
     def nearest(query: Column, part) -> Column:
-        return reduce(F.least, [F.levenshtein(query, part(F.length(query) + k)) for k in range(-bound, bound + 1)]) if bound else F.levenshtein(query, part(F.length(query)))
+        lengths = [F.levenshtein(query, part(F.length(query) + k)) for k in range(-bound, bound + 1)]
+        return F.when(query == "", 0).otherwise(reduce(F.least, lengths) if bound else lengths[0])
 
     return nearest(before, lambda n: F.right(left, n)) + nearest(after, lambda n: F.left(right, n))
 

@@ -216,7 +216,7 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
         terms.filter(F.col("needle") != "")
         .withColumn("_raw", F.col("needle").cast("binary"))
         .select("needle", F.explode(F.when(size > max_distance, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), parts)).otherwise(whole)).alias("p"))
-        .select("needle", "p.before", "p.piece", "p.after")
+        .select("needle", "p.*", byte_characters(F.col("p.before")).alias("before_text"), byte_characters(F.col("p.after")).alias("after_text"))
     )
     measured = pieces.agg(
         F.coalesce(F.sum(F.octet_length("needle") * 8 + 128), F.lit(0)).alias("bytes"),
@@ -226,7 +226,10 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     small, sizes = measured["bytes"] <= NEEDLE_BYTES, sorted({min(n, 3) for n in measured["sizes"]}) or [3]
     reach = measured["longest"] + max_distance
 
-    lines = texts.select("key", F.col("key").cast("binary").alias("raw"))
+    # Work per byte is high, so texts that adaptive execution has gathered in few tasks are dealt out again.
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = texts.repartition(tasks, F.xxhash64("key")).select("key", F.col("key").cast("binary").alias("raw"))
     if not small:
         lines = cut(lines.withColumn("_id", F.monotonically_increasing_id()))
     at = F.explode(F.sequence(F.lit(1), F.octet_length("raw")))
@@ -241,9 +244,11 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     first = F.greatest(F.col("start") - F.octet_length("before") - max_distance, F.lit(1))
     left = F.substring("raw", first, F.col("start") - first)
     right = F.substring("raw", F.col("start") + F.octet_length("piece"), F.octet_length("after") + max_distance)
-    distance = around_piece(*[byte_characters(x) for x in (F.col("before"), F.col("after"), left, right)], max_distance)
+    around = around_piece(F.col("before_text"), F.col("after_text"), byte_characters(left), byte_characters(right), max_distance)
+    # Exploding an array of one or none computes and filters in a single evaluation.
+    distance = F.explode(F.filter(F.array(around), lambda x: x <= max_distance))
     text = "key" if small else "_id"
-    found = met.withColumn("distance", distance).filter(F.col("distance") <= max_distance).groupBy("needle", text).agg(F.min("distance").alias("distance"))
+    found = met.select("needle", text, distance.alias("distance")).groupBy("needle", text).agg(F.min("distance").alias("distance"))
     return (found if small else found.join(lines.select("_id", "key"), "_id")).select("needle", "key", "distance")
 
 
