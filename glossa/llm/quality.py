@@ -33,6 +33,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,14 +48,14 @@ LONGEST_SHORT = 64
 #: One in so many documents is asked for frequent words.
 ASKED = 8
 #: Bigrams scored where the documents are read.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Text bytes per shard.
-SHARD_BYTES = 1 << 27
+SHARD_BYTES = 1 << 26
 LEAST_SHARDS = 16
 #: Documents and tokens per chunk.
 CHUNK_DOCS, CHUNK_TOKENS = 8_192, 1_000_000
 QUANTILE = 0.97
-#: Held-out documents from which on a language has a threshold of its own making; below, all its documents serve.
+#: Held-out documents of a language that weigh as much in its threshold as those of all languages together.
 LEAST_HELD = 20
 #: Bins of log-perplexity per unit, for the quantiles.
 BINS = 1_000
@@ -116,11 +117,11 @@ def _runs(*sorted_: np.ndarray) -> np.ndarray:
 def pack_codes(codes: np.ndarray, sorted_: bool = False) -> bytes:
     """Codes, or the differences of sorted ones, byte planes apart, compressed."""
     steps = (np.diff(codes, prepend=np.uint64(0)) if sorted_ else codes).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_codes(blob: bytes, sorted_: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
     codes = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
     return np.cumsum(codes, dtype=np.uint64) if sorted_ else codes
 
@@ -133,6 +134,21 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), dtype=kind)
 
 
+def pack_places(places: np.ndarray, times: np.ndarray) -> bytes:
+    """Places that rise within runs of ``times``: a run's first one and then the steps, byte planes apart, compressed."""
+    steps = np.diff(places, prepend=0)
+    first = np.cumsum(times) - times
+    steps[first] = places[first]
+    return zlib.compress(np.ascontiguousarray(steps.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
+
+
+def unpack_places(blob: bytes, times: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(2, -1).T).view("<u2").reshape(-1).astype(np.int64)
+    first = np.cumsum(times, dtype=np.int64) - times
+    upto = np.cumsum(steps)
+    return upto - np.repeat(upto[first] - steps[first], times)
+
+
 def trusted_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, text, trusted): trusted where labelled quality 1. Labels are broadcast if their counted size allows."""
     good = cut(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
@@ -365,8 +381,8 @@ def train(training: DataFrame, asked: DataFrame, shards: int) -> tuple[list[str]
                 yield pd.DataFrame({"a": a[hit].astype(np.int64), "w": w[hit].astype(np.int64), "n": c[hit]})
 
     if lowest is not None:
-        rows = sorted(bigrams.mapInPandas(frequent, "a bigint, w bigint, n bigint").collect())  # at most FREQUENT rows
-        a, w, n = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+        rows = bigrams.mapInPandas(frequent, "a bigint, w bigint, n bigint").toPandas().sort_values(["a", "w"])  # at most FREQUENT rows
+        a, w, n = (rows[c].to_numpy(dtype=np.int64) for c in ("a", "w", "n"))
         model.frequent_keys = (a.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
         model.frequent_gains = model.gain(n, model.total[a], model.back[a], model.single[w])
     contexts = cut(context_sums(table)).select("shard", "a", F.lit(None).cast("binary").alias("w"), "counts")
@@ -475,7 +491,7 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
                     own_a, own_w = own_a[order], own_w[order]
                     first = _runs(own_a, own_w)
                     times = np.diff(first, append=len(order))
-                    own = {"a": pack_codes(own_a[first], True), "w": pack_codes(own_w[first]), "times": _pack(times, "<u4"), "docs": _pack(own_at[order], "<u2")}
+                    own = {"a": pack_codes(own_a[first], True), "w": pack_codes(own_w[first]), "times": _pack(times, "<u4"), "docs": pack_places(own_at[order], times)}
                     out.append(blank | own | {"shard": int(where[rows_of[0]]), "chunk": chunk, "size": len(rows)})
             return pd.DataFrame(out, columns=columns).astype({"size": "Int32"})
 
@@ -497,8 +513,9 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
             row = {"chunk": r.chunk, "shard": r.shard, "sums": None, "ids": r.ids, "langs": r.langs, "n": r.n, "held": r.held, "local": r.local}
             if r.a is not None:
                 shard = shard or Shard(model, counted)
-                shares = np.repeat(shard.shares(unpack_codes(r.a, True), unpack_codes(r.w)), _unpack(r.times, "<u4"))
-                row["sums"] = np.bincount(_unpack(r.docs, "<u2"), shares, int(r.size)).astype("<f4").tobytes()
+                times = _unpack(r.times, "<u4")
+                shares = np.repeat(shard.shares(unpack_codes(r.a, True), unpack_codes(r.w)), times)
+                row["sums"] = np.bincount(unpack_places(r.docs, times), shares, int(r.size)).astype("<f4").tobytes()
             out.append(row)
         return pd.DataFrame(out, columns=["chunk", "shard", "sums", "ids", "langs", "n", "held", "local"])
 
@@ -518,20 +535,33 @@ def score(docs: DataFrame, words: list[str], model: BigramModel, table: DataFram
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, threshold): the quantile of log-perplexity over held-out trusted documents, to a bin.
+    """(_lang, threshold): the quantile of log-perplexity over held-out trusted documents, to a bin.
 
-    A language with few of them takes the quantile of all its documents.
+    A language's own quantile and that of all languages are averaged, weighted
+    by its held-out documents and by LEAST_HELD: a language that has few or
+    none is measured by the others. Where nothing is held out at all, the
+    quantile of all documents serves. A null language is ''.
     """
-    group = F.coalesce("lang", F.lit(""))
-    bins = scored.groupBy(group.alias("_lang"), F.ceil(F.col("log_perplexity") * BINS).alias("bin")).agg(
-        F.count("*").alias("all"), F.sum(F.col("held").cast("int")).alias("held")
+    bins = cut(
+        scored.groupBy(F.coalesce("lang", F.lit("")).alias("_lang"), F.ceil(F.col("log_perplexity") * BINS).alias("bin")).agg(
+            F.count("*").alias("all"), F.sum(F.col("held").cast("int")).alias("held")
+        )
     )
-    whole = Window.partitionBy("_lang")
-    upto = whole.orderBy("bin")
-    own = F.sum("held").over(whole) >= LEAST_HELD
-    counted = bins.withColumn("use", F.when(own, F.col("held")).otherwise(F.col("all")))
-    share = counted.withColumn("share", F.sum("use").over(upto) / F.sum("use").over(whole))
-    return share.filter(F.col("share") >= quantile).groupBy("_lang").agg((F.min("bin") / BINS).alias("threshold"))
+
+    def reached(rows: DataFrame, use: str, by: list[str]) -> DataFrame:
+        whole = Window.partitionBy(*by)
+        share = rows.withColumn("share", F.sum(use).over(whole.orderBy("bin")) / F.sum(use).over(whole))
+        return share.filter(F.col("share") >= quantile).groupBy(*by).agg(F.min("bin").alias("own"))
+
+    totals = bins.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
+    # No more rows than bins, whatever the input.
+    together = bins.groupBy("bin").agg(F.sum("all").alias("all"), F.sum("held").alias("held"))
+    everyone = reached(together, "held" if totals["held"] else "all", []).first()["own"]
+    own = reached(bins.filter("held > 0"), "held", ["_lang"])
+    held = bins.groupBy("_lang").agg(F.sum("held").alias("held"))
+    common = F.lit(float(everyone or 0))
+    blended = (F.coalesce("own", common) * F.col("held") + common * LEAST_HELD) / (F.col("held") + LEAST_HELD)
+    return held.join(own, "_lang", "left").select("_lang", (blended / BINS).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
