@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import cut, gapless, text_or_empty
+from glossa.operators.ids import dense_ids
 
 ROW_BYTES = 16
 BLOCKS = 1 << 14
@@ -129,7 +130,8 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     Equal texts share a shard; a null text counts as the empty one. A group of
     copies that alone exceeds the mean of what is left gets a shard of its
     own, the largest first; all other groups are cut by ``minimax_cuts``.
-    Repeated rows stay rows of their own. An empty table gives no rows. Null
+    Groups go in the order of their smallest doc_id, then of
+    their digest. Repeated rows stay rows of their own. An empty table gives no rows. Null
     doc_ids are placed by their text. Columns other than doc_id and text are
     ignored.
     """
@@ -141,11 +143,9 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
             F.unhex(F.md5(text_or_empty())).alias("digest"),
         )
     )
-    groups = cut(
-        rows.groupBy("digest").agg(
-            F.coalesce(F.min("doc_id"), F.xxhash64("digest")).alias("key"), F.sum("size").alias("bytes")
-        )
-    )
+    summed = rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.xxhash64("digest")).alias("_least"), F.sum("size").alias("bytes"))
+    # Texts may share their smallest doc_id, so their place in the order of (doc_id, digest) is the key.
+    groups = cut(dense_ids(summed, ["_least", "digest"], "key").select("digest", "key", "bytes"))
     left, k = groups.agg(F.sum("bytes")).first()[0] or 0, shards
     alone: list[bytes] = []
     for r in groups.orderBy(F.desc("bytes"), "key").limit(shards).collect():
