@@ -20,6 +20,7 @@ import math
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -40,10 +41,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 # Weak parts.
-_LOOKS_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-_USER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,64})", re.IGNORECASE | re.ASCII)
-_URL = re.compile(r"(?<![A-Za-z0-9])[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,256}")
-_HOST = re.compile(r"(?<![A-Za-z0-9:/.])(?:db|api|sql|mongo|redis|smtp|ftp|s3|auth)[A-Za-z0-9.-]{0,60}\.[a-z]{2,12}(?::[0-9]{2,5})?")
+_LOOKS_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_USER = re.compile(r"(?<![A-Za-z0-9_])(?:user(?:name)?|login|client_id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.IGNORECASE | re.ASCII)
+_AFTER_SCHEME = re.compile(r"[^\s\"'<>]{4,}")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+")
+_HOST_HEAD = re.compile(r"(?<![A-Za-z0-9:/.])(?:db|api|sql|mongo|redis|smtp|ftp|s3|auth)")
+_HOST_REST = re.compile(r"[A-Za-z0-9.-]*+")
+_HOST_END = re.compile(r"\.[a-z]{2,}")
+_PORT = re.compile(r":[0-9]{2,}")
 #: Parts that make a weak candidate of the left kind worth telling.
 COMPLEMENTS = {
     "secret": ("access", "user", "endpoint"),
@@ -69,12 +74,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def urls(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of URLs: a scheme of two or more characters that begins with a letter, ``://`` and what follows.
+
+    The scheme is read backwards from its ``://``, so that the work stays linear.
+    """
+    upto, at = 0, text.find("://")
+    while at >= 0:
+        first, next_ = at, at + 3
+        while first > upto and text[first - 1] in _SCHEME:
+            first -= 1
+        for a in range(first, at - 1):
+            if "a" <= text[a] <= "z" and (a == 0 or not (text[a - 1].isascii() and text[a - 1].isalnum())):
+                if rest := _AFTER_SCHEME.match(text, next_):
+                    upto = next_ = rest.end()
+                    yield a, upto
+                break
+        at = text.find("://", next_)
+
+
+def hosts(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of host names that begin like a service, with their port; the last top-level part ends the name."""
+    upto = 0
+    for m in _HOST_HEAD.finditer(text):
+        if m.start() < upto:
+            continue
+        upto = _HOST_REST.match(text, m.end()).end()
+        end = 0
+        for t in _HOST_END.finditer(text, m.end(), upto):
+            end = t.end()
+        if end:
+            port = _PORT.match(text, end)
+            yield m.start(), port.end() if port else end
+
+
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak candidates outside the base spans; none where nothing in the text could complement them."""
+    """Weak candidates of any length outside the base spans; none where nothing in the text could complement them."""
     found = [(m.start(), m.end(), "user") for m in _USER.finditer(text)]
-    found += [(m.start(), m.end(), "endpoint") for m in _HOST.finditer(text)]
+    found += [(a, b, "endpoint") for a, b in hosts(text)]
     if "://" in text:
-        found += [(m.start(), m.end(), "endpoint") for m in _URL.finditer(text)]
+        found += [(a, b, "endpoint") for a, b in urls(text)]
     if not found and not base:
         return []
     found += [(m.start(), m.end(), "secret") for m in _LOOKS_SECRET.finditer(text) if entropy(m.group()) >= ENTROPY]
