@@ -8,11 +8,14 @@ page with their path, and whole blocks of text with the path they stand in.
 The vectors are never built: a token's count times a hash of the page, summed
 over pages, stands for its vector, and adds up in any order on any number of
 executors. Classes that occur in most pages of a host are its template.
-Containers of valid classes, nested as their paths are, frame its slots; blocks
-that belong to a class are boilerplate, wherever they stand. The slot that
-holds most of the changing text outside menus and the like is the article's:
-the outermost one named so, with all text below it, or else the one with most
-text of its own.
+Containers of valid classes, nested as their paths are, are its frame. A
+container whose text is nearly all made of blocks that are themselves of the
+template says the same on every page and is closed, whatever its class names;
+so is one of mostly linked text outside an article. The other containers of the
+frame are its slots: all blocks in them stay, repeated headings too. Text in
+containers that only some pages have goes by the innermost container of the
+frame around it. Where the frame has containers named as the article's, only
+the outermost of these are read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import html as html_lib
 import re
 import sys
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -36,6 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SUPPORT = 0.5
 #: Different pages of a host from which on classes mean anything.
 LEAST_PAGES = 4
+#: Share of a container's text in blocks of the template from which on it is closed.
+CONSTANT = 0.9
 #: Tokens of a valid class.
 LEAST_TOKENS = 2
 
@@ -67,6 +73,9 @@ MARKS = frozenset(
 _NAME = re.compile(r"[A-Za-z]+")
 #: End of the path of a container that is named as the article's, in Python and in Spark.
 NAMED = r"/(article|main)(\.[^/]*)?$|\.main(\.[^/]*)?$"
+#: A path below such a container, and that of a whole page.
+BELOW_NAMED = r"/(article|main)(\.[^/]*)?/|\.main(\.[^/]*)?/"
+WHOLE = r"^(/html[^/]*)?(/body[^/]*)?$"
 
 
 def _container(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
@@ -174,7 +183,7 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-TOKENS = "host string, token bigint, kind int, path string, pages bigint, occurrences bigint, vector bigint, chars bigint, linked bigint"
+TOKENS = "host string, token bigint, kind int, path string, home bigint, pages bigint, occurrences bigint, vector bigint, chars bigint, linked bigint"
 _MOD = (1 << 61) - 1
 
 
@@ -185,37 +194,43 @@ def host_of(url):
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Per host and token, sums over the pages of a batch: kind 0 is the page itself, 1 a container, 2 a block."""
+    """Per host and token, sums over the pages of a batch: kind 0 is the page itself, 1 a container, 2 a block.
+
+    ``home`` is the token of the container that a block stands in.
+    """
 
     def run(batches):
         for batch in batches:
             held: dict[tuple[str, int], list] = {}
 
-            def add(host, token, kind, path, count, page, chars, linked):
-                h = held.setdefault((host, token), [kind, path, 0, 0, 0, 0, 0])
-                h[2] += 1
-                h[3] += count
-                h[4] = (h[4] + count * page) % _MOD
-                h[5] += chars
-                h[6] += linked
+            def add(host, token, kind, path, home, count, page, chars, linked):
+                h = held.setdefault((host, token), [kind, path, home, 0, 0, 0, 0, 0])
+                h[3] += 1
+                h[4] += count
+                h[5] = (h[5] + count * page) % _MOD
+                h[6] += chars
+                h[7] += linked
 
             for host, text in zip(batch["host"], batch["html"], strict=True):
                 page = _hash(text) % _MOD
                 opened, found = blocks(text)
-                add(host, 0, 0, "", 1, page, 0, 0)
+                add(host, 0, 0, "", 0, 1, page, 0, 0)
                 counts: dict[tuple[int, str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
                 for path, bad in opened:
                     counts[1, path, "!" if bad else ""][0] += 1
                 for path, bad, block, linked in found:
-                    counts[2, path, block][0] += 1
+                    block_counts = counts[2, path, block]
+                    block_counts[0] += 1
+                    block_counts[1] += len(block)
                     own = counts[1, path, "!" if bad else ""]
                     own[1] += len(block)
                     own[2] += min(linked, len(block))
                 for path, sums in below(opened, found).items():
                     counts[1, path, ""][1:] = sums
                 for (kind, path, what), (n, chars, linked) in counts.items():
-                    add(host, _hash(str(kind), path, what), kind, path + what if kind == 1 else "", n, page, chars, linked)
-            yield pd.DataFrame([(h, t, *v) for (h, t), v in held.items()], columns=["host", "token", "kind", "path", "pages", "occurrences", "vector", "chars", "linked"])
+                    home = 0 if kind == 1 else _hash("1", path, "")
+                    add(host, _hash(str(kind), path, what), kind, path + what if kind == 1 else "", home, n, page, chars, linked)
+            yield pd.DataFrame([(h, t, *v) for (h, t), v in held.items()], columns=["host", "token", "kind", "path", "home", "pages", "occurrences", "vector", "chars", "linked"])
 
     return pages.mapInPandas(run, TOKENS)
 
@@ -235,7 +250,11 @@ def different_pages(pages: DataFrame, limit: int = 64 << 20) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, boilerplate): path of the article's slot and tokens of boilerplate blocks, per host with enough different pages.
+    """(host, named, closed, open, boilerplate) per host with enough different pages.
+
+    named: paths of the frame's containers that are named as the article's.
+    closed, open: tokens of its containers that are left out, and of the others.
+    boilerplate: tokens of the blocks of the template.
 
     Copies of a page are no evidence of a template, so equal pages count once.
 
@@ -243,7 +262,7 @@ def templates(pages: DataFrame) -> DataFrame:
     times those of a page.
     """
     vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(_MOD).cast("decimal(38,0)")).cast("bigint")
-    sums = page_tokens(different_pages(pages)).groupBy("host", "token", "kind", "path").agg(
+    sums = page_tokens(different_pages(pages)).groupBy("host", "token", "kind", "path", "home").agg(
         F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
     sums = cut(sums.filter((F.col("pages") >= LEAST_PAGES) | (F.col("kind") == 0)))
@@ -253,30 +272,70 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "pages", "occurrences", "vector").agg(
         F.count("*").alias("tokens"), F.collect_list(F.struct("token", "kind", "path", "chars", "linked")).alias("members")
     )
-    members = classes.filter(F.col("tokens") >= LEAST_TOKENS).select("host", "pages", "occurrences", F.explode("members").alias("m")).select("host", "pages", "occurrences", "m.*")
-    named = F.when(F.col("path").rlike(NAMED), 1).otherwise(0)
-    # The frame's best slot: a named one, then most text that is not linked, then the outer one. Once a page, so that it is one slot.
-    slot = F.when(
-        (F.col("kind") == 1) & (F.col("occurrences") == F.col("pages")) & ~F.col("path").endswith("!") & (F.col("chars") > 2 * F.col("linked")),
-        F.struct(named.alias("named"), (F.col("chars") - F.col("linked")).alias("chars"), (-F.length("path")).alias("outer"), "path"),
-    )
+    members = classes.filter(F.col("tokens") >= LEAST_TOKENS).select("host", F.explode("members").alias("m")).select("host", "m.*")
+    constant = frequent.filter("kind = 2").groupBy("host", F.col("home").alias("token")).agg(F.sum("chars").alias("constant"))
+    members = members.join(constant, ["host", "token"], "left")
+    frame = (F.col("kind") == 1) & ~F.col("path").endswith("!")
+    named = frame & F.col("path").rlike(NAMED)
+    linked = (F.col("chars") <= 2 * F.col("linked")) & ~F.col("path").rlike(BELOW_NAMED)
+    says_nothing = (F.col("constant") >= CONSTANT * F.col("chars")) | linked
+    closed = frame & ~named & ~F.col("path").rlike(WHOLE) & (F.col("chars") > 0) & F.coalesce(says_nothing, F.lit(False))
+    held = lambda test, name: F.collect_list(F.when(test, F.col(name)))
     return members.groupBy("host").agg(
-        F.max(slot)["path"].alias("main"), F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("boilerplate")
+        held(named & (F.col("chars") > 2 * F.col("linked")), "path").alias("named"),
+        held(closed, "token").alias("closed"),
+        held(frame & ~closed, "token").alias("open"),
+        held(F.col("kind") == 2, "token").alias("boilerplate"),
     )
 
 
-def article(page: str, main: str | None, boilerplate: frozenset) -> str:
-    """Text of the article's slot; without a template, or where the page lacks the slot, of the page's own article or body."""
+def outermost(paths) -> list[str]:
+    """``paths`` without those below another one."""
+    out: list[str] = []
+    for path in sorted(set(paths), key=len):
+        if not any(path.startswith(o + "/") for o in out):
+            out.append(path)
+    return out
+
+
+class Template(NamedTuple):
+    """The template of a host, as told by ``templates``."""
+
+    named: frozenset = frozenset()
+    closed: frozenset = frozenset()
+    open: frozenset = frozenset()
+    boilerplate: frozenset = frozenset()
+
+
+def article(page: str, template: Template = Template()) -> str:
+    """Text of the template's slots; without a template, of the page's own articles, main part or body."""
     opened, found = blocks(page)
-    good = [b for b in found if not b[1] and _hash("2", b[0], b[2]) not in boilerplate]
-    inside = lambda root: [b[2] for b in good if b[0] == root or b[0].startswith(root + "/")]
-    if main and any(path == main for path, bad in opened if not bad):
-        return " ".join(inside(main))
-    for name in ("/article", "/main"):
-        roots = [path for path, bad in opened if not bad and re.search(rf"{name}(\.[^/]*)?$", path)]
-        if roots:
-            return " ".join(inside(min(roots, key=len)))
-    return " ".join(b[2] for b in good)
+    good = [path for path, bad in opened if not bad]
+    articles = [path for path in good if re.search(r"/article(\.[^/]*)?$", path)]
+    mains = [path for path in good if re.search(r"/main(\.[^/]*)?$", path)]
+    known = [path for path in good if path in template.named]
+    roots = outermost(known + articles if known else articles or mains)
+    shut: dict[str, bool] = {}
+
+    def is_shut(path: str) -> bool:
+        """Whether the innermost container of the frame around a block is closed."""
+        if path not in shut:
+            token = _hash("1", path, "")
+            above = path.rpartition("/")[0]
+            shut[path] = token in template.closed or (token not in template.open and bool(above) and is_shut(above))
+        return shut[path]
+
+    out = []
+    for path, bad, text, _ in found:
+        if bad or roots and not any(path == r or path.startswith(r + "/") for r in roots):
+            continue
+        if template.closed and is_shut(path):
+            continue
+        # Text that stands in no container of its own goes where the template has it.
+        if template.boilerplate and not roots and re.search(WHOLE, path) and _hash("2", path, text) in template.boilerplate:
+            continue
+        out.append(text)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -289,19 +348,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     made = cut(templates(given.select("host", "html")))
-    size = made.agg(F.coalesce(F.sum(F.size("boilerplate") * 8 + F.length(F.coalesce("main", F.lit(""))) + 200), F.lit(0))).first()[0]
+    tokens = F.size("closed") + F.size("open") + F.size("boilerplate")
+    size = made.agg(F.coalesce(F.sum(tokens * 8 + F.length(F.array_join("named", " ")) + 200), F.lit(0))).first()[0]
     joined = given.join(F.broadcast(made) if size <= 32 << 20 else made, "host", "left")
+    parts = ["named", "closed", "open", "boilerplate"]
 
     def run(batches):
         for batch in batches:
-            known: dict[str, frozenset] = {}
+            known: dict[str, Template] = {}
             texts = []
-            for host, page, main, bad in zip(batch["host"], batch["html"], batch["main"], batch["boilerplate"], strict=True):
+            for host, page, *template in zip(batch["host"], batch["html"], *(batch[p] for p in parts), strict=True):
                 if host not in known:
-                    known[host] = frozenset(int(t) for t in bad) if bad is not None else frozenset()
-                texts.append(article(page, main, known[host]))
+                    known[host] = Template(*(frozenset(t.tolist() if hasattr(t, "tolist") else t or ()) for t in template))
+                texts.append(article(page, known[host]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
     id_type = dict(pages.dtypes)["page_id"]
-    out = joined.select("page_id", "url", "host", "html", "main", "boilerplate").mapInPandas(run, f"page_id {id_type}, url string, text string")
+    out = joined.select("page_id", "url", "host", "html", *parts).mapInPandas(run, f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
