@@ -11,7 +11,8 @@ radius + m parts, of which any two fingerprints within the radius share m, so
 every choice of m parts is a key. m grows with the number of fingerprints, so
 that blocks stay small; the links found are the same for every m. For wide
 fingerprints, where similar texts differ in many bits, keys are samples of
-bit positions, and similar texts share one of them with high probability.
+bit positions, and similar texts share one of them with high probability;
+there the distances only propose pairs, and shared shingles are counted.
 """
 
 from __future__ import annotations
@@ -41,13 +42,17 @@ _TO_SPACE = bytes(0x20 if c in _SPACES else c for c in range(256))
 BLOCK_GOAL = 128
 #: (query, block) pairs compared at a time in a task.
 LANES = 1 << 17
+#: Groups with more rows are searched component by component.
+HOT = 2048
 
 #: Near-duplicate stages: five-word shingles, a wide fingerprint, similarity 0.8.
 WIDE_SHINGLE = 5
 WIDE_WORDS = 4
 SIMILARITY = 0.8
-#: The estimate scatters by about this many bits around the true similarity; added to the radius.
-WIDE_MARGIN = 5
+#: Standard deviations by which the radius of candidates exceeds the bits expected at the wanted similarity.
+DEVIATIONS = 3.0
+#: Candidates that each row checks in the first round.
+NEAREST = 16
 #: Share of pairs at exactly the wanted similarity that meet under some key.
 RECALL = 0.98
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -145,8 +150,8 @@ def sampled_plan(count: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
 
-def sampled_keys(fps: DataFrame, words: int, bits: int, tables: int, seed: int = 7) -> DataFrame:
-    """(table, key, w0..): wide fingerprints under keys of sampled bit positions."""
+def sampled_keys(fps: DataFrame, words: int, bits: int, tables: int, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+    """(table, key, w0.., ``keep``): wide fingerprints under keys of sampled bit positions."""
     rng = np.random.default_rng(seed)
     keys = []
     for t in range(tables):
@@ -155,7 +160,8 @@ def sampled_keys(fps: DataFrame, words: int, bits: int, tables: int, seed: int =
         signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
         key = F.xxhash64(*[F.col(f"w{k}").bitwiseAND(F.lit(m).cast("bigint")) for k, m in enumerate(signed)])
         keys.append(F.struct(F.lit(t).alias("table"), key.alias("key")))
-    return fps.select(F.explode(F.array(*keys)).alias("k"), *[f"w{k}" for k in range(words)]).select("k.table", "k.key", *[f"w{k}" for k in range(words)])
+    rest = [f"w{k}" for k in range(words)] + (keep or [])
+    return fps.select(F.explode(F.array(*keys)).alias("k"), *rest).select("k.table", "k.key", *rest)
 
 
 def bit_planes(words: np.ndarray) -> np.ndarray:
@@ -225,54 +231,201 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return moved, label[moved]
 
 
-def link_groups(group: np.ndarray, words: np.ndarray, radius: int, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that connect all rows of a group within ``radius`` of each other; ``group`` is sorted."""
+def hits(group: np.ndarray, run: np.ndarray, pure: np.ndarray, words: np.ndarray, radius: int, lanes: int = LANES):
+    """Pairs of rows of one group within ``radius``, in batches of (row, row); ``group`` and ``run`` are sorted.
+
+    A group is a row of runs. Rows of a ``pure`` run need no pairs among themselves, and only its later runs are met.
+    """
     n, k = words.shape
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [n]]))
-    keep = sizes > 1
-    starts, sizes = starts[keep], sizes[keep]
-    if not len(starts):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    # Each group begins a new block, so that a block has rows of one group only.
+    if not n:
+        return
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
+    sizes = np.diff(np.concatenate([cuts, [n]]))
+    of_group = group[cuts]
+    # Each run begins a new block, so that a block has rows of one run only.
     per = -(-sizes // 64)
-    first_block = np.concatenate([[0], np.cumsum(per)[:-1]])
+    first_block = np.cumsum(per) - per
+    where = np.repeat(first_block * 64 - cuts, sizes) + np.arange(n)
     row_of = np.full(int(per.sum()) * 64, -1, dtype=np.int64)
-    where = np.repeat(first_block * 64, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    row_of[where] = np.repeat(starts, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    row_of[where] = np.arange(n)
     slots = np.zeros((len(row_of), k), dtype=np.uint64)
-    slots[row_of >= 0] = words[row_of[row_of >= 0]]
+    slots[where] = words
     planes = bit_planes(slots)
     valid = np.packbits((row_of >= 0).reshape(-1, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
-    # Every slot meets its own block and the later blocks of its group.
-    slot = np.flatnonzero(row_of >= 0)
-    last = np.repeat(first_block + per, per)
-    todo = last[slot // 64] - slot // 64
-    from_, to = [], []
+    # A slot meets its own block, unless that is of a pure run, and the later blocks of its group.
+    end = (first_block + per)[np.searchsorted(of_group, of_group, side="right") - 1]
+    begin = np.where(np.repeat(pure, sizes), np.repeat(first_block + per, sizes), where // 64)
+    todo = np.repeat(end, sizes) - begin
+    alone = np.repeat((end - first_block == 1) & (sizes == 1), sizes)
+    todo[alone] = 0
+    asks = np.flatnonzero(todo)
+    bounds = np.cumsum(todo[asks])
     done = 0
-    bounds = np.cumsum(todo)
-    while done < len(slot):
+    while done < len(asks):
         base = bounds[done - 1] if done else 0
         upto = max(done + 1, int(np.searchsorted(bounds, base + lanes, side="right")))
-        s, t = slot[done:upto], todo[done:upto]
-        q = np.repeat(s, t)
-        blocks = q // 64 + (np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t))
-        alive, hits = within(planes, valid, blocks, slots[q], radius)
+        rows, t = asks[done:upto], todo[asks[done:upto]]
+        q = np.repeat(rows, t)
+        blocks = np.repeat(begin[rows], t) + (np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t))
+        alive, lanes_in = within(planes, valid, blocks, words[q], radius)
         if len(alive):
-            bits = np.unpackbits(hits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(lanes_in.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             pair, lane = np.nonzero(bits)
-            a, b = q[alive[pair]], blocks[alive[pair]] * 64 + lane
-            up = b > a
-            from_.append(a[up])
-            to.append(b[up])
-            if sum(map(len, from_)) > 1 << 21:  # a dense group: keep a forest only
-                node, root = _forest(np.concatenate(from_), np.concatenate(to), len(row_of))
-                from_, to = [node], [root]
+            a, b = q[alive[pair]], row_of[blocks[alive[pair]] * 64 + lane]
+            yield a[b > a], b[b > a]
         done = upto
-    if not from_:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    node, root = _forest(np.concatenate(from_), np.concatenate(to), len(row_of))
-    return row_of[node], row_of[root]
+
+
+def connect(words: np.ndarray, radius: int, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that connect all rows of one large group within ``radius`` of each other.
+
+    Each component is searched from one row on. A row that is reached leaves
+    the pool of the rows still asked for, so the work is rows times what is
+    left of the pool: little in a group of near copies.
+    """
+    n, k = words.shape
+    slots = np.zeros((-(-n // 64) * 64, k), dtype=np.uint64)
+    slots[:n] = words
+    planes = bit_planes(slots)
+    left = np.arange(len(slots)) < n
+    from_, to = [], []
+    seed, reached = 0, []
+    while True:
+        if not reached:
+            ahead = np.flatnonzero(left[seed:])
+            if not len(ahead):
+                break
+            seed += int(ahead[0])
+            left[seed] = False
+            reached = [np.array([seed])]
+        valid = np.packbits(left.reshape(-1, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
+        open_ = np.flatnonzero(valid)
+        if not len(open_):
+            break
+        rows = reached.pop()
+        few = max(1, lanes // len(open_))
+        if len(rows) > few:
+            reached.append(rows[few:])
+            rows = rows[:few]
+        q, blocks = np.repeat(rows, len(open_)), np.tile(open_, len(rows))
+        alive, lanes_in = within(planes, valid, blocks, words[q], radius)
+        if len(alive):
+            bits = np.unpackbits(lanes_in.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            pair, lane = np.nonzero(bits)
+            found, first = np.unique(blocks[alive[pair]] * 64 + lane, return_index=True)
+            left[found] = False
+            from_.append(found)
+            to.append(q[alive[pair]][first])
+            reached.append(found)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *from_]), np.concatenate([none, *to])
+
+
+def link_groups(group: np.ndarray, words: np.ndarray, radius: int, lanes: int = LANES, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that connect all rows of a group within ``radius`` of each other; ``group`` is sorted.
+
+    Groups of more than ``hot`` rows are searched component by component.
+    """
+    n = len(group)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]) if n else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.concatenate([starts, [n]])).astype(np.int64)
+    from_, to = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at, size in zip(starts[sizes > hot], sizes[sizes > hot], strict=True):
+        a, b = connect(words[at : at + size], radius, lanes)
+        from_.append(a + at)
+        to.append(b + at)
+    small = np.flatnonzero(np.repeat(sizes <= hot, sizes))
+    held = 0
+    from_s, to_s = [], []
+    for a, b in hits(group[small], group[small], np.zeros((sizes <= hot).sum(), dtype=bool), words[small], radius, lanes):
+        from_s.append(a)
+        to_s.append(b)
+        held += len(a)
+        if held > 1 << 21:  # dense groups: keep a forest only
+            node, root = _forest(np.concatenate(from_s), np.concatenate(to_s), len(small))
+            from_s, to_s, held = [node], [root], len(node)
+    if from_s:
+        node, root = _forest(np.concatenate(from_s), np.concatenate(to_s), len(small))
+        from_.append(small[node])
+        to.append(small[root])
+    return np.concatenate(from_), np.concatenate(to)
+
+
+def _distance(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, dist: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs are among the ``limit`` nearest of either of their rows, ties to the smaller other row."""
+    row, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dist, dist])
+    order = np.lexsort((other, both, row))
+    sorted_ = row[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+    near = np.zeros(len(order), dtype=bool)
+    near[order] = rank < limit
+    return near[: len(a)] | near[len(a) :]
+
+
+def candidates(group: np.ndarray, label: np.ndarray, words: np.ndarray, radius: int, limit: int, lanes: int = LANES):
+    """Pairs (row, row) within ``radius`` of different labels, the ``limit`` nearest of each row, and the groups with more.
+
+    Rows are sorted by group and label. What is held at a time is bounded by the rows times ``limit``.
+    """
+    n = len(group)
+    empty = np.zeros(0, dtype=np.int64)
+    if not n:
+        return empty, empty, empty
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (label[1:] != label[:-1])])
+    count = np.bincount(np.cumsum(new) - 1)
+    # Labels of many rows are runs of their own, the others of a group come last in one run.
+    large = np.repeat(count >= 64, count)
+    order = np.lexsort((np.arange(n), ~large, group))
+    g, big = group[order], large[order]
+    run = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (big[1:] != big[:-1]) | (big[1:] & new[order][1:])])) - 1
+    pure = big[np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])]
+    w, lab = words[order], label[order]
+    a, b, more = empty, empty, empty
+    from_, to = [], []
+
+    def trim():
+        nonlocal a, b, more, from_, to
+        a, b = np.concatenate([a, *from_]), np.concatenate([b, *to])
+        from_, to = [], []
+        near = _nearest(a, b, _distance(w, a, b), limit)
+        more = np.union1d(more, g[a[~near]])
+        a, b = a[near], b[near]
+
+    for x, y in hits(g, run, pure, w, radius, lanes):
+        differ = lab[x] != lab[y]
+        from_.append(x[differ])
+        to.append(y[differ])
+        if sum(map(len, from_)) > 1 << 21:
+            trim()
+    trim()
+    return order[a], order[b], more
+
+
+def whole_groups(batches, by: list[str]):
+    """Batches of sorted rows, regrouped so that no group of equal ``by`` is cut; each row is copied a few times at most."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[by].to_numpy()
+        new = np.flatnonzero(np.concatenate([[last is not None and tuple(keys[0]) != last], (keys[1:] != keys[:-1]).any(axis=1)]))
+        last = tuple(keys[-1])
+        if len(new):
+            yield from [pd.concat([*held, batch.iloc[: new[-1]]], ignore_index=True)] if held or new[-1] else []
+            held, batch = [], batch.iloc[new[-1] :]
+        held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_numbers(batch: pd.DataFrame) -> np.ndarray:
+    t, key = batch["table"].to_numpy(), batch["key"].to_numpy()
+    return np.cumsum(np.concatenate([[False], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]))
 
 
 def links(keyed: DataFrame, ids: list[str], radius: int, parts: int) -> DataFrame:
@@ -280,24 +433,10 @@ def links(keyed: DataFrame, ids: list[str], radius: int, parts: int) -> DataFram
     k = len(ids)
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
-            t, key = batch["table"].to_numpy(), batch["key"].to_numpy()
-            new = np.concatenate([[False], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-            group = np.cumsum(new)
-            whole = int(np.flatnonzero(new)[-1]) if new.any() else 0  # the last group may go on in the next batch
-            rest = batch.iloc[whole:]
-            if whole:
-                yield pairs(group[:whole], batch.iloc[:whole])
-        if rest is not None and len(rest):
-            yield pairs(np.zeros(len(rest), dtype=np.int64), rest)
-
-    def pairs(group, batch):
-        w = batch[ids].to_numpy(dtype=np.int64)
-        a, b = link_groups(group, w.view(np.uint64), radius)
-        return pd.DataFrame({**{f"a{i}": w[a, i] for i in range(k)}, **{f"b{i}": w[b, i] for i in range(k)}})
+        for batch in whole_groups(batches, ["table", "key"]):
+            w = batch[ids].to_numpy(dtype=np.int64)
+            a, b = link_groups(_group_numbers(batch), w.view(np.uint64), radius)
+            yield pd.DataFrame({**{f"a{i}": w[a, i] for i in range(k)}, **{f"b{i}": w[b, i] for i in range(k)}})
 
     schema = ", ".join([f"a{i} bigint" for i in range(k)] + [f"b{i} bigint" for i in range(k)])
     dealt = keyed.repartition(parts, "table", "key").sortWithinPartitions("table", "key")
@@ -329,46 +468,113 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = RADIUS)
     return rows.join(by_print, "w0").select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS, margin: int = WIDE_MARGIN) -> int:
-    """Differing bits to expect at a Jaccard ``similarity`` of shingles, plus the margin."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * words * math.acos(cosine) / math.pi) + margin
+def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS, deviations: float = DEVIATIONS) -> int:
+    """Differing bits to expect at a Jaccard ``similarity`` of shingles, plus some standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * share + deviations * math.sqrt(64 * words * share * (1 - share)))
 
 
-def near_duplicate_roots(rows: DataFrame, words: int = WIDE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) for each distinct fingerprint of ``rows`` that has a near-duplicate; names are hashes of all words."""
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle ``sets`` (node, shingles) have the Jaccard ``similarity``, counted exactly."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - common
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(common >= F.lit(similarity) * either - F.lit(1e-9)).select("a", "b")
+
+
+def near_duplicate_roots(nodes: DataFrame, shingles_of, words: int = WIDE_WORDS, similarity: float = SIMILARITY, limit: int = NEAREST) -> DataFrame:
+    """(node, root) for each of the ``nodes`` (node, w0..) that has a near-duplicate.
+
+    ``shingles_of(names)`` gives (node, shingles) of the nodes in ``names``.
+    Bit slices find candidates, exact counts decide. First the rows of each
+    key are linked by a forest at a small radius, of which every node checks
+    one link; what that joins needs no more comparisons. Then each row checks
+    its nearest rows of other components, ``limit`` of them, and keys with
+    more go into further rounds of eight times as many, until none has more.
+    """
     ids = [f"w{k}" for k in range(words)]
-    nodes = cut(rows.select(*ids).distinct())
     count = nodes.count()
     bits, tables = sampled_plan(count, similarity)
-    keyed = sampled_keys(nodes, words, bits, tables)
-    found = links(keyed, ids, wide_radius(similarity, words), _parts(rows.sparkSession, tables * count))
+    parts = _parts(nodes.sparkSession, tables * count)
     name = lambda side: F.xxhash64(*[f"{side}{k}" for k in range(words)])
-    return components(found.select(name("a").alias("a"), name("b").alias("b")))
+    radius = wide_radius(similarity, words)
+    forest = links(sampled_keys(nodes, words, bits, tables), ids, wide_radius(similarity, words, -DEVIATIONS), parts)
+    ends = forest.select(F.greatest(name("a"), name("b")).alias("a"), F.least(name("a"), name("b")).alias("b"))
+    tried = cut(ends.groupBy("a").agg(F.min("b").alias("b")))
+    good = cut(similar(tried, shingles_of(tried), similarity))
 
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    def run(batches):
+        for batch in whole_groups(batches, ["table", "key"]):
+            w, node = batch[ids].to_numpy(dtype=np.int64).view(np.uint64), batch["node"].to_numpy()
+            group = _group_numbers(batch)
+            a, b, more = candidates(group, batch["label"].to_numpy(), w, radius, limit)
+            first = np.searchsorted(group, more)
+            x, y = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+            yield pd.DataFrame(
+                {
+                    "table": np.concatenate([np.zeros(len(a), dtype=np.int32), batch["table"].to_numpy()[first]]),
+                    "key": np.concatenate([np.zeros(len(a), dtype=np.int64), batch["key"].to_numpy()[first]]),
+                    "a": np.concatenate([x, node[first]]),
+                    "b": np.concatenate([y, node[first]]),
+                }
+            )
+
+    asked = None
+    while True:
+        roots = components(good)
+        labelled = nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        keyed = sampled_keys(labelled, words, bits, tables, keep=["node", "label"])
+        if asked is not None:
+            keyed = keyed.join(asked, ["table", "key"], "left_semi")
+        dealt = keyed.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "label", "node")
+        found = cut(dealt.mapInPandas(run, "table int, key bigint, a bigint, b bigint"))
+        pairs = cut(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = cut(similar(pairs, shingles_of(pairs), similarity))
+        tried, good = tried.union(pairs), good.union(fresh)
+        # A row with a = b names a key with more candidates than were told.
+        asked = cut(found.filter("a = b").select("table", "key"))
+        if not asked.limit(1).count():
+            return components(good)
+        limit *= 8
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, limit: int = NEAREST) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the smallest doc_id, then the smallest text.
 
-    Near-duplicates share 80 % of their five-word shingles, estimated from a
-    fingerprint of 256 bits. Texts without words are alike. Of repeated rows
-    one stays; a null doc_id comes last.
+    Near-duplicates share 80 % of their distinct five-word shingles, counted
+    exactly for the candidates that fingerprints of 256 bits give. Texts
+    without words are alike. Of repeated rows one stays; a null doc_id comes
+    last.
     """
     words = WIDE_WORDS
     ids = [f"w{k}" for k in range(words)]
-    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
-    rows = cut(fingerprints(keys, ["doc_id", "_crc"], WIDE_SHINGLE, words, distinct=True).withColumn("_name", F.xxhash64(*ids)))
-    roots = near_duplicate_roots(rows, words, similarity)
-    grouped = rows.select("doc_id", "_crc", "_name").join(roots, F.col("_name") == F.col("node"), "left")
-    first = grouped.groupBy(F.coalesce("root", "_name").alias("_root")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_crc")).alias("k")
-    )
+    crc_of = F.crc32(F.coalesce("text", F.lit("")))
     id_, crc = free_name(docs, "_keep_id"), free_name(docs, "_keep_crc")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (crc_of == F.col(crc))
+    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", crc_of.alias("_crc"))
+    rows = cut(fingerprints(keys, ["doc_id", "_crc"], WIDE_SHINGLE, words, distinct=True).withColumn("node", F.xxhash64(*ids)))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_crc")).alias("k")
+    nodes = cut(rows.groupBy("node", *ids).agg(smallest))
+
+    def shingles_of(pairs: DataFrame) -> DataFrame:
+        names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut(nodes.join(names, "node", "left_semi").select(F.col("k.doc_id").alias(id_), F.col("k._crc").alias(crc), "node"))
+        texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 48), same).select("node", "text")
+
+        def run(batches):
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t, WIDE_SHINGLE)).view(np.int64) for t in batch["text"].fillna("")]
+                yield pd.DataFrame({"node": batch["node"], "shingles": sets})
+
+        return cut(texts.mapInPandas(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+
+    roots = near_duplicate_roots(nodes.drop("k"), shingles_of, words, similarity, limit)
+    grouped = nodes.select("node", "k").join(roots, "node", "left")
+    first = grouped.groupBy(F.coalesce("root", "node").alias("_root")).agg(F.min("k").alias("k"))
     kept = cut(first.select(F.col("k.doc_id").alias(id_), F.col("k._crc").alias(crc)))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(crc))
     out = docs.join(broadcast_if_small(kept, 48), same, "left_semi")
     # Only rows repeated with both key and text are still there more than once; texts are dealt out for them alone.
     again = rows.groupBy("doc_id", "_crc").count().filter("count > 1")
     if again.limit(1).count():
-        out = out.withColumn(crc, F.crc32(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", crc]).select(*docs.columns)
+        out = out.withColumn(crc, crc_of).dropDuplicates(["doc_id", crc]).select(*docs.columns)
     return out

@@ -228,6 +228,55 @@ def test_bit_slices(lanes):
         a, b = simhash.link_groups(group, fps, radius, lanes)
         near = [(i, j) for i in range(300) for j in range(i) if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius]
         assert reach(300, zip(a, b, strict=True)) == reach(300, near)
+        # The same component by component.
+        a, b = simhash.link_groups(group, fps, radius, lanes, hot=10)
+        assert reach(300, zip(a, b, strict=True)) == reach(300, near)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 400])
+def test_candidates(limit):
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2**63, (500, 4)).astype(np.uint64)
+    for i in range(1, 500):
+        if i % 5:
+            fps[i] = fps[i - 1] ^ (np.uint64(1) << np.uint64(i % 64))
+    group = np.sort(rng.integers(0, 3, 500))
+    label = np.where(rng.random(500) < 0.5, 7, rng.integers(100, 140, 500))  # one label is a run of its own
+    order = np.lexsort((label, group))
+    group, label = group[order], label[order]
+    a, b, more = simhash.candidates(group, label, fps, 20, limit)
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    near = defaultdict(list)
+    for i in range(500):
+        for j in range(500):
+            d = int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+            if group[i] == group[j] and label[i] != label[j] and d <= 20:
+                near[i].append((d, j))
+    every = {(min(i, j), max(i, j)) for i, js in near.items() for _, j in js}
+    assert got <= every and len(got) == len(a)
+    for i, js in near.items():
+        for d, j in js:
+            if sum(e < d for e, _ in js) < limit and sum(e <= d for e, _ in js) <= limit:
+                assert (min(i, j), max(i, j)) in got
+    assert set(more.tolist()) == {group[i] for i, _ in every - got}
+
+
+def test_large_group_of_near_prints():
+    """A group of many near prints costs little more than its rows."""
+    rng = np.random.default_rng(9)
+    n = 30_000
+    fps = np.full((n, 1), 0x0123456789ABCDEF, dtype=np.uint64)
+    for _ in range(2):
+        fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    calls = []
+    old = simhash.within
+    simhash.within = lambda planes, valid, blocks, queries, radius: (calls.append(len(blocks)), old(planes, valid, blocks, queries, radius))[1]
+    try:
+        a, b = simhash.link_groups(np.zeros(n, dtype=np.int64), fps, 4)
+    finally:
+        simhash.within = old
+    assert len(set(reach(n, zip(a.tolist(), b.tolist(), strict=True)))) == 1
+    assert sum(calls) < 40 * n  # all pairs would be n / 128 blocks a row, 234
 
 
 def test_components_of_documents(spark, monkeypatch):
@@ -277,6 +326,44 @@ def test_near_duplicates(spark):
     assert sorted({group[d] for d in kept}) == list(range(60)) and len(kept) <= 62
 
 
+@pytest.mark.parametrize("limit", [16, 1])
+def test_near_duplicates_by_exact_similarity(spark, limit):
+    """Pairs around the wanted similarity, held against exact counts."""
+    rng = random.Random(31)
+    texts = []
+    for g in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 200, 400]))]
+        texts.append(base)
+        for _ in range(1 + g % 3):
+            share = rng.uniform(0.0, 0.07)
+            texts.append([f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(max(0, i - 4), i)}
+    linked = [p for p, s in likeness.items() if s >= 0.8]
+    assert len(linked) > 60 and sum(0.65 < s < 0.8 for s in likeness.values()) > 40
+    root = reach(len(texts), linked)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df, limit=limit).collect()}
+    want = {min(i for i in range(len(texts)) if root[i] == r) for r in set(root)}
+    assert want <= kept  # nothing below the similarity goes
+    gone = len(texts) - len(want)
+    assert len(texts) - len(kept) >= 0.95 * gone
+
+
+def test_family_with_one_hot_key(spark):
+    """Copies of one text that differ among themselves, many under each key, tried one by one at first."""
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(50)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows[:300]]
+    root = reach(300, [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), limit=1).collect()}
+    assert {1000 + i for i in range(50)} <= kept
+    want = {min(i for i in range(300) if root[i] == r) for r in set(root)}
+    assert want <= kept and len(kept) <= 50 + len(want) + 5
+
+
 def test_repeated_lines(spark):
     rng = random.Random(22)
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
