@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Training, estimated similarity and tokenization have no SQL form; the tests compare each stage with brute force.
+#: Training, similarity by shared shingles and tokenization have no SQL form; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
