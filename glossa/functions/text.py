@@ -144,11 +144,17 @@ def escape_html(c: Column) -> Column:
 
 
 def _chunked(xs: Column, chunk: int, body) -> Column:
-    """``body(chunks)`` for the elements, as BIGINT, in arrays of ``chunk``."""
-    whole = F.floor((F.size(xs) - 1) / chunk).cast("int")
-    chunks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), whole), lambda c: F.slice(xs, c * chunk + 1, chunk)))
-    chunks = F.transform(F.coalesce(chunks, F.array().cast("array<array<int>>")), lambda c: F.transform(c, lambda x: x.cast("bigint")))
-    return let(chunks, body)
+    """``body(chunks)`` for the elements, as BIGINT, in arrays of ``chunk``.
+
+    The elements are bound, as each chunk would compute them all anew.
+    """
+
+    def chunks(xs: Column) -> Column:
+        whole = F.floor((F.size(xs) - 1) / chunk).cast("int")
+        some = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), whole), lambda c: F.slice(xs, c * chunk + 1, chunk)))
+        return let(F.coalesce(some, F.array().cast("array<array<bigint>>")), body)
+
+    return let(F.transform(xs, lambda x: x.cast("bigint")), chunks)
 
 
 def _running(xs: Column, start: Column, op, inclusive: bool) -> Column:

@@ -9,12 +9,14 @@ over as many files as it needs.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.text import characters, let, search_block, totals_before
+from glossa.session import drop
 
 ROWS_PER_SHARD = 1_000_000
 MOST_SHARDS = 4096
@@ -75,11 +77,20 @@ class Postings:
 
 
 def save_postings(rows: DataFrame, path: str, mode: str, rows_per_shard: int = ROWS_PER_SHARD) -> int:
-    """Write a posting table and return the number of its shards."""
-    shards = max(1, min(MOST_SHARDS, -(-rows.count() // rows_per_shard)))
-    order = ["shard", "key", "entry_id"]
-    placed = rows.withColumn("shard", shard_of(F.col("key"), shards))
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("shard").parquet(path)
+    """Write a posting table and return the number of its shards.
+
+    Postings are made once and written as they come; counting, sampling and dealing out read the written rows.
+    """
+    spark, made = rows.sparkSession, [f"{path}-unsorted-{uuid.uuid4().hex}"]
+    try:
+        rows.write.parquet(made[0])
+        found = spark.read.schema(rows.schema).parquet(made[0])
+        shards = max(1, min(MOST_SHARDS, -(-found.count() // rows_per_shard)))
+        order = ["shard", "key", "entry_id"]
+        placed = found.withColumn("shard", shard_of(F.col("key"), shards))
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("shard").parquet(path)
+    finally:
+        drop(spark, made)
     return shards
 
 
