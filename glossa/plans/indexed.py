@@ -4,7 +4,8 @@ A posting tells where its key first occurs, so the place and the cost of a
 term follow from the key it was found in; no text is read. Keys that were not
 asked for are pruned by shard. Hits are folded to the best one per query,
 entry and term, then to one row per query and entry, which counts if every
-term is there.
+term is there. Where no query has more than SLOTS terms, one aggregation with
+a minimum per term does both.
 
 Where the anchors (each query's rarest term) have few enough entries, those
 are broadcast, and postings of other terms that belong to none of them go
@@ -30,6 +31,8 @@ if TYPE_CHECKING:
 TABLES = {MATCH_SYLLABLE: "syllables", MATCH_DEFINITION: "words", MATCH_HEADWORD: "characters"}
 #: What a candidate (query, entry) takes in a broadcast table.
 CANDIDATE_BYTES = 64
+#: Terms of the longest query up to which each term has a column of its own.
+SLOTS = 4
 _HALF = 32
 _FACTS = ("k", "n_terms", "non_ascii")
 
@@ -63,9 +66,11 @@ class Asked:
             shard = F.when(F.col("kind") == kind, shard_of(F.col("key"), run.lexicon.postings[TABLES[kind]].shards)).otherwise(shard)
         size = F.sum(F.octet_length("key") + F.octet_length("term") + 96).alias("bytes")
         # A row per kind and shard, of which there are no more than a few thousand.
-        asked = self.wanted.groupBy("kind", shard.alias("shard")).agg(size).collect()
+        asked = self.wanted.groupBy("kind", shard.alias("shard")).agg(size, F.max("n_terms").alias("n_terms")).collect()
+        self.slots: dict[str, int] = {}
         for r in asked:
             self.shards.setdefault(r["kind"], []).append(r["shard"])
+            self.slots[r["kind"]] = max(self.slots.get(r["kind"], 0), r["n_terms"])
         self.small = sum(r["bytes"] for r in asked) <= run.broadcast_bytes
         candidates = run.queries.agg(F.coalesce(F.sum("anchor_entries"), F.lit(0))).first()[0]
         self.few = candidates * CANDIDATE_BYTES <= run.broadcast_bytes
@@ -128,12 +133,22 @@ class Asked:
         n_syllables = F.col("n_syllables") if kind == MATCH_SYLLABLE else F.lit(0)
         hits = hits.select("query_id", *_FACTS, "entry_id", "static_cost", "term_idx", n_syllables.alias("n_syllables"), self._best(kind).alias("best")).filter("best is not null")
         facts = [F.max(c).alias(c) for c in (*_FACTS, "static_cost", "n_syllables")]
-        per_term = hits.groupBy("query_id", "entry_id", "term_idx").agg(F.min("best").alias("best"), *facts)
-        per_pair = per_term.groupBy("query_id", "entry_id").agg(F.sort_array(F.collect_list(F.struct("term_idx", "best"))).alias("found"), *facts)
-        enough = F.size("found") == F.col("n_terms")
+        slots = self.slots[kind]
+        if slots <= SLOTS:
+            mins = [F.min(F.when(F.col("term_idx") == i, F.col("best"))).alias(f"best{i}") for i in range(slots)]
+            per_pair = hits.groupBy("query_id", "entry_id").agg(*mins, *facts)
+            enough = F.lit(True)
+            for i in range(slots):
+                enough = enough & (F.col(f"best{i}").isNotNull() | (F.col("n_terms") <= i))
+            best = F.slice(F.array(*[f"best{i}" for i in range(slots)]), F.lit(1), F.col("n_terms"))
+        else:
+            per_term = hits.groupBy("query_id", "entry_id", "term_idx").agg(F.min("best").alias("best"), *facts)
+            per_pair = per_term.groupBy("query_id", "entry_id").agg(F.sort_array(F.collect_list(F.struct("term_idx", "best"))).alias("found"), *facts)
+            enough = F.size("found") == F.col("n_terms")
+            best = F.transform("found", lambda x: x["best"])
         if kind == MATCH_SYLLABLE:
             enough = enough & (F.col("n_syllables") >= F.col("n_terms"))
-        score = self._scored(kind, F.transform("found", lambda x: x["best"]), F.col("n_syllables"))
+        score = self._scored(kind, best, F.col("n_syllables"))
         scored = per_pair.filter(enough).withColumn("score", score)
         return scored.select(
             "query_id", "k", "entry_id", F.lit(kind).alias("match_type"), *[F.col(f"score.{c}").alias(c) for c in COSTS], F.col("static_cost").cast("bigint").alias("static_cost")

@@ -32,3 +32,14 @@ def test_postings_are_made_once(spark, tmp_path):
     assert postings.save_postings(rows, str(tmp_path / "saved" / "made"), "errorifexists", 30) == 4
     assert len(open(log).read()) == 100 and [p.name for p in (tmp_path / "saved").iterdir()] == ["made"]
     assert spark.read.parquet(str(tmp_path / "saved" / "made")).count() == 100
+
+
+def test_short_and_long_queries_agree(spark, make_lexicon, make_queries, monkeypatch):
+    rows = [(i, "", [(w, t) for t, w in enumerate(("lou", "si", "gau", "fan")[: 1 + i % 4])], [f"some old {w} here" for w in ("cat", "dog", "cold tea")[: 1 + i % 3]], i, "A") for i in range(40)]
+    lexicon, queries = make_lexicon(rows, saved=True), make_queries(["cat", "old cat", "lou si", "si lou0", "dog old cat here", "old old", "lo", "si si si si"])
+    got = []
+    for slots in (4, 0):
+        monkeypatch.setattr(indexed, "SLOTS", slots)
+        with SearchRun(queries, lexicon) as run:
+            got.append(sorted(map(tuple, run.matches().collect())))
+    assert got[0] == got[1] and len(got[0]) > 50
