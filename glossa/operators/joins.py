@@ -192,7 +192,7 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     one piece intact. Texts meet the pieces by their rarest grams, at the place
     where a gram stands, and only what lies around a piece is compared with the
     rest of the term, so a text is not read again for each candidate. Texts
-    travel as ids and short windows where the terms are too many to broadcast.
+    travel as ids and short windows, and join again by their ids at the end.
     A term of no more than ``max_distance`` bytes is within reach of any text
     that is not empty: here come the texts that hold it, at distance 0, and
     ``within_reach_of_any`` tells its distance from all others.
@@ -229,11 +229,10 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     # Work per byte is high, so texts that adaptive execution has gathered in few tasks are dealt out again.
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lines = texts.repartition(tasks, F.xxhash64("key")).select("key", F.col("key").cast("binary").alias("raw"))
-    if not small:
-        lines = cut(lines.withColumn("_id", F.monotonically_increasing_id()))
+    lines = cut(texts.repartition(tasks, F.xxhash64("key")).select("key").withColumn("_id", F.monotonically_increasing_id()))
     at = F.explode(F.sequence(F.lit(1), F.octet_length("raw")))
-    exploded = lines.filter(F.octet_length("raw") > 0).withColumn("at", at).withColumn("gram", F.explode(F.array(*[F.substring("raw", F.col("at"), F.lit(n)) for n in sizes])))
+    bytes_of = lines.select("_id", F.col("key").cast("binary").alias("raw"))
+    exploded = bytes_of.filter(F.octet_length("raw") > 0).withColumn("at", at).withColumn("gram", F.explode(F.array(*[F.substring("raw", F.col("at"), F.lit(n)) for n in sizes])))
     if not small:
         first = F.greatest(F.col("at") - reach, F.lit(1))
         exploded = exploded.select("_id", "gram", (F.col("at") - first + 1).alias("at"), F.substring("raw", first, F.lit(2 * reach + 3)).alias("raw"))
@@ -244,12 +243,13 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     first = F.greatest(F.col("start") - F.octet_length("before") - max_distance, F.lit(1))
     left = F.substring("raw", first, F.col("start") - first)
     right = F.substring("raw", F.col("start") + F.octet_length("piece"), F.octet_length("after") + max_distance)
-    around = around_piece(F.col("before_text"), F.col("after_text"), byte_characters(left), byte_characters(right), max_distance)
+    # From here on a row has the bytes around its piece and no longer the text.
+    met = met.select("needle", "_id", "before_text", "after_text", left.alias("left"), right.alias("right"))
+    around = around_piece(F.col("before_text"), F.col("after_text"), byte_characters(F.col("left")), byte_characters(F.col("right")), max_distance)
     # Exploding an array of one or none computes and filters in a single evaluation.
     distance = F.explode(F.filter(F.array(around), lambda x: x <= max_distance))
-    text = "key" if small else "_id"
-    found = met.select("needle", text, distance.alias("distance")).groupBy("needle", text).agg(F.min("distance").alias("distance"))
-    return (found if small else found.join(lines.select("_id", "key"), "_id")).select("needle", "key", "distance")
+    found = met.select("needle", "_id", distance.alias("distance")).groupBy("needle", "_id").agg(F.min("distance").alias("distance"))
+    return found.join(lines, "_id").select("needle", "key", "distance")
 
 
 def within_reach_of_any(terms: DataFrame, max_distance: int) -> DataFrame:

@@ -45,6 +45,15 @@ def test_short_and_long_queries_agree(spark, make_lexicon, make_queries, monkeyp
     assert got[0] == got[1] and len(got[0]) > 50
 
 
+def test_text_does_not_travel_with_its_hits(spark):
+    needles = spark.createDataFrame([("abcd",), ("xyz",)], "needle string")
+    lines = spark.createDataFrame([("abcd " * 50,), ("xyy abd",), ("nothing",)], "key string")
+    pairs = joins.local_levenshtein_pairs(needles, lines, 1)
+    assert sorted((r["needle"], r["key"][:3], r["distance"]) for r in pairs.collect()) == [("abcd", "abc", 0), ("abcd", "xyy", 1), ("xyz", "xyy", 1)]
+    grouped = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert grouped and not any("key#" in line for line in grouped)
+
+
 def test_hits_are_dealt_by_their_number(spark):
     asked = spark.createDataFrame([(q, 0, "a", None) for q in range(20)] + [(99, 0, "b", 2)], "query_id bigint, term_idx int, term_base string, tone int")
     matches = spark.createDataFrame([("a", "ab", 5), ("a", "ac", 3), ("b", "ab", 1)], "term_base string, base string, match_cost int")
