@@ -64,3 +64,24 @@ def test_hits_are_dealt_by_their_number(spark):
         assert sorted(map(tuple, got.collect())) == want
     tasks = terms.best_term_positions(asked, matches, entries, hits_per_task=100).rdd.getNumPartitions()
     assert tasks == 9  # 900 hits
+
+
+def test_pages_search_the_last_one_once(spark, monkeypatch, tmp_path):
+    from workload import queries as q
+
+    part = [(i, f"{a} {b}", f"Brand#{i % 5}", "ECONOMY", i % 9, 1.0) for i, (a, b) in enumerate([("cold", "ring"), ("hot", "bolt")] * 40)]
+    spark.createDataFrame(part, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+
+    class Run(SearchRun):
+        def __init__(self, queries, *args, **kw):
+            made.append(queries.count())
+            super().__init__(queries, *args, **kw)
+
+    monkeypatch.setattr(q, "SearchRun", Run)
+    rows = q.search_pages(spark, str(tmp_path)).collect()
+    assert made == [len(fx.QSET) + 2]  # not three times as many
+    of = lambda i: sorted((r["rank"], r["entry_id"], r["k"], r["has_more"]) for r in rows if r["query_id"] == i)
+    first, last = of(10000), of(10002)
+    assert [r[:2] for r in first] == [r[:2] for r in last[:12]] and len(first) == 12 and len(last) == 40
+    assert {r[2:] for r in first} == {(12, 1)} and {r[2:] for r in last} == {(48, 0)}

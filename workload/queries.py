@@ -548,14 +548,12 @@ def search_docs_words(spark, sf):
 
 @query
 def search_pages(spark, sf):
-    """The first three pages of every query: the size doubles with each."""
-    pages = fx.qset(spark, sf).select(
-        "query_id", "query", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("page")
-    )
-    queries = pages.select(
-        (F.col("query_id") * 10 + F.col("page")).alias("query_id"), "query", render.page_size(12, F.col("page")).alias("k")
-    )
-    ranked = SearchRun(queries, fx.lex_lexicon(spark, sf)).ranked()
+    """The first three pages of every query: the size doubles with each. The last one is searched, and begins with the others."""
+    queries = fx.qset(spark, sf).select("query_id", "query", render.page_size(12, F.lit(2)).alias("k"))
+    best = SearchRun(queries, fx.lex_lexicon(spark, sf)).ranked()
+    pages = F.array(*[F.struct(F.lit(i).alias("page"), render.page_size(12, F.lit(i)).alias("k")) for i in range(3)])
+    told = best.drop("k").withColumn("p", F.explode(pages)).filter(F.col("rank") <= F.col("p.k"))
+    ranked = told.withColumn("query_id", F.col("query_id") * 10 + F.col("p.page")).withColumn("k", F.col("p.k"))
     return render.with_has_more(ranked).select("query_id", "k", "entry_id", "match_type", "total_cost", "rank", F.col("has_more").cast("int").alias("has_more"))
 
 
