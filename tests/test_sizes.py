@@ -85,3 +85,14 @@ def test_pages_search_the_last_one_once(spark, monkeypatch, tmp_path):
     first, last = of(10000), of(10002)
     assert [r[:2] for r in first] == [r[:2] for r in last[:12]] and len(first) == 12 and len(last) == 40
     assert {r[2:] for r in first} == {(12, 1)} and {r[2:] for r in last} == {(48, 0)}
+
+
+def test_spans_of_lines_that_hold_a_term(spark, tmp_path):
+    from workload import queries as q
+
+    docs = [(1, "x And y\nno match here\nüber uns", "en", "s", 3), (2, None, None, None, None), (3, "THE QUE la", "fr", "s", 9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["query_id"], r["entry_key"], r["def_idx"], r["spans"]) for r in q.spans_english(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 0, "2-5"), (1, 3, 0, "0-3"), (2, 1, 2, "0-2"), (3, 1, 2, "0-5"), (5, 3, 0, "4-10")]
+    plan = q.spans_english(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "<> )" not in plan.replace("'", "")

@@ -590,10 +590,13 @@ def best_term_position(spark, sf):
 
 @query
 def spans_english(spark, sf):
-    qs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("query_id"), F.lit(q).alias("query")) for i, q, _ in fx.QDOC])
-    rows = fx.ldoc(spark, sf).select("entry_key", F.posexplode("definitions").alias("def_idx", "d")).select("*", F.explode(qs).alias("q"))
-    merged = spans.merge_spans(spans.definition_spans(F.col("d"), query_terms(F.col("q.query"))))
-    return rows.select(F.col("q.query_id").alias("query_id"), "entry_key", "def_idx", show_spans(merged).alias("spans")).filter("spans <> ''")
+    qs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("query_id"), query_terms(F.lit(q)).alias("terms")) for i, q, _ in fx.QDOC])
+    rows = fx.ldoc(spark, sf).select("entry_key", F.posexplode("definitions").alias("def_idx", "d")).withColumn("folded", text.fold(F.col("d")))
+    # A line has spans of the queries that it holds a term of; only these are paired with it.
+    holds = lambda q: F.exists(q["terms"], lambda t: F.instr(F.col("folded"), t["tok_fold"]) > 0)
+    pairs = rows.select("entry_key", "def_idx", "d", F.explode(F.filter(qs, holds)).alias("q"))
+    merged = spans.merge_spans(spans.definition_spans(F.col("d"), F.col("q.terms")))
+    return pairs.select(F.col("q.query_id").alias("query_id"), "entry_key", "def_idx", show_spans(merged).alias("spans"))
 
 
 @query
