@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossa.costs import DEFAULT_COSTS, CostModel
-from glossa.functions.scoring import term_syllable_cost
+from glossa.functions.scoring import best_positions, packed_position, term_syllable_cost
 from glossa.functions.text import byte_offset, characters, ci_index_of, escape_html, let, running_max, totals_before
 
 SPAN = "struct<start:int,end:int>"
@@ -114,7 +114,9 @@ def assign_syllables(terms: Column, syl: Column, costs: CostModel = DEFAULT_COST
     reduced costs from falling below zero, so the work grows with
     terms^2 * syllables^2. A cost is an array, of what the match costs and then
     the chosen position in the place of its term: sums of such arrays, ordered
-    like tuples, rank whole assignments by cost and then by positions.
+    like tuples, rank whole assignments by cost and then by positions. Where
+    the cheapest, then earliest syllables of all terms differ, they are that
+    assignment, and no path is searched.
     """
 
     def cost(t: Column, i: Column, s: Column, j: Column) -> Column:
@@ -206,7 +208,13 @@ def assign_syllables(terms: Column, syl: Column, costs: CostModel = DEFAULT_COST
         real = lambda ps: F.forall(F.transform(ps, lambda p, i: F.get(F.get(F.get(edges, i), p), F.lit(0)) < _IMPOSSIBLE), lambda x: x)
         return let(path, lambda ps: F.when(real(ps), ps))
 
-    return F.when((F.size(terms) > 0) & (F.size(terms) <= F.size(syl)), let(edges, solved))
+    def assigned(best: Column) -> Column:
+        positions = F.transform(best, lambda b: packed_position(b).cast("int"))
+        differ = F.size(F.array_distinct(positions)) == F.size(best)
+        searched = F.when(differ, positions).otherwise(let(edges, solved))
+        return F.when(F.forall(best, lambda b: b.isNotNull()), searched)
+
+    return F.when((F.size(terms) > 0) & (F.size(terms) <= F.size(syl)), let(best_positions(terms, syl, costs), assigned))
 
 
 def syllable_spans(terms: Column, syl: Column, path: Column) -> Column:

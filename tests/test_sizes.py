@@ -66,6 +66,15 @@ def test_hits_are_dealt_by_their_number(spark):
     assert tasks == 9  # 900 hits
 
 
+def test_assignment_of_differing_best_syllables(spark):
+    rows = spark.createDataFrame(
+        [("lou si", [("si", 1), ("lou", 2)]), ("si si", [("si", 1), ("si", 2)]), ("lou lou", [("lou", 1), ("si", 2)]), ("si3 lou", [("si", 3), ("lou", 2), ("si", 3)])],
+        "q string, syl array<struct<base:string,tone:int>>",
+    )
+    path = spans.assign_syllables(query_terms(F.col("q")), F.col("syl"))
+    assert [r["p"] for r in rows.coalesce(1).select(path.alias("p")).collect()] == [[1, 0], [0, 1], None, [0, 1]]
+
+
 def test_pages_search_the_last_one_once(spark, monkeypatch, tmp_path):
     from workload import queries as q
 
