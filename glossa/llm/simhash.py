@@ -41,7 +41,12 @@ _TO_SPACE = bytes(0x20 if c in _SPACES else c for c in range(256))
 #: Fingerprints per key that a plan of keys aims at.
 BLOCK_GOAL = 128
 #: (query, block) pairs compared at a time in a task.
-LANES = 1 << 17
+LANES = 1 << 14
+#: Pairs that a task holds before it folds them; shingles that it indexes at a time.
+PAIRS = 1 << 18
+SLAB = 1 << 21
+#: Rows with their shingles that a task compares, beyond those of a single key.
+ROWS_COMPARED = 20_000
 #: Groups with more rows are searched component by component.
 HOT = 2048
 
@@ -51,8 +56,8 @@ WIDE_WORDS = 4
 SIMILARITY = 0.8
 #: Standard deviations by which the radius of candidates exceeds the bits expected at the wanted similarity.
 DEVIATIONS = 3.0
-#: Candidates that each row checks in the first round.
-NEAREST = 16
+#: Candidates of a row under one key up to which they are paired; fuller keys compare their rows' shingles within a task.
+NEAREST = 4
 #: Share of pairs at exactly the wanted similarity that meet under some key.
 RECALL = 0.98
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -341,7 +346,7 @@ def link_groups(group: np.ndarray, words: np.ndarray, radius: int, lanes: int =
         from_s.append(a)
         to_s.append(b)
         held += len(a)
-        if held > 1 << 21:  # dense groups: keep a forest only
+        if held > PAIRS:  # dense groups: keep a forest only
             node, root = _forest(np.concatenate(from_s), np.concatenate(to_s), len(small))
             from_s, to_s, held = [node], [root], len(node)
     if from_s:
@@ -351,30 +356,18 @@ def link_groups(group: np.ndarray, words: np.ndarray, radius: int, lanes: int =
     return np.concatenate(from_), np.concatenate(to)
 
 
-def _distance(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, dist: np.ndarray, limit: int) -> np.ndarray:
-    """Which pairs are among the ``limit`` nearest of either of their rows, ties to the smaller other row."""
-    row, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dist, dist])
-    order = np.lexsort((other, both, row))
-    sorted_ = row[order]
-    rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
-    near = np.zeros(len(order), dtype=bool)
-    near[order] = rank < limit
-    return near[: len(a)] | near[len(a) :]
-
-
 def candidates(group: np.ndarray, label: np.ndarray, words: np.ndarray, radius: int, limit: int, lanes: int = LANES):
-    """Pairs (row, row) within ``radius`` of different labels, the ``limit`` nearest of each row, and the groups with more.
+    """Pairs (row, row) within ``radius`` of different labels, and the rows of the groups too full for pairs.
 
-    Rows are sorted by group and label. What is held at a time is bounded by the rows times ``limit``.
+    Groups in which a row has more than ``limit`` candidates give no pairs but
+    the rows that have any. Rows are sorted by group and label. What is held at
+    a time is bounded by the rows times ``limit``.
     """
     n = len(group)
     empty = np.zeros(0, dtype=np.int64)
     if not n:
         return empty, empty, empty
+    group = np.unique(group, return_inverse=True)[1]
     new = np.concatenate([[True], (group[1:] != group[:-1]) | (label[1:] != label[:-1])])
     count = np.bincount(np.cumsum(new) - 1)
     # Labels of many rows are runs of their own, the others of a group come last in one run.
@@ -384,25 +377,64 @@ def candidates(group: np.ndarray, label: np.ndarray, words: np.ndarray, radius:
     run = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (big[1:] != big[:-1]) | (big[1:] & new[order][1:])])) - 1
     pure = big[np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])]
     w, lab = words[order], label[order]
-    a, b, more = empty, empty, empty
-    from_, to = [], []
+    a, b = empty, empty
+    met, full = np.zeros(n, dtype=np.int64), np.zeros(int(g[-1]) + 1, dtype=bool)
+    from_, to, held = [], [], 0
 
-    def trim():
-        nonlocal a, b, more, from_, to
+    def thin():
+        nonlocal a, b, from_, to, held
         a, b = np.concatenate([a, *from_]), np.concatenate([b, *to])
-        from_, to = [], []
-        near = _nearest(a, b, _distance(w, a, b), limit)
-        more = np.union1d(more, g[a[~near]])
-        a, b = a[near], b[near]
+        open_ = ~full[g[a]]
+        a, b = a[open_], b[open_]
+        from_, to, held = [], [], 0
 
     for x, y in hits(g, run, pure, w, radius, lanes):
         differ = lab[x] != lab[y]
-        from_.append(x[differ])
-        to.append(y[differ])
-        if sum(map(len, from_)) > 1 << 21:
-            trim()
-    trim()
-    return order[a], order[b], more
+        x, y = x[differ], y[differ]
+        met += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+        full[g[x[met[x] > limit]]] = True
+        full[g[y[met[y] > limit]]] = True
+        open_ = ~full[g[x]]
+        from_.append(x[open_])
+        to.append(y[open_])
+        held += int(open_.sum())
+        if held > PAIRS:
+            thin()
+    thin()
+    return order[a], order[b], order[np.flatnonzero(full[g] & (met > 0))]
+
+
+def alike(label: np.ndarray, sets: list[np.ndarray], similarity: float, slab: int = SLAB) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) that join all labels which rows of the Jaccard ``similarity`` connect, counted exactly.
+
+    A row meets all others at once through an index of the rows by shingle, made for some ``slab`` shingles at
+    a time. Rows of the most frequent label need not ask, as the others meet them; links are fewer than labels.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    askers = np.flatnonzero(label != np.bincount(label).argmax())
+    ends = np.cumsum(size)
+    from_, to, first = [], [], 0
+    while first < len(sets):
+        upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + slab, side="right")))
+        values = np.concatenate(sets[first:upto])
+        owner = np.repeat(np.arange(upto - first), size[first:upto])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for r in askers:
+            low, high = np.searchsorted(values, sets[r], side="left"), np.searchsorted(values, sets[r], side="right")
+            width = high - low
+            at = np.repeat(high - np.cumsum(width), width) + np.arange(width.sum())
+            common = np.bincount(owner[at], minlength=upto - first)
+            near = common >= similarity * (size[r] + size[first:upto] - common) - 1e-9
+            near = first + np.flatnonzero(near & (label[first:upto] != label[r]))
+            if len(near):
+                others, one = np.unique(label[near], return_index=True)
+                from_.extend([r] * len(one))
+                to.extend(near[one])
+                label[np.isin(label, others)] = label[r]
+        first = upto
+    return np.array(from_, dtype=np.int64), np.array(to, dtype=np.int64)
 
 
 def whole_groups(batches, by: list[str]):
@@ -485,12 +517,13 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicate_roots(nodes: DataFrame, shingles_of, words: int = WIDE_WORDS, similarity: float = SIMILARITY, limit: int = NEAREST) -> DataFrame:
     """(node, root) for each of the ``nodes`` (node, w0..) that has a near-duplicate.
 
-    ``shingles_of(names)`` gives (node, shingles) of the nodes in ``names``.
+    ``shingles_of(names)`` gives (node, shingles) of the ``names`` (node).
     Bit slices find candidates, exact counts decide. First the rows of each
     key are linked by a forest at a small radius, of which every node checks
-    one link; what that joins needs no more comparisons. Then each row checks
-    its nearest rows of other components, ``limit`` of them, and keys with
-    more go into further rounds of eight times as many, until none has more.
+    one link; what that joins needs no more comparisons. Then the candidates
+    of other components are checked: as pairs where no row has more than
+    ``limit`` of them under the key, else by a task that has the shingles of
+    the key's rows, so that the rows that move never grow with their square.
     """
     ids = [f"w{k}" for k in range(words)]
     count = nodes.count()
@@ -501,41 +534,46 @@ def near_duplicate_roots(nodes: DataFrame, shingles_of, words: int = WIDE_WORDS,
     forest = links(sampled_keys(nodes, words, bits, tables), ids, wide_radius(similarity, words, -DEVIATIONS), parts)
     ends = forest.select(F.greatest(name("a"), name("b")).alias("a"), F.least(name("a"), name("b")).alias("b"))
     tried = cut(ends.groupBy("a").agg(F.min("b").alias("b")))
-    good = cut(similar(tried, shingles_of(tried), similarity))
+    both = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    good = cut(similar(tried, shingles_of(both(tried)), similarity))
 
     def run(batches):
         for batch in whole_groups(batches, ["table", "key"]):
             w, node = batch[ids].to_numpy(dtype=np.int64).view(np.uint64), batch["node"].to_numpy()
             group = _group_numbers(batch)
-            a, b, more = candidates(group, batch["label"].to_numpy(), w, radius, limit)
-            first = np.searchsorted(group, more)
+            a, b, full = candidates(group, batch["label"].to_numpy(), w, radius, limit)
             x, y = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
             yield pd.DataFrame(
                 {
-                    "table": np.concatenate([np.zeros(len(a), dtype=np.int32), batch["table"].to_numpy()[first]]),
-                    "key": np.concatenate([np.zeros(len(a), dtype=np.int64), batch["key"].to_numpy()[first]]),
-                    "a": np.concatenate([x, node[first]]),
-                    "b": np.concatenate([y, node[first]]),
+                    "table": np.concatenate([np.zeros(len(a), dtype=np.int32), batch["table"].to_numpy()[full]]),
+                    "key": np.concatenate([np.zeros(len(a), dtype=np.int64), batch["key"].to_numpy()[full]]),
+                    "a": np.concatenate([x, node[full]]),
+                    "b": np.concatenate([y, node[full]]),
                 }
             )
 
-    asked = None
-    while True:
-        roots = components(good)
-        labelled = nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        keyed = sampled_keys(labelled, words, bits, tables, keep=["node", "label"])
-        if asked is not None:
-            keyed = keyed.join(asked, ["table", "key"], "left_semi")
-        dealt = keyed.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "label", "node")
-        found = cut(dealt.mapInPandas(run, "table int, key bigint, a bigint, b bigint"))
-        pairs = cut(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        fresh = cut(similar(pairs, shingles_of(pairs), similarity))
-        tried, good = tried.union(pairs), good.union(fresh)
-        # A row with a = b names a key with more candidates than were told.
-        asked = cut(found.filter("a = b").select("table", "key"))
-        if not asked.limit(1).count():
-            return components(good)
-        limit *= 8
+    def compare(batches):
+        for batch in whole_groups(batches, ["table", "key"]):
+            node, label, sets = batch["node"].to_numpy(), batch["label"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in batch["shingles"]]
+            cuts = np.flatnonzero(np.diff(_group_numbers(batch))) + 1
+            for rows in np.split(np.arange(len(batch)), cuts):
+                a, b = alike(label[rows], [sets[i] for i in rows], similarity)
+                yield pd.DataFrame({"a": node[rows[a]], "b": node[rows[b]]})
+
+    labels_of = lambda df, roots: df.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    keyed = sampled_keys(labels_of(nodes, components(good)), words, bits, tables, keep=["node", "label"])
+    dealt = keyed.repartition(parts, "table", "key").sortWithinPartitions("table", "key", "label", "node")
+    found = cut(dealt.mapInPandas(run, "table int, key bigint, a bigint, b bigint"))
+    pairs = cut(found.filter("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    good = cut(good.union(similar(pairs, shingles_of(both(pairs)), similarity)))
+    # A row with a = b names a node of a key with too many candidates for pairs.
+    full = found.filter("a = b").select("table", "key", F.col("a").alias("node"))
+    rows = full.count()
+    if rows:
+        held = labels_of(full, components(good)).join(shingles_of(full.select("node").distinct()), "node")
+        held = held.repartition(max(parts, rows // ROWS_COMPARED), "table", "key").sortWithinPartitions("table", "key", "node")
+        good = cut(good.union(held.select("table", "key", "node", "label", "shingles").mapInPandas(compare, "a bigint, b bigint")))
+    return components(good)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, limit: int = NEAREST) -> DataFrame:
@@ -556,8 +594,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, limit:
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_crc")).alias("k")
     nodes = cut(rows.groupBy("node", *ids).agg(smallest))
 
-    def shingles_of(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def shingles_of(names: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(names, "node", "left_semi").select(F.col("k.doc_id").alias(id_), F.col("k._crc").alias(crc), "node"))
         texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, 48), same).select("node", "text")
 
