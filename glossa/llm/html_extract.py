@@ -12,7 +12,8 @@ Containers of valid classes, nested as their paths are, are its frame. A
 container whose text is nearly all made of blocks that are themselves of the
 template says the same on every page and is closed, whatever its class names;
 so is one of mostly linked text outside an article. The other containers of the
-frame are its slots: all blocks in them stay, repeated headings too. Text in
+frame are its slots: their blocks stay, repeated headings too, but for blocks
+of the template that come last in a slot which is not named as the article's. Text in
 containers that only some pages have goes by the innermost container of the
 frame around it. Where the frame has containers named as the article's, only
 the outermost of these are read.
@@ -325,7 +326,7 @@ def article(page: str, template: Template = Template()) -> str:
             shut[path] = token in template.closed or (token not in template.open and bool(above) and is_shut(above))
         return shut[path]
 
-    out = []
+    out: list[tuple[str, str]] = []
     for path, bad, text, _ in found:
         if bad or roots and not any(path == r or path.startswith(r + "/") for r in roots):
             continue
@@ -334,8 +335,12 @@ def article(page: str, template: Template = Template()) -> str:
         # Text that stands in no container of its own goes where the template has it.
         if template.boilerplate and not roots and re.search(WHOLE, path) and _hash("2", path, text) in template.boilerplate:
             continue
-        out.append(text)
-    return " ".join(out)
+        out.append((path, text))
+    if not template.boilerplate or roots:
+        return " ".join(text for _, text in out)
+    # Blocks of the template after the last text of a slot's own end the frame; before it they are headings.
+    last = {path: i for i, (path, text) in enumerate(out) if _hash("2", path, text) not in template.boilerplate}
+    return " ".join(text for i, (path, text) in enumerate(out) if i <= last.get(path, i))
 
 
 def extract(pages: DataFrame) -> DataFrame:
