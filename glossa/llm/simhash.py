@@ -356,7 +356,61 @@ def link_groups(group: np.ndarray, words: np.ndarray, radius: int, lanes: int =
     return np.concatenate(from_), np.concatenate(to)
 
 
+def _distance(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, dist: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs are among the ``limit`` nearest of either of their rows, ties to the smaller other row."""
+    row, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dist, dist])
+    order = np.lexsort((other, both, row))
+    sorted_ = row[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+    near = np.zeros(len(order), dtype=bool)
+    near[order] = rank < limit
+    return near[: len(a)] | near[len(a) :]
+
+
 def candidates(group: np.ndarray, label: np.ndarray, words: np.ndarray, radius: int, limit: int, lanes: int = LANES):
+    """Pairs (row, row) within ``radius`` of different labels, the ``limit`` nearest of each row, and the groups with more.
+
+    Rows are sorted by group and label. What is held at a time is bounded by the rows times ``limit``.
+    """
+    n = len(group)
+    empty = np.zeros(0, dtype=np.int64)
+    if not n:
+        return empty, empty, empty
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (label[1:] != label[:-1])])
+    count = np.bincount(np.cumsum(new) - 1)
+    # Labels of many rows are runs of their own, the others of a group come last in one run.
+    large = np.repeat(count >= 64, count)
+    order = np.lexsort((np.arange(n), ~large, group))
+    g, big = group[order], large[order]
+    run = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (big[1:] != big[:-1]) | (big[1:] & new[order][1:])])) - 1
+    pure = big[np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])]
+    w, lab = words[order], label[order]
+    a, b, more = empty, empty, empty
+    from_, to = [], []
+
+    def trim():
+        nonlocal a, b, more, from_, to
+        a, b = np.concatenate([a, *from_]), np.concatenate([b, *to])
+        from_, to = [], []
+        near = _nearest(a, b, _distance(w, a, b), limit)
+        more = np.union1d(more, g[a[~near]])
+        a, b = a[near], b[near]
+
+    for x, y in hits(g, run, pure, w, radius, lanes):
+        differ = lab[x] != lab[y]
+        from_.append(x[differ])
+        to.append(y[differ])
+        if sum(map(len, from_)) > PAIRS:
+            trim()
+    trim()
+    return order[a], order[b], more
+
+
+def pairs_or_rows(group: np.ndarray, label: np.ndarray, words: np.ndarray, radius: int, limit: int, lanes: int = LANES):
     """Pairs (row, row) within ``radius`` of different labels, and the rows of the groups too full for pairs.
 
     Groups in which a row has more than ``limit`` candidates give no pairs but
@@ -541,7 +595,7 @@ def near_duplicate_roots(nodes: DataFrame, shingles_of, words: int = WIDE_WORDS,
         for batch in whole_groups(batches, ["table", "key"]):
             w, node = batch[ids].to_numpy(dtype=np.int64).view(np.uint64), batch["node"].to_numpy()
             group = _group_numbers(batch)
-            a, b, full = candidates(group, batch["label"].to_numpy(), w, radius, limit)
+            a, b, full = pairs_or_rows(group, batch["label"].to_numpy(), w, radius, limit)
             x, y = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
             yield pd.DataFrame(
                 {

@@ -14,7 +14,7 @@ def test_full_groups_give_rows_not_pairs():
     other = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
     other[1] = other[0]
     group = np.array([0] * 500 + [1] * 3)
-    a, b, full = simhash.candidates(group, np.arange(503), np.concatenate([words, other]), 10, 4)
+    a, b, full = simhash.pairs_or_rows(group, np.arange(503), np.concatenate([words, other]), 10, 4)
     assert (a.tolist(), b.tolist()) == ([500], [501]) and sorted(full.tolist()) == list(range(500))
 
 
