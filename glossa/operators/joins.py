@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from glossa.functions.distance import around_piece, byte_characters
 from glossa.functions.scoring import one_edit_prefix
-from glossa.functions.text import grams
 from glossa.session import cut
 
 # A key is hot when it holds at least this share of the rows, so there are at most 1/share hot keys.
@@ -90,6 +89,14 @@ def anchor_gram(needle: Column) -> Column:
     return F.substring(needle, F.greatest(F.floor(F.length(needle) / 2).cast("int"), F.lit(1)), F.lit(3))
 
 
+def _with_grams(keys: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """A row for each distinct ``gram`` of each key, in generated code: of equal grams the first place passes."""
+    placed = keys.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))))
+    placed = placed.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in sizes]))) if len(sizes) > 1 else placed.withColumn("_size", F.lit(sizes[0]))
+    every = placed.withColumn("gram", F.substring("key", F.col("_at"), F.col("_size")))
+    return every.filter((F.length("gram") == F.col("_size")) & (F.instr("key", F.col("gram")) == F.col("_at"))).drop("_at", "_size")
+
+
 def containment_pairs(
     needles: DataFrame, keys: DataFrame, small: bool, gram_sizes: tuple[int, ...] = (1, 2, 3)
 ) -> DataFrame:
@@ -101,8 +108,7 @@ def containment_pairs(
     there are such short needles.
     """
     needles = needles.filter(F.col("needle") != "").withColumn("gram", anchor_gram(F.col("needle")))
-    exploded = keys.withColumn("gram", F.explode(F.concat(*[grams(F.col("key"), n) for n in gram_sizes])))
-    return _meet(exploded, needles, "gram", small).filter(F.contains("key", "needle")).drop("gram")
+    return _meet(_with_grams(keys, gram_sizes), needles, "gram", small).filter(F.contains("key", "needle")).drop("gram")
 
 
 def _deletions(s: Column) -> Column:

@@ -351,7 +351,8 @@ class SearchRun:
         for kind, rank in KIND_RANK.items():
             kind_rank = F.when(F.col("match_type") == kind, rank).otherwise(kind_rank)
         order = ["total_cost", "static_cost", "entry_id", kind_rank]
-        return top_k(self.matches(), "query_id", order, "k", self.k_max)
+        found = self.matches() if self.index is None else with_total(self.index.contenders())
+        return top_k(found, "query_id", order, "k", self.k_max)
 
     def candidate_counts(self) -> DataFrame:
         """(query_id, internal_candidates) for every query, zero included."""

@@ -11,7 +11,7 @@ from glossa.operators.lexicon import definition_words, headword_keys, key_counts
 from glossa.operators.postings import KINDS, ROWS_PER_SHARD, Postings, load_postings, save_postings
 
 # Fixed value: version of the table layout.
-VERSION = 8
+VERSION = 9
 
 POSTINGS = {
     "words": "key string, entry_id bigint, static_cost int, at_char int, at_byte int",
@@ -28,7 +28,8 @@ class Lexicon:
 
     ``entry_id`` is unique; equal total costs are ranked by (static_cost, entry_id).
     A saved lexicon also has ``postings`` by the name of the key counts, and is
-    searched through them without reading its entries.
+    searched through them without reading its entries. ``repeated`` are the
+    ids that, against the above, more than one entry has.
     """
 
     entries: DataFrame
@@ -36,6 +37,7 @@ class Lexicon:
     characters: DataFrame  # ch, n_entries
     words: DataFrame  # word, n_entries
     postings: dict[str, Postings] | None = None
+    repeated: DataFrame | None = None  # entry_id
 
     @staticmethod
     def from_entries(entries: DataFrame) -> "Lexicon":
@@ -51,6 +53,8 @@ class Lexicon:
         spark = self.entries.sparkSession
         self.entries.sortWithinPartitions("static_cost", "entry_id").write.mode(mode).parquet(f"{path}/entries")
         entries = spark.read.parquet(f"{path}/entries")
+        repeated = entries.groupBy("entry_id").agg(F.count("*").alias("n")).filter("n > 1").select("entry_id")
+        repeated.write.mode(mode).parquet(f"{path}/repeated")
         shards = {}
         for name, made in KINDS.items():
             shards[name] = save_postings(made(entries), f"{path}/postings/{name}", mode, rows_per_shard)
@@ -68,5 +72,6 @@ class Lexicon:
         if meta["version"] != VERSION:
             raise ValueError(f"lexicon at {path} has layout version {meta['version']}, expected {VERSION}")
         tables = (spark.read.parquet(f"{path}/{n}") for n in ("entries", "syllables", "characters", "words"))
+        repeated = spark.read.parquet(f"{path}/repeated")
         found = {n: load_postings(spark, f"{path}/postings/{n}", POSTINGS[n], meta[f"{n}_shards"]) for n in KINDS}
-        return Lexicon(*tables, found)
+        return Lexicon(*tables, found, repeated)

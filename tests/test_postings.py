@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from conftest import ENTRY, entry
 from glossa.functions.text import search_block
 from glossa.operators import postings
-from glossa.plans.search import SearchRun
+from glossa.operators.ids import top_k
+from glossa.plans import indexed
+from glossa.plans.search import KINDS, SearchRun
+from glossa.sources.tables import Lexicon
 
 WORDS = ["a", "über", "ab-c", "日本", "x", "the", "The", "\t", "", "end."]
 
@@ -78,3 +81,28 @@ def test_a_search_reads_no_definitions(make_lexicon, make_queries):
     scanned = SearchRun(make_queries(["über the", "ab", "nothing"]), make_lexicon(rows), kinds=("English",))
     assert sorted(run.matches().collect()) == sorted(scanned.matches().collect())
     assert any("definitions" in schema for _, schema in files_read(scanned.matches()))
+
+
+def test_the_best_are_sought_among_near_postings(spark, make_lexicon, make_queries, monkeypatch, tmp_path):
+    rng = random.Random(5)
+    syllables = [f"{a}{b}{c}" for a in "bdg" for b in "aou" for c in "nr"]
+    text = lambda: " ".join("".join(rng.choices(syllables, k=rng.choice((1, 1, 2)))) + rng.choice(("", "", "-x", ".")) for _ in range(rng.randint(1, 30)))
+    rows = [entry(i, "", "", [text(), text()], rng.choice((i * 37 % 900, 5000))) for i in range(200)]
+    rows += [entry(400 + i, "山", "ban1 den2", [text()], i) for i in range(20)]  # found by syllables too
+    # Ids that come twice, with costs far apart, or not at all, and entries without a static cost.
+    rows += [entry(7, "", "", ["ban " + text()], 9), entry(7, "", "", [text() + " ban"], 90_000), entry(None, "", "", ["ban don"], 3), entry(None, "", "", [text() + " ban don"], 70_000)]
+    rows += [entry(500 + i, "", "", [text() + " ban dun"], None) for i in range(3)]
+    make_lexicon(rows).save(str(tmp_path / "lexicon"), rows_per_shard=2000)
+    lexicon = Lexicon.load(spark, str(tmp_path / "lexicon"))
+    queries = make_queries(["ban", "dun", "gor bar", "don don", "ést", "ban1 den", "bandun", "dun.", "g"], k=4)
+    columns, order = ["query_id", "rank", "entry_id", "match_type", "total_cost"], ["total_cost", "static_cost", "entry_id", "match_type"]
+    monkeypatch.setattr(indexed, "MANY_HITS", 50)
+    for near, further, kinds, limit in ((100, 4, ("English",), 64 << 20), (400, 16, KINDS, 3000)):
+        monkeypatch.setattr(indexed, "NEAR_ROWS", near)
+        monkeypatch.setattr(indexed, "FURTHER", further)
+        with SearchRun(queries, lexicon, kinds=kinds, broadcast_bytes=limit) as run:
+            every = run.matches()
+            want = sorted(map(repr, top_k(every, "query_id", order, "k", run.k_max).select(*columns).collect()))
+            got = sorted(map(repr, run.ranked().select(*columns).collect()))
+            assert got == want and len(got) > 20
+            assert run.index.contenders().count() < every.count() * 0.7
