@@ -90,11 +90,11 @@ def anchor_gram(needle: Column) -> Column:
 
 
 def _with_grams(keys: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """A row for each distinct ``gram`` of each key, in generated code: of equal grams the first place passes."""
+    """A row for each ``gram`` of each key and its place ``_at``, in generated code."""
     placed = keys.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1)))))
     placed = placed.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in sizes]))) if len(sizes) > 1 else placed.withColumn("_size", F.lit(sizes[0]))
     every = placed.withColumn("gram", F.substring("key", F.col("_at"), F.col("_size")))
-    return every.filter((F.length("gram") == F.col("_size")) & (F.instr("key", F.col("gram")) == F.col("_at"))).drop("_at", "_size")
+    return every.filter(F.length("gram") == F.col("_size")).drop("_size")
 
 
 def containment_pairs(
@@ -103,12 +103,14 @@ def containment_pairs(
     """(needle, key, ...) wherever ``needle`` is a substring of ``key``; both inputs distinct.
 
     Keys meet a needle only over the needle's anchor gram and are then checked.
-    A key holds each gram once and a needle has one anchor, so pairs are unique.
+    A needle has one anchor, of which the first place in the key counts, so pairs are unique.
     ``gram_sizes`` are the sizes that occur among the anchors: 3, and 1 and 2 if
     there are such short needles.
     """
     needles = needles.filter(F.col("needle") != "").withColumn("gram", anchor_gram(F.col("needle")))
-    return _meet(_with_grams(keys, gram_sizes), needles, "gram", small).filter(F.contains("key", "needle")).drop("gram")
+    met = _meet(_with_grams(keys, gram_sizes), needles, "gram", small)
+    first = F.instr("key", anchor_gram(F.col("needle"))) == F.col("_at")
+    return met.filter(F.contains("key", "needle") & first).drop("gram", "_at")
 
 
 def _deletions(s: Column) -> Column:

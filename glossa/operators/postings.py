@@ -11,38 +11,71 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.functions.text import characters, let, search_block, totals_before
+from glossa.functions.text import ASCII_SPACES, characters, definition_block
 from glossa.session import drop
 
 ROWS_PER_SHARD = 1_000_000
 MOST_SHARDS = 4096
-
-
-def word_postings(entries: DataFrame) -> DataFrame:
+#: Text that a task cuts into words at once.
+BLOCK_BYTES = 4 << 20
+
+
+def _first_places(block_bytes: int):
+    """Words of blocks and their first places, by whole columns; texts of no more than ``block_bytes`` at a time, or one."""
+    fold = bytes.maketrans((ascii_uppercase + "".join(ASCII_SPACES)).encode(), (ascii_lowercase + " " * len(ASCII_SPACES)).encode())
+
+    def cut_up(rows: pa.RecordBatch, blocks: pa.Array) -> pa.RecordBatch:
+        words = pc.split_pattern(blocks, " ")
+        flat, row = words.flatten(), pc.list_parent_indices(words).to_numpy().astype(np.int64)
+        starts = np.searchsorted(row, np.arange(rows.num_rows))
+
+        def before(lengths: pa.Array) -> np.ndarray:
+            """What lies before each word of its text: the words there, and a blank after each."""
+            total = np.concatenate(([0], np.cumsum(lengths.to_numpy().astype(np.int64) + 1)))[:-1]
+            return total - total[starts][row]
+
+        coded = flat.dictionary_encode()
+        _, first = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_index=True)
+        first = first[pc.binary_length(flat).to_numpy()[first] > 0]
+        at_char, at_byte, of = before(pc.utf8_length(flat))[first] + 1, before(pc.binary_length(flat))[first], pa.array(row[first])
+        made = [flat.take(pa.array(first)), rows.column("entry_id").take(of), rows.column("static_cost").take(of), pa.array(at_char, pa.int32()), pa.array(at_byte, pa.int32())]
+        return pa.RecordBatch.from_arrays(made, ["key", "entry_id", "static_cost", "at_char", "at_byte"])
+
+    def run(batches):
+        for batch in batches:
+            blocks = batch.column("block")
+            valid, offsets, data = blocks.buffers()
+            folded = [valid, offsets, pa.py_buffer(data.to_pybytes().translate(fold)) if data else data]
+            blocks = pa.Array.from_buffers(blocks.type, len(blocks), folded, blocks.null_count, blocks.offset)
+            sizes, start = np.cumsum(pc.binary_length(blocks).to_numpy().astype(np.int64)), 0
+            while start < batch.num_rows:
+                below = sizes[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes, below + block_bytes, "right")))
+                yield cut_up(batch.slice(start, end - start), blocks.slice(start, end - start))
+                start = end
+
+    return run
+
+
+def word_postings(entries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, entry_id, static_cost, at_char, at_byte): each distinct word of the definitions and its first place.
 
     Places are those of ``search_block``: the first character has the 1-based
     position ``at_char``, and ``at_byte`` bytes lie before it.
     """
-    words = F.split(search_block(F.col("definitions")), " ")
-
-    def places(ws: Column) -> Column:
-        chars, octets = totals_before(F.transform(ws, F.length)), totals_before(F.transform(ws, F.octet_length))
-        # A blank follows each word, so i blanks lie before word i.
-        row = lambda x, i: F.struct(x["w"].alias("w"), (x["c"] + i + 1).cast("int").alias("c"), (x["o"] + i).cast("int").alias("o"))
-        return F.transform(F.arrays_zip(ws.alias("w"), chars.alias("c"), octets.alias("o")), row)
-
-    def firsts(sorted_places: Column) -> Column:
-        return F.filter(sorted_places, lambda x, i: (x["w"] != "") & ((i == 0) | (x["w"] != F.get(sorted_places, i - 1)["w"])))
-
-    found = let(let(words, lambda ws: F.sort_array(places(ws))), firsts)
-    return entries.select("entry_id", "static_cost", F.explode(found).alias("p")).select(
-        F.col("p.w").alias("key"), "entry_id", "static_cost", F.col("p.c").alias("at_char"), F.col("p.o").alias("at_byte")
-    )
+    # Folded and blanked out as ``search_block`` does, but as bytes.
+    block = F.concat(F.lit(" "), definition_block(F.col("definitions")), F.lit(" "))
+    blocks = entries.select("entry_id", "static_cost", block.alias("block"))
+    kept = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in ("entry_id", "static_cost"))
+    return blocks.mapInArrow(_first_places(block_bytes), f"key string, {kept}, at_char int, at_byte int")
 
 
 def syllable_postings(entries: DataFrame) -> DataFrame:

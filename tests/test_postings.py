@@ -56,6 +56,36 @@ def test_places_of_words(spark):
     assert got == want
 
 
+def test_places_of_words_by_columns(spark):
+    """Texts of several sizes are cut up together or alone; nothing of a batch depends on another text."""
+    rng = random.Random(3)
+    rows = [r for r in lexicon_rows(30, 4)] + [entry(None, "", "", ["A\tB\na", "Éa ÉA"], None), entry(5, "", "", ["x" * 90 + " Z\rz\f😀 😀"], 1)]
+    rows += [(70, "", [], None, 2, "A"), (71, "", [], [None, "a b"], 2, "A")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, ENTRY).coalesce(1)
+    want = []
+    for i, cost, block in df.select("entry_id", "static_cost", search_block(F.col("definitions"))).collect():
+        for w in {w for w in block.split(" ") if w}:
+            at = f" {block} ".find(f" {w} ")
+            want.append((w, i, cost, at + 1, len(block[:at].encode())))
+    for size in (1, 200, 1 << 20):
+        made = postings.word_postings(df, block_bytes=size)
+        assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+    assert "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pair_comes_once_for_a_gram_that_comes_again(spark):
+    from glossa.operators.joins import containment_pairs
+
+    needles = spark.createDataFrame([("na",), ("anan",), ("a",), ("😀😀",), ("é",), ("",)], "needle string")
+    keys = spark.createDataFrame([("bananana",), ("😀😀😀x",), ("éa",), ("",), ("n",)], "key string")
+    want = [("a", "bananana"), ("a", "éa"), ("anan", "bananana"), ("na", "bananana"), ("é", "éa"), ("😀😀", "😀😀😀x")]
+    for small in (True, False):
+        pairs = containment_pairs(needles, keys, small).select("needle", "key")
+        assert sorted(map(tuple, pairs.collect())) == want
+        assert "regexp_extract_all" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_only_shards_of_the_keys_asked_are_read(spark, tmp_path):
     rows = spark.range(4000).select(F.concat(F.lit("k"), (F.col("id") % 500).cast("string")).alias("key"), F.col("id").alias("entry_id"), F.lit(1).alias("static_cost"))
     shards = postings.save_postings(rows, str(tmp_path / "p"), "errorifexists", rows_per_shard=100)
