@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ HOT_ROWS = 10_000
 SALTS = 64
 # Deletion keys grow with the square of the length; longer terms have selective halves to use instead.
 SHORT_TERM = 5
+# Texts of more bytes in all are scanned for terms within one edit, if the terms are no more and no longer than this.
+SCAN_BYTES, SCAN_TERMS, SCAN_LENGTH = 1 << 20, 256, 64
 
 
 def hot_keys(keys: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -193,6 +198,45 @@ def _places(pieces: DataFrame, exploded: DataFrame, longer: bool, small: bool) -
     return seen.groupBy(*keys).agg(F.min(F.struct("n", "gram_at", "gram")).alias("g")).select(*keys, "g.gram_at", "g.gram")
 
 
+def _within_one_edit(needle: bytes) -> str:
+    """A pattern of bytes: the needle without one of them, or with another one for it or before it.
+
+    Edits at either end need no pattern, as what is left of the needle is the needle without that byte.
+    """
+    of = lambda some: "".join(f"\\x{b:02x}" for b in some)
+    n = len(needle)
+    found = [of(needle[:i] + needle[i + 1 :]) for i in range(n)]
+    found += [f"{of(needle[:i])}(?s:.){of(needle[i + 1 :])}" for i in range(1, n - 1)]
+    found += [f"{of(needle[:i])}(?s:.){of(needle[i:])}" for i in range(1, n)]
+    return "|".join(dict.fromkeys(found))
+
+
+def _scanned(needles: list[str]):
+    """(key, hits) of texts that hold a needle but for one edit, by whole columns; a needle of one byte has to be there."""
+    raw = [x.encode() for x in needles]
+    patterns = [_within_one_edit(x) if len(x) > 1 else None for x in raw]
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key")
+            texts = keys.cast(pa.large_binary() if pa.types.is_large_string(keys.type) else pa.binary())
+            row, of, distance = [], [], []
+            for i, (needle, pattern) in enumerate(zip(raw, patterns, strict=True)):
+                near = pc.match_substring(texts, needle) if pattern is None else pc.match_substring_regex(texts, pattern)
+                at = np.flatnonzero(pc.fill_null(near, False).to_numpy(zero_copy_only=False))
+                row.append(at)
+                of.append(np.full(len(at), i))
+                distance.append(1 - pc.match_substring(texts.take(pa.array(at)), needle).to_numpy(zero_copy_only=False).astype(np.int32))
+            row, of, distance = np.concatenate(row), np.concatenate(of), np.concatenate(distance)
+            order = np.argsort(row, kind="stable")
+            some, starts = np.unique(row[order], return_index=True)
+            hits = pa.StructArray.from_arrays([pa.array(needles, pa.string()).take(pa.array(of[order])), pa.array(distance[order], pa.int32())], ["needle", "distance"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), hits)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), lists], ["key", "hits"])
+
+    return run
+
+
 def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: int) -> DataFrame:
     """(needle, key, distance): terms within ``max_distance`` edits of some substring of a text; both inputs distinct.
 
@@ -204,6 +248,10 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     A term of no more than ``max_distance`` bytes is within reach of any text
     that is not empty: here come the texts that hold it, at distance 0, and
     ``within_reach_of_any`` tells its distance from all others.
+
+    Pieces of short terms stand nearly everywhere. Few and short terms within
+    one edit of large texts are therefore told by a scan for each term, which
+    takes the same time for any place of a hit.
     """
     raw, size = F.col("_raw"), F.octet_length("_raw")
     count = max_distance + 1
@@ -230,6 +278,7 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
         F.coalesce(F.sum(F.octet_length("needle") * 8 + 128), F.lit(0)).alias("bytes"),
         F.collect_set(F.least(F.octet_length("piece"), F.lit(4))).alias("sizes"),
         F.coalesce(F.max(F.octet_length("needle")), F.lit(0)).alias("longest"),
+        F.count_distinct("needle").alias("terms"),
     ).first()
     small, sizes = measured["bytes"] <= NEEDLE_BYTES, sorted({min(n, 3) for n in measured["sizes"]}) or [3]
     reach = measured["longest"] + max_distance
@@ -238,6 +287,11 @@ def local_levenshtein_pairs(terms: DataFrame, texts: DataFrame, max_distance: in
     spark = texts.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     lines = cut(texts.repartition(tasks, F.xxhash64("key")).select("key").withColumn("_id", F.monotonically_increasing_id()))
+    scan = max_distance == 1 and 0 < measured["terms"] <= SCAN_TERMS and measured["longest"] <= SCAN_LENGTH
+    if scan and (lines.agg(F.sum(F.octet_length("key"))).first()[0] or 0) > SCAN_BYTES:
+        needles = sorted(r["needle"] for r in pieces.select("needle").distinct().collect())
+        hits = lines.select("key").mapInArrow(_scanned(needles), "key string, hits array<struct<needle:string,distance:int>>")
+        return hits.select(F.explode("hits").alias("hit"), "key").select("hit.needle", "key", "hit.distance")
     at = F.explode(F.sequence(F.lit(1), F.octet_length("raw")))
     bytes_of = lines.select("_id", F.col("key").cast("binary").alias("raw"))
     exploded = bytes_of.filter(F.octet_length("raw") > 0).withColumn("at", at).withColumn("gram", F.explode(F.array(*[F.substring("raw", F.col("at"), F.lit(n)) for n in sizes])))

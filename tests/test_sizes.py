@@ -54,6 +54,24 @@ def test_text_does_not_travel_with_its_hits(spark):
     assert grouped and not any("key#" in line for line in grouped)
 
 
+def test_scanned_texts_have_the_same_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    some = lambda most, n: sorted({"".join(rng.choices("ab.é\n(😀", k=rng.randint(1, most))) for _ in range(n)})
+    terms = spark.createDataFrame([(t,) for t in some(5, 30)] + [("",)], "needle string")
+    texts = spark.createDataFrame([(t,) for t in some(9, 150)] + [("",), (None,)], "key string")
+    found = lambda: joins.local_levenshtein_pairs(terms, texts, 1)
+    joined = found()
+    monkeypatch.setattr(joins, "SCAN_BYTES", 0)
+    scanned = found()
+    assert scanned.schema.simpleString() == joined.schema.simpleString()
+    assert sorted(map(tuple, scanned.collect())) == sorted(map(tuple, joined.collect())) and scanned.count() > 500
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # No row for each place of a piece, and nothing is shuffled.
+    assert "sequence(" in plan(joined) and "sequence(" not in plan(scanned) and "Join" not in plan(scanned)
+
+
 def test_hits_are_dealt_by_their_number(spark):
     asked = spark.createDataFrame([(q, 0, "a", None) for q in range(20)] + [(99, 0, "b", 2)], "query_id bigint, term_idx int, term_base string, tone int")
     matches = spark.createDataFrame([("a", "ab", 5), ("a", "ac", 3), ("b", "ab", 1)], "term_base string, base string, match_cost int")
